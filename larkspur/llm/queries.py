@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import simhash
+from larkspur.llm import simhash, winnowing
 from larkspur.session import table
 
 
+def op8_benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.op8(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op10(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op10_simhash_groups,)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op8_benchmark_overlap, op10_simhash_groups)}
 ORACLES: dict[str, str] = {}
