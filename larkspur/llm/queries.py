@@ -4,12 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import simhash, winnowing
+from larkspur.llm import bpe, chat_format, simhash, tokens, winnowing
 from larkspur.session import table
 
 
+def span_encoder() -> tokens.SpanEncoder:
+    return tokens.SpanEncoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.op1(table(spark, sf_dir, "conversations"), span_encoder())
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.section_tokens(table(spark, sf_dir, "documents"), span_encoder())
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.op3(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.op8(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -18,5 +35,7 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op10(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op8_benchmark_overlap, op10_simhash_groups)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_chat_format, op2_token_counts, op3_bpe, op8_benchmark_overlap, op10_simhash_groups)
+}
 ORACLES: dict[str, str] = {}
