@@ -45,9 +45,14 @@ def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte spans of the words of lower-cased `data` and the first word of each row (n + 1 positions)."""
-    inside = WORD_BYTE[data]
+#: Bytes other than ASCII white space.
+SOLID_BYTE = np.ones(256, dtype=bool)
+SOLID_BYTE[0x20] = SOLID_BYTE[0x09:0x0E] = False
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, member: np.ndarray = WORD_BYTE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte spans of the runs of `member` bytes and the first run of each row (n + 1 positions)."""
+    inside = member[data]
     before = np.empty_like(inside)
     before[:1] = False
     before[1:] = inside[:-1]

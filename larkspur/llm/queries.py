@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import bpe, chat_format, simhash, tokens, winnowing
+from larkspur.llm import bpe, chat_format, quality, simhash, tokens, toxicity, winnowing
 from larkspur.session import table
 
 
@@ -27,15 +27,23 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op3(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op5(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.op8(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op9(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op10(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_token_counts, op3_bpe, op8_benchmark_overlap, op10_simhash_groups)
+    f.__name__: f for f in (op1_chat_format, op2_token_counts, op3_bpe, op5_quality, op8_benchmark_overlap, op9_toxicity, op10_simhash_groups)
 }
 ORACLES: dict[str, str] = {}
