@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import bpe, chat_format, quality, simhash, tokens, toxicity, winnowing
+from larkspur.llm import bpe, chat_format, license_scan, quality, secret_scan, simhash, tokens, toxicity, winnowing
 from larkspur.session import table
 
 
@@ -27,10 +27,18 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op3(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.op4(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op5(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.op7(table(spark, sf_dir, "documents"))
+
+
 def op8_benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.op8(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -44,6 +52,6 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_token_counts, op3_bpe, op5_quality, op8_benchmark_overlap, op9_toxicity, op10_simhash_groups)
+    f.__name__: f for f in (op1_chat_format, op2_token_counts, op3_bpe, op4_secrets, op5_quality, op7_licenses, op8_benchmark_overlap, op9_toxicity, op10_simhash_groups)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_secrets": secret_scan.ORACLE_SQL, "op7_licenses": license_scan.ORACLE_SQL}
