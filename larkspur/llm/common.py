@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Text bytes that one numpy step handles; temporaries are about 60 times that.
 CHUNK_BYTES = 2 << 20
@@ -101,3 +103,8 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.n
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
     return mix((total[stops] - total[starts]) * inverse[starts])
+
+
+def same_row(docs: DataFrame, keys: DataFrame) -> Column:
+    """Condition that a row of `docs` is the one that `keys` (__key_id, __key_hash) names: null-safe doc_id and hash of the text."""
+    return docs["doc_id"].cast("long").eqNullSafe(keys["__key_id"]) & F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))).eqNullSafe(keys["__key_hash"])

@@ -145,6 +145,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> RuleEnsem
     return RuleEnsemble(float(model.intercept), weights)
 
 
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of `docs` that the classifier predicts to be of label 1."""
+    model = fit(docs, labels)
+    return with_statistics(docs).where(model.score() >= THRESHOLD).select(*docs.columns)
+
+
 def op5(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of `docs`; null texts score as empty ones."""
     model = fit(docs, labels)

@@ -8,10 +8,10 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import text_column
+from larkspur.llm.common import same_row, text_column
 from larkspur.llm.components import connected_components
 from larkspur.session import checkpointed
 
@@ -42,12 +42,14 @@ def fingerprint(text: str, width: int = SHINGLE) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = np.fromiter((fingerprint(t.as_py()) for t in text_column(batch, "text")), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
 
 def with_fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): one row per row of `docs`; fp is the SimHash as a signed 64-bit number. Null text is empty."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, text_hash, fp): one row per row of `docs`; fp is the SimHash as a signed 64-bit number. Null text is empty."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return rows.mapInArrow(_fingerprints, "doc_id long, text_hash long, fp long")
 
 
 def _variants(fps: DataFrame) -> DataFrame:
@@ -85,6 +87,13 @@ def link_fingerprints(fps: DataFrame) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
+def _rooted(found: DataFrame, first: Column) -> DataFrame:
+    """(fp, first, root) of each distinct fingerprint: the least `first` of its rows and the least fingerprint it is linked to."""
+    fps = checkpointed(found.groupBy("fp").agg(F.min(first).alias("first")))
+    parts = connected_components(link_fingerprints(fps.select("fp")))
+    return fps.join(parts, fps.fp == parts.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     """One row per row of `docs`: doc_id, fp, component_id.
 
@@ -92,15 +101,32 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     equal texts link, as do all texts without words (fp 0). Null doc_ids get a group but never name one (a group
     of null ids only has a null component_id). Repeated rows are returned as often as they occur.
     """
-    found = checkpointed(with_fingerprints(docs))
-    fps = checkpointed(found.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    parts = connected_components(link_fingerprints(fps.select("fp")))
-    named = fps.join(parts, fps.fp == parts.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    found = checkpointed(with_fingerprints(docs).drop("text_hash"))
+    named = _rooted(found, F.col("doc_id"))
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     labels = checkpointed(named.join(least, "root").select(F.col("fp").alias("label_fp"), "component_id"))
     return found.join(labels, found.fp == labels.label_fp).select("doc_id", "fp", "component_id")
 
 
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` without all but one of each group of near duplicates: that of the least doc_id (null last).
+
+    Rows of one doc_id and one text are told apart by nothing, and one of them stays.
+    """
+    found = checkpointed(with_fingerprints(docs))
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("__key_id"), F.col("text_hash").alias("__key_hash"))
+    best = _rooted(found, first).groupBy("root").agg(F.min("first").alias("best")).select("best.__key_id", "best.__key_hash")
+    best = checkpointed(best)
+    same = found.doc_id.eqNullSafe(best["__key_id"]) & (found.text_hash == best["__key_hash"])
+    repeated = checkpointed(found.join(best, same).groupBy("__key_id", "__key_hash").count().where("count > 1").drop("count"))
+    if repeated.isEmpty():
+        return docs.join(best, same_row(docs, best), "left_semi")
+    single = best.exceptAll(repeated)
+    once = docs.join(single, same_row(docs, single), "left_semi")
+    twice = docs.join(repeated, same_row(docs, repeated)).dropDuplicates(["__key_id", "__key_hash"])
+    return once.unionByName(twice.select(*(twice[c] for c in docs.columns)))
+
+
 def op10(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id for every row of `docs`."""
     return near_duplicate_groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from larkspur.llm.common import LOWER, chunks, mix, raw_bytes, text_column, word_hashes, word_spans
+from larkspur.llm.common import LOWER, chunks, mix, raw_bytes, same_row, text_column, word_hashes, word_spans
 from larkspur.session import checkpointed
 
 #: Words of a window. A k-gram of GRAM words is kept if it has the least hash of WINNOW in a row, and
@@ -131,7 +131,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     prints = scan(bench, list(range(1, SPAN)), None, f"item_id string, n_words long, {_SCHEMA}")
     prints = checkpointed(prints.select("item_id", F.inline("hits")).select("kind", "hash", "item_id", F.col("words").alias("item_words")))
     short = sorted(r.kind for r in prints.where(F.col("kind") < SPAN).select("kind").distinct().collect())
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_hash"), F.col("text").cast("string").alias("text"))
     found = scan(rows, short, _presence(prints), f"doc_id long, text_hash long, n_words long, {_SCHEMA}")
     found = checkpointed(found.withColumn("row", F.monotonically_increasing_id()))
 
@@ -152,6 +152,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of `docs` that are not contaminated."""
+    hit = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("__key_id"), F.col("text_hash").alias("__key_hash"))
+    hit = checkpointed(hit)
+    return docs.join(hit, same_row(docs, hit), "left_anti")
+
+
 def op8(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of `docs`."""
     return contamination(docs, benchmark).select(
