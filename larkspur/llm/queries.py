@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import bpe, chat_format, license_scan, quality, secret_scan, simhash, tokens, toxicity, winnowing
+from larkspur.llm import ann, bpe, chat_format, license_scan, quality, secret_scan, simhash, tokens, toxicity, winnowing
 from larkspur.session import table
 
 
@@ -35,6 +35,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op5(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.op6(table(spark, sf_dir, "embeddings"))
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.op7(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,6 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_token_counts, op3_bpe, op4_secrets, op5_quality, op7_licenses, op8_benchmark_overlap, op9_toxicity, op10_simhash_groups)
+    f.__name__: f for f in (op1_chat_format, op2_token_counts, op3_bpe, op4_secrets, op5_quality, op6_neighbours, op7_licenses, op8_benchmark_overlap, op9_toxicity, op10_simhash_groups)
 }
 ORACLES: dict[str, str] = {"op4_secrets": secret_scan.ORACLE_SQL, "op7_licenses": license_scan.ORACLE_SQL}
