@@ -1,0 +1,6 @@
+"""All registered queries of the library."""
+
+from larkspur.plans import catalog
+from larkspur.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "catalog"]
