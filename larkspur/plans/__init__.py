@@ -1,6 +1,6 @@
 """All registered queries of the library."""
 
-from larkspur.plans import catalog, statistics
+from larkspur.plans import catalog, shapes, statistics
 from larkspur.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "catalog", "statistics"]
+__all__ = ["ORACLES", "QUERIES", "catalog", "shapes", "statistics"]
