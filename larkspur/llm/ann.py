@@ -158,7 +158,7 @@ def _buckets(codes: DataFrame, bits: int, dims: int, seed: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            signs = (_codes(batch.column(1)).astype(np.float64) @ planes > 0).reshape(-1, TABLES, bits)
+            signs = (_codes(batch.column(1)).astype(np.float64) @ planes > 0).reshape(batch.num_rows, TABLES, bits)
             keys = signs @ (1 << np.arange(bits)) + (np.arange(TABLES) << bits)
             ids = np.repeat(batch.column(0).to_numpy(), TABLES)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int64)), pa.array(ids), pa.array(np.full(len(ids), np.inf))], ["center", "id", "worst"])

@@ -7,7 +7,7 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, partial
 from itertools import chain
 
 import ahocorasick
@@ -15,6 +15,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from larkspur.llm.common import chunks, text_column
 
@@ -44,6 +45,14 @@ def _full_pattern() -> regex.Pattern:
     return regex.compile(rf"[\p{{L}}{but}]+|{_TAIL}|[\p{{N}}{but}]|[[^\s\p{{L}}\p{{N}}]{'||' + but[2:] if but else ''}]+", regex.V1)
 
 
+@cache
+def _newer_characters() -> re.Pattern:
+    """Characters that the standard library's version of Unicode doesn't have."""
+    unknown = [unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)] + [False]
+    firsts = [c for c in range(sys.maxunicode + 1) if unknown[c] and not unknown[c - 1]]
+    return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(unknown.index(False, a) - 1))}" for a in firsts) + "]")
+
+
 def _visible_bytes() -> dict[int, str]:
     """The printable stand-in of each byte in byte-level vocabularies: itself if printable, else from U+0100 on in order."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -51,6 +60,20 @@ def _visible_bytes() -> dict[int, str]:
     return {b: chr(b) if b in plain else chr(next(others)) for b in range(256)}
 
 
+@cache
+def _library_steps(normalizer: str, split: str):
+    """The tokenizers library's own normalizer and piece splitter."""
+    empty = {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": []}
+    steps = Tokenizer.from_str(json.dumps(empty | {"normalizer": json.loads(normalizer), "pre_tokenizer": json.loads(split)}))
+    return steps.normalizer, steps.pre_tokenizer
+
+
+def _newest_pieces(normalizer: str, split: str, text: str) -> list[str]:
+    """Pieces of a text with characters of a newer Unicode than the standard library's: that library's version decides."""
+    normal, pieces = _library_steps(normalizer, split)
+    return [p for p, _ in pieces.pre_tokenize_str(normal.normalize_str(text))]
+
+
 class _Pieces(dict):
     """Ids by piece, computed on first use."""
 
@@ -100,6 +123,7 @@ class PrefixBPE:
         self._joins: dict[int, bool] = {}
         self._pieces = _Pieces(self.encode_piece)
         letters, numbers = _ranges("L"), _ranges("N")
+        self._newest = partial(_newest_pieces, json.dumps(spec["normalizer"]), json.dumps(spec["pre_tokenizer"]["pretokenizers"][0]))
         self._fast = re.compile(rf"[{letters}]+|{_TAIL}|[{numbers}]|[^\s{letters}{numbers}]+")
         self._beyond = re.compile(f"[^\x00-{chr(_LOW - 1)}]|[\x1c-\x1f]")
 
@@ -161,8 +185,10 @@ class PrefixBPE:
 
     def pieces(self, text: str) -> list[str]:
         """NFC, lower case letter by letter, then the pieces between white space."""
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        return (_full_pattern() if self._beyond.search(text) else self._fast).findall(text)
+        low = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if not self._beyond.search(low):
+            return self._fast.findall(low)
+        return self._newest(text) if _newer_characters().search(low) else _full_pattern().findall(low)
 
     def _encode_plain(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self._pieces.__getitem__, self.pieces(text))))

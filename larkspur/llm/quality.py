@@ -128,15 +128,20 @@ class RuleEnsemble:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> RuleEnsemble:
     """Fit rules on the bounded labelled sample: paths of a shallow forest, weighted by a lasso logistic regression.
 
-    Without labelled rows, or with one class only, there are no rules and the score is the (smoothed) share of label 1.
+    Without labelled rows, with one class only, or where no statistic parts the classes, there are no rules and the score is
+    the (smoothed) share of label 1.
     """
     sample = checkpointed(with_statistics(labelled_docs(docs, labels, label)).drop("text"))
     share = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("ones")).first()
+    constant = RuleEnsemble(float(np.log((share.ones + 1) / (share.n - share.ones + 1))), [])
     if share.ones in (0, share.n):
-        return RuleEnsemble(float(np.log((share.ones + 1) / (share.n - share.ones + 1))), [])
+        return constant
     rows = sample.select("label", *map(_column, STATISTICS), array_to_vector(F.array(*map(_column, STATISTICS))).alias("x")).coalesce(8).cache()
     forest = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=TREES, maxDepth=DEPTH, featureSubsetStrategy="onethird", subsamplingRate=0.7, seed=7)
     rules = tree_rules(forest.fit(rows).toDebugString)[:RULES]
+    if not rules:
+        rows.unpersist()
+        return constant
     binary = rows.select("label", array_to_vector(F.array(*(_holds(r).cast("double") for r in rules))).alias("r")).cache()
     model = LogisticRegression(featuresCol="r", labelCol="label", elasticNetParam=1.0, regParam=PENALTY, standardization=False, maxIter=100).fit(binary)
     rows.unpersist()
