@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from math import pi
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
@@ -74,9 +73,9 @@ def pie(groups: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def wiggle(rows: DataFrame, at: str, series: str, value: str) -> DataFrame:
-    """at and base: the baseline of a stacked graph that keeps slopes least. It depends on the step before, so one task walks the places in order.
+    """at and base: the baseline of a stacked graph that keeps slopes least.
 
-    Only one row a place reaches that task: the weighted slopes are summed before.
+    The weighted slopes are summed by place first, so the ordered running sum sees one row a place.
     """
     by = Window.partitionBy(series).orderBy(at)
     step = rows.withColumn("was", F.lag(value).over(by))
@@ -84,11 +83,5 @@ def wiggle(rows: DataFrame, at: str, series: str, value: str) -> DataFrame:
     delta = F.col(value) - F.coalesce("was", F.col(value))
     below = F.coalesce(F.sum(delta).over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     s = step.withColumn("term", (below + delta / 2) * F.col(value)).groupBy(at).agg(F.sum("term").alias("s2"), F.sum(value).alias("s1"))
-
-    def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(at)
-        slope = (frame["s2"] / frame["s1"].where(frame["s1"] != 0)).fillna(0.0)
-        return pd.DataFrame({at: frame[at], "base": -slope.cumsum()})
-
-    kind = dict(rows.dtypes)[at]
-    return s.groupBy(F.lit(0)).applyInPandas(walk, f"{at} {kind}, base double")
+    slope = F.when(F.col("s1") != 0, F.col("s2") / F.col("s1")).otherwise(0.0)
+    return s.select(at, (-F.sum(slope).over(running(Window.orderBy(at)))).alias("base"))

@@ -39,9 +39,9 @@ def scale_symlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", F.round(scales.symlog(x, d), 6).alias("t"), F.round(scales.power(x, d, 0.5), 6).alias("root"))
 
 
-@query("SELECT c_custkey, round(CASE WHEN c_acctbal < 0 THEN (c_acctbal + 1000) / 1000 * 0.5 ELSE 0.5 + c_acctbal / 10000 * 0.5 END, 6) AS t FROM customer")
+@query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN (c_acctbal + 1000) / 1000 * 0.5 ELSE 0.5 + c_acctbal / 10000 * 0.5 END AS t FROM customer")
 def scale_diverging(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey", F.round(scales.diverging(F.col("c_acctbal"), -1000, 0, 10000), 6).alias("t"))
+    return table(spark, sf_dir, "customer").select("c_custkey", scales.diverging(F.col("c_acctbal"), -1000, 0, 10000).alias("t"))
 
 
 @query("WITH q AS (SELECT quantile_cont(p_retailprice, 0.25) AS a, quantile_cont(p_retailprice, 0.5) AS b, quantile_cont(p_retailprice, 0.75) AS c FROM part) SELECT p_partkey, CAST((p_retailprice >= a) AS INT) + CAST((p_retailprice >= b) AS INT) + CAST((p_retailprice >= c) AS INT) AS bucket FROM part, q")
