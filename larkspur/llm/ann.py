@@ -20,6 +20,8 @@ DEGREE, WATCHED = 50, 10
 ROUNDS, SETTLED = 8, 0.004
 #: Vectors that are compared with one another at a time; larger groups are dealt into several, anew each round.
 POOL, BUCKET, TABLES = 128, 512, 2
+#: Mean members of the random groups in which every vector also starts.
+STRANGERS = 128
 #: A group of more members than this is spread over tasks.
 SPREAD = 4096
 #: Greedy search: rounds, nodes opened in each, nodes kept.
@@ -105,6 +107,12 @@ def _compare(batches: Iterator[pa.RecordBatch], pool: int, most: int) -> Iterato
         held.append((ids[i], ids[j], np.maximum(d[i, j], 0).astype(np.float32)))
         count += len(i)
 
+    def even(rows: tuple, a: int, b: int) -> None:
+        """Compare rows a to b in pools of equal sizes, so that nobody of a group is left alone."""
+        parts = -(-(b - a) // pool)
+        for k in range(parts):
+            pairs(*(x[a + (b - a) * k // parts : a + (b - a) * (k + 1) // parts] for x in rows[1:]))
+
     rest: tuple | None = None
     for batch in batches:
         if not batch.num_rows:
@@ -117,17 +125,16 @@ def _compare(batches: Iterator[pa.RecordBatch], pool: int, most: int) -> Iterato
         cuts = np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1
         borders = [0, *cuts.tolist()]
         for a, b in zip(borders[:-1], borders[1:], strict=True):
-            for s in range(a, b, pool):
-                pairs(*(x[s : min(b, s + pool)] for x in now[1:]))
+            even(now, a, b)
         s = borders[-1]
-        while len(group) - s >= pool:
+        while len(group) - s >= 2 * pool:
             pairs(*(x[s : s + pool] for x in now[1:]))
             s += pool
         rest = tuple(x[s:] for x in now)
         if count >= GATHERED:
             yield flush()
-    if rest is not None and len(rest[0]) > 1:
-        pairs(*rest[1:])
+    if rest is not None:
+        even(rest, 0, len(rest[0]))
     if count:
         yield flush()
 
@@ -166,10 +173,16 @@ def _buckets(codes: DataFrame, bits: int, dims: int, seed: int) -> DataFrame:
     return codes.select("id", "code").mapInArrow(run, "center long, id long, worst double")
 
 
+def _strangers(codes: DataFrame, n: int, bits: int, seed: int) -> DataFrame:
+    """(center, id, worst): each vector in a random group, whatever its bucket; the numbers follow those of the buckets."""
+    group = F.pmod(F.xxhash64("id", F.lit(seed + 5)), F.lit(max(1, n // STRANGERS)))
+    return codes.select((group + F.lit(TABLES << bits)).cast("long").alias("center"), "id", F.lit(float("inf")).alias("worst"))
+
+
 def build(distinct: DataFrame, degree: int = DEGREE, seed: int = 7) -> Index:
     """Index of distinct vectors (id, x): every vector is in it.
 
-    Starting from neighbours within random buckets, each round gathers at every vector its neighbours and those whose
+    Starting from neighbours within random buckets and, for vectors alone in theirs, random groups, each round gathers at every vector its neighbours and those whose
     neighbour it is, compares them with one another (so neighbours of neighbours meet), and keeps the nearest.
     """
     codes = checkpointed(distinct.select("id", "x").mapInArrow(_encode, _CODE))
@@ -177,7 +190,8 @@ def build(distinct: DataFrame, degree: int = DEGREE, seed: int = 7) -> Index:
     if not n:
         return Index(codes, codes.select("id", F.array().cast("array<struct<d:float,other:bigint>>").alias("near")))
     bits = max(0, round(log2(max(1, n / 200))))
-    graph = checkpointed(_merge(_local_join(_buckets(codes, bits, size, seed), codes, BUCKET, degree, seed), degree))
+    met = _buckets(codes, bits, size, seed).unionByName(_strangers(codes, n, bits, seed))
+    graph = checkpointed(_merge(_local_join(met, codes, BUCKET, degree, seed), degree))
     watched = F.aggregate(F.slice("near", 1, WATCHED), F.lit(0.0), lambda a, p: a + p["d"])
     before = graph.agg(F.sum(watched)).first()[0]
     for k in range(ROUNDS):
@@ -190,9 +204,11 @@ def build(distinct: DataFrame, degree: int = DEGREE, seed: int = 7) -> Index:
         kept = graph.select("id", F.inline("near")).select("id", "other", "d")
         graph = checkpointed(_merge(kept.unionByName(found), degree))
         now = graph.agg(F.sum(watched)).first()[0]
-        if not now or (before is not None and before - now <= SETTLED * before and graph.count() == n):
+        if not now or (before is not None and before - now <= SETTLED * before):
             break
         before = now
+    if n > 1 and graph.count() != n:
+        raise RuntimeError("a vector is not in the neighbour graph")
     return Index(codes, graph)
 
 

@@ -112,6 +112,25 @@ def test_neighbours_edge_rows(spark):
     assert ann.op6(few.where("vec_id = 100")).count() == 0
 
 
+def recall(spark, x, step):
+    """Share of the true 10 nearest found, and whether every query has 10 rows."""
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    asked = list(range(0, len(x), step))
+    got: dict[int, list[int]] = {i: [] for i in asked}
+    for r in ann.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % step == 0).collect():
+        got[r.query_id].append(r.vec_id)
+    want = brute(rows, asked)
+    return sum(len(set(got[q]) & {i for i, _ in want[q]}) for q in asked) / (10 * len(asked)), all(len(v) == 10 for v in got.values())
+
+
+def test_neighbours_of_outliers_beside_tight_clusters(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(20, 64))[rng.integers(0, 20, 4000)] + 0.01 * rng.normal(size=(4000, 64))
+    x[::40] = rng.normal(size=(100, 64))
+    share, whole = recall(spark, x, 40)
+    assert whole and share >= 0.9
+
+
 # Pipeline
 
 
