@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import log2
+from math import frexp, log2
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +28,14 @@ SPREAD = 4096
 STEPS, OPENED, KEPT = 3, 24, 64
 #: Candidate pairs that a task gathers before it keeps the nearest of each vector.
 GATHERED = 1_500_000
-_CODE = "id long, code binary, scale double, norm double"
+#: Squared distances below this share of the squared lengths are computed anew from differences: there the dot product has lost its digits.
+CLOSE = 1e-6
+_CODE = "id long, code binary"
 
 
 @dataclass
 class Index:
-    """codes (id, code, scale, norm): 8-bit vectors with a scale of their own; graph (id, near: distance and id, nearest first)."""
+    """codes (id, code): the bytes of the vectors' doubles, all times one power of two; graph (id, near: squared distance and id, nearest first)."""
 
     codes: DataFrame
     graph: DataFrame
@@ -58,21 +60,31 @@ def classes(rows: DataFrame, most: int) -> DataFrame:
     return first.groupBy("x").agg(F.array_distinct(F.array_sort(F.collect_list("vec_id"))).alias("members")).select("x", F.col("members")[0].alias("id"), "members")
 
 
-def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """8-bit codes: the vector over its scale, rounded; norm is the squared length of what the code stands for."""
+def _encode(batches: Iterator[pa.RecordBatch], shift: int) -> Iterator[pa.RecordBatch]:
+    """The components as bytes, times a power of two that keeps squares in range; no digit is lost."""
     for batch in batches:
         if batch.num_rows:
-            x = np.array(batch.column(1).to_pylist(), np.float64)
-            scale = np.abs(x).max(axis=1) / 127
-            code = np.rint(x / np.maximum(scale, 1e-300)[:, None]).astype(np.int8)
-            norm = (code.astype(np.float64) ** 2).sum(axis=1) * scale**2
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(scale), pa.array(norm)], ["id", "code", "scale", "norm"])
+            x = np.ldexp(np.array(batch.column(1).to_pylist(), np.float64), shift)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in x], pa.binary())], ["id", "code"])
 
 
 def _codes(column: pa.Array) -> np.ndarray:
-    """The codes as a matrix."""
+    """The vectors as a matrix."""
     data = column.to_pylist()
-    return np.frombuffer(b"".join(data), np.int8).reshape(len(data), -1)
+    return np.frombuffer(b"".join(data), np.float64).reshape(len(data), -1)
+
+
+def _squared(x: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows to one another, those of near copies from their differences."""
+    x = x - x.mean(axis=0)
+    norm = (x * x).sum(axis=1)
+    both = norm[:, None] + norm[None, :]
+    d = np.maximum(both - 2 * (x @ x.T), 0)
+    i, j = np.nonzero(d <= CLOSE * both)
+    for k in range(0, len(i), 4096):
+        part = slice(k, k + 4096)
+        d[i[part], j[part]] = ((x[i[part]] - x[j[part]]) ** 2).sum(axis=1)
+    return d
 
 
 def _nearest(v: np.ndarray, w: np.ndarray, d: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,7 +100,7 @@ def _nearest(v: np.ndarray, w: np.ndarray, d: np.ndarray, most: int) -> tuple[np
 
 
 def _compare(batches: Iterator[pa.RecordBatch], pool: int, most: int) -> Iterator[pa.RecordBatch]:
-    """From rows (center, spread, id, worst, code, scale, norm) in groups of center and spread: pairs nearer than id's worst neighbour."""
+    """From rows (center, spread, id, worst, code) in groups of center and spread: pairs nearer than id's worst neighbour."""
     held: list[tuple[np.ndarray, ...]] = []
     count = 0
 
@@ -98,13 +110,11 @@ def _compare(batches: Iterator[pa.RecordBatch], pool: int, most: int) -> Iterato
         held, count = [], 0
         return pa.RecordBatch.from_arrays([pa.array(v), pa.array(w), pa.array(d)], ["id", "other", "d"])
 
-    def pairs(ids, worst, code, scale, norm) -> None:
+    def pairs(ids, worst, code) -> None:
         nonlocal count
-        q = code.astype(np.float32)
-        dots = (q @ q.T).astype(np.float64)  # whole numbers, exact below 2**24
-        d = norm[:, None] + norm[None, :] - 2 * scale[:, None] * scale[None, :] * dots
+        d = _squared(code)
         i, j = np.nonzero((d < worst[:, None]) & (ids[:, None] != ids[None, :]))
-        held.append((ids[i], ids[j], np.maximum(d[i, j], 0).astype(np.float32)))
+        held.append((ids[i], ids[j], d[i, j]))
         count += len(i)
 
     def even(rows: tuple, a: int, b: int) -> None:
@@ -118,7 +128,7 @@ def _compare(batches: Iterator[pa.RecordBatch], pool: int, most: int) -> Iterato
         if not batch.num_rows:
             continue
         group = np.column_stack([batch.column(k).to_numpy() for k in (0, 1)])
-        now = (group, batch.column(2).to_numpy(), batch.column(3).to_numpy(), _codes(batch.column(4)), batch.column(5).to_numpy(), batch.column(6).to_numpy())
+        now = (group, batch.column(2).to_numpy(), batch.column(3).to_numpy(), _codes(batch.column(4)))
         if rest is not None:
             now = tuple(np.concatenate([a, b]) for a, b in zip(rest, now, strict=True))
         group = now[0]
@@ -146,9 +156,9 @@ def _local_join(members: DataFrame, codes: DataFrame, pool: int, most: int, seed
     """
     large = members.groupBy("center").agg(F.ceil(F.count("*") / SPREAD).cast("long").alias("parts")).where("parts > 1")
     dealt = members.join(large, "center", "left").withColumn("spread", F.coalesce(F.pmod(F.xxhash64("id", F.lit(seed)), F.col("parts")), F.lit(0)).cast("long"))
-    rows = dealt.join(codes, "id").select("center", "spread", "id", "worst", "code", "scale", "norm")
+    rows = dealt.join(codes, "id").select("center", "spread", "id", "worst", "code")
     rows = rows.repartition("center", "spread").sortWithinPartitions("center", "spread", F.xxhash64("id", F.lit(seed + 1)))
-    return rows.mapInArrow(lambda it: _compare(it, pool, most), "id long, other long, d float")
+    return rows.mapInArrow(lambda it: _compare(it, pool, most), "id long, other long, d double")
 
 
 def _merge(pairs: DataFrame, most: int) -> DataFrame:
@@ -157,15 +167,30 @@ def _merge(pairs: DataFrame, most: int) -> DataFrame:
     return pairs.groupBy("id").agg(near.alias("near"))
 
 
-def _buckets(codes: DataFrame, bits: int, dims: int, seed: int) -> DataFrame:
-    """(center, id, worst): each vector in the bucket of its signs against `bits` random directions, in TABLES tables."""
-    planes = np.random.default_rng(seed).normal(size=(dims, TABLES * bits))
+def _center(codes: DataFrame) -> np.ndarray:
+    """The mean of all vectors; each task sends one row."""
+
+    def run(batches):
+        total, n = 0.0, 0
+        for batch in batches:
+            if batch.num_rows:
+                total, n = total + _codes(batch.column(0)).sum(axis=0), n + batch.num_rows
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["total", "n"])
+
+    parts = codes.select("code").mapInArrow(run, "total binary, n long").collect()
+    return sum(np.frombuffer(p.total, np.float64) for p in parts) / sum(p.n for p in parts)
+
+
+def _buckets(codes: DataFrame, bits: int, center: np.ndarray, seed: int) -> DataFrame:
+    """(center, id, worst): each vector in the bucket of its signs, seen from the mean, against `bits` random directions, in TABLES tables."""
+    planes = np.random.default_rng(seed).normal(size=(len(center), TABLES * bits))
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            signs = (_codes(batch.column(1)).astype(np.float64) @ planes > 0).reshape(batch.num_rows, TABLES, bits)
+            signs = ((_codes(batch.column(1)) - center) @ planes > 0).reshape(batch.num_rows, TABLES, bits)
             keys = signs @ (1 << np.arange(bits)) + (np.arange(TABLES) << bits)
             ids = np.repeat(batch.column(0).to_numpy(), TABLES)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int64)), pa.array(ids), pa.array(np.full(len(ids), np.inf))], ["center", "id", "worst"])
@@ -185,18 +210,20 @@ def build(distinct: DataFrame, degree: int = DEGREE, seed: int = 7) -> Index:
     Starting from neighbours within random buckets and, for vectors alone in theirs, random groups, each round gathers at every vector its neighbours and those whose
     neighbour it is, compares them with one another (so neighbours of neighbours meet), and keeps the nearest.
     """
-    codes = checkpointed(distinct.select("id", "x").mapInArrow(_encode, _CODE))
-    n, size = codes.agg(F.count("*"), F.max(F.length("code"))).first()
+    most = distinct.agg(F.max(F.array_max(F.transform("x", F.abs)))).first()[0]
+    shift = -frexp(most or 1.0)[1]
+    codes = checkpointed(distinct.select("id", "x").mapInArrow(lambda it: _encode(it, shift), _CODE))
+    n = codes.count()
     if not n:
-        return Index(codes, codes.select("id", F.array().cast("array<struct<d:float,other:bigint>>").alias("near")))
+        return Index(codes, codes.select("id", F.array().cast("array<struct<d:double,other:bigint>>").alias("near")))
     bits = max(0, round(log2(max(1, n / 200))))
-    met = _buckets(codes, bits, size, seed).unionByName(_strangers(codes, n, bits, seed))
+    met = _buckets(codes, bits, _center(codes), seed).unionByName(_strangers(codes, n, bits, seed))
     graph = checkpointed(_merge(_local_join(met, codes, BUCKET, degree, seed), degree))
     watched = F.aggregate(F.slice("near", 1, WATCHED), F.lit(0.0), lambda a, p: a + p["d"])
     before = graph.agg(F.sum(watched)).first()[0]
     for k in range(ROUNDS):
         # A vector with fewer than `degree` neighbours takes any other.
-        worst = graph.select(F.col("id").alias("of"), F.when(F.size("near") >= degree, F.element_at("near", -1)["d"].cast("double")).otherwise(float("inf")).alias("worst"))
+        worst = graph.select(F.col("id").alias("of"), F.when(F.size("near") >= degree, F.element_at("near", -1)["d"]).otherwise(float("inf")).alias("worst"))
         edges = graph.select("id", F.explode("near.other").alias("other"))
         both = edges.select(F.col("id").alias("center"), F.col("other").alias("id")).unionByName(edges.select(F.col("other").alias("center"), "id")).distinct()
         members = both.join(worst, both.id == worst.of).select("center", "id", "worst")
@@ -213,13 +240,11 @@ def build(distinct: DataFrame, degree: int = DEGREE, seed: int = 7) -> Index:
 
 
 def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(query, id, d) from rows (query, id, code, scale, norm, own_code, own_scale, own_norm)."""
+    """(query, id, d) from rows (query, id, code, own_code)."""
     for batch in batches:
         if batch.num_rows:
-            a, b = (_codes(batch.column(k)).astype(np.float32) for k in (2, 5))
-            col = lambda k: batch.column(k).to_numpy()
-            d = col(4) + col(7) - 2 * col(3) * col(6) * np.einsum("ij,ij->i", a, b).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.maximum(d, 0))], ["query", "id", "d"])
+            d = ((_codes(batch.column(2)) - _codes(batch.column(3))) ** 2).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d)], ["query", "id", "d"])
 
 
 def search(index: Index, queries: DataFrame, steps: int = STEPS, opened: int = OPENED, kept: int = KEPT) -> DataFrame:
@@ -228,13 +253,13 @@ def search(index: Index, queries: DataFrame, steps: int = STEPS, opened: int = O
     Each step opens the nearest nodes that are not yet open, along edges in both directions, measures the new nodes and keeps
     the nearest. Every query holds `kept` nodes at most.
     """
-    own = checkpointed(queries.select("query").distinct().join(index.codes.select(F.col("id").alias("query"), F.col("code").alias("own_code"), F.col("scale").alias("own_scale"), F.col("norm").alias("own_norm")), "query"))
+    own = checkpointed(queries.select("query").distinct().join(index.codes.select(F.col("id").alias("query"), F.col("code").alias("own_code")), "query"))
     edges = index.graph.select(F.col("id").alias("node"), F.explode("near.other").alias("id"))
     edges = checkpointed(edges.unionByName(edges.select(F.col("id").alias("node"), F.col("node").alias("id"))).distinct())
 
     def measured(pairs: DataFrame) -> DataFrame:
         rows = pairs.join(index.codes, "id").join(own, "query")
-        return rows.select("query", "id", "code", "scale", "norm", "own_code", "own_scale", "own_norm").mapInArrow(_distances, "query long, id long, d double")
+        return rows.select("query", "id", "code", "own_code").mapInArrow(_distances, "query long, id long, d double")
 
     def nearest(rows: DataFrame) -> DataFrame:
         place = F.row_number().over(Window.partitionBy("query").orderBy("d", "id"))

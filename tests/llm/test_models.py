@@ -131,6 +131,14 @@ def test_neighbours_of_outliers_beside_tight_clusters(spark):
     assert whole and share >= 0.9
 
 
+def test_neighbours_within_a_group_of_near_copies(spark):
+    rng = np.random.default_rng(6)
+    noise = rng.normal(size=(1500, 6)) @ rng.normal(size=(6, 64))
+    x = rng.normal(size=64) + 1e-3 * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    share, whole = recall(spark, x, 30)
+    assert whole and share >= 0.95
+
+
 # Pipeline
 
 
