@@ -13,7 +13,8 @@ from larkspur.session import checkpointed
 _W, _N = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 #: (phrase, label).
 PHRASES: tuple[tuple[str, str], ...] = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: (label, notice). A line matches if it holds at least CONTAINMENT of the notice's distinct words.
+#: (label, notice). A line matches if it holds at least CONTAINMENT of the notice's distinct words, and so does any stretch
+#: of as many words as the notice has, over line breaks.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
@@ -40,6 +41,11 @@ def _texts(docs: DataFrame) -> DataFrame:
     return rows.withColumn("key", F.struct(F.xxhash64("low").alias("a"), F.xxhash64(F.lit("key"), "low").alias("b")))
 
 
+def notice_length(notice: str) -> int:
+    """Words of an ASCII notice, repeated ones too."""
+    return len("".join(c if c.isalnum() else " " for c in notice.lower()).split())
+
+
 def _words(low: Column) -> Column:
     return F.split(low, f"{_N}+")
 
@@ -56,7 +62,7 @@ def word_order(docs: DataFrame, vocabulary: list[str]) -> list[str]:
 
 
 def matching_lines(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = CONTAINMENT) -> DataFrame:
-    """(key, label, containment) of each line that holds `threshold` of a template's words: an exact join.
+    """(key, label, containment) of each line, or stretch over lines, that holds `threshold` of a template's words: an exact join.
 
     A line with c = ceil(threshold * n) of a template's n words has one of its n - c + 1 rarest. So lines meet templates on
     those prefix words only; from the first of them, what is left of either word list (rarest first) must reach c;
@@ -82,7 +88,28 @@ def matching_lines(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEM
     pairs = lines.select("key", "line", F.posexplode("line").alias("pos", "word")).join(table, "word")
     pairs = pairs.where(1 + F.least(F.size("words") - F.col("at") - 1, F.size("line") - F.col("pos") - 1) >= F.col("need"))
     common = F.size(F.array_intersect("line", "words"))
-    return pairs.where(common >= F.col("need")).select("key", "label", (common / F.size("words")).alias("containment")).distinct()
+    found = pairs.where(common >= F.col("need")).select("key", "label", (common / F.size("words")).alias("containment"))
+    return found.unionByName(_wrapped(docs, templates, rows, order)).distinct()
+
+
+def _wrapped(docs: DataFrame, templates: tuple[tuple[str, str], ...], rows: list[tuple], order: list[str]) -> DataFrame:
+    """(key, label, containment) of templates found in stretches of words over line breaks, each as long as the notice.
+
+    A stretch that matches holds a prefix word of the template (`rows`), so only what surrounds those words is compared.
+    """
+    clauses = [(order[r], label, notice_length(templates[n][1]), need, [order[w] for w in ranks]) for r, n, label, _, need, ranks in rows]
+    table = F.broadcast(docs.sparkSession.createDataFrame(clauses, "word string, label string, span int, need int, names array<string>"))
+    held, most = F.array(*map(F.lit, sorted({c[0] for c in clauses}))), max(c[2] for c in clauses)
+    texts = _texts(docs).where(F.contains("low", F.lit("\n"))).select("key", _words(F.col("low")).alias("ws")).where(F.arrays_overlap("ws", held))
+    first = lambda i: F.greatest(i - most + 1, F.lit(0))
+    block = lambda i: F.struct((i - first(i)).alias("at"), F.slice("ws", first(i) + 1, F.lit(2 * most - 1)).alias("near"))
+    spots = F.filter(F.transform("ws", lambda w, i: F.when(F.array_contains(held, w), i)), lambda i: i.isNotNull())
+    blocks = texts.select("key", F.explode(F.transform(spots, block)).alias("b")).select("key", "b.at", "b.near").distinct()
+    pairs = blocks.withColumn("word", F.get("near", F.col("at"))).join(table, "word")
+    starts = F.sequence(F.greatest(F.col("at") - F.col("span") + 1, F.lit(0)), F.col("at"))
+    common = F.array_max(F.transform(starts, lambda k: F.size(F.array_intersect(F.slice("near", k + 1, F.col("span")), "names"))))
+    hits = pairs.where(F.size(F.array_intersect("near", "names")) >= F.col("need")).withColumn("common", common)
+    return hits.where("common >= need").select("key", "label", (F.col("common") / F.size("names")).alias("containment"))
 
 
 def _phrase_pattern(phrase: str) -> str:
@@ -101,8 +128,8 @@ def phrase_starts(low: Column, phrase: str) -> Column:
 def find_licenses(docs: DataFrame) -> DataFrame:
     """One row per row of `docs`: doc_id, n_words, starts (array of positions), base_labels, labels, score.
 
-    labels: those of phrases and of templates that some line matches; score: 1 with a phrase, else the largest
-    containment of a matching line, else 0. Null and empty texts have no words and no labels; repeated rows are
+    labels: those of phrases and of templates that some line or stretch of words matches; score: 1 with a phrase, else the largest
+    containment of a match, else 0. Null and empty texts have no words and no labels; repeated rows are
     each returned.
     """
     low = F.col("low")

@@ -258,3 +258,15 @@ def test_license_edge_rows(spark):
     got = license_scan.op7(documents(spark, texts, extra=True))
     assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(((d, *plain_licenses(t)) for d, t in texts), key=str)
     assert license_scan.op7(documents(spark, [])).count() == 0
+
+
+def test_wrapped_license_notices(spark):
+    texts = [
+        (1, "/*\n * Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files (the 'Software'), to deal"),
+        (2, "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that"),
+        (3, "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy"),
+        (4, "Permission is hereby\ngranted, free of charge,\nto any person obtaining\na copy of this software\nand associated\ndocumentation files"),
+        (5, "Permission is hereby granted, free of charge, to any person obtaining a copy\nnothing else is said here at all, and much later\nof this software and associated documentation files"),
+    ]
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.op7(documents(spark, texts)).collect()}
+    assert got == {1: ("mit", 1.0), 2: ("bsd", 1.0), 3: ("mpl-2.0", 1.0), 4: ("mit", 1.0), 5: ("", 0.0)}
