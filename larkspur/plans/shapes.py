@@ -133,6 +133,14 @@ def number_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").where(x.between(10000, 99900)).select("o_orderkey", formatting.grouped_number(x).alias("grouped"), formatting.si_number(x).alias("thousands"))
 
 
+@query("""WITH v AS (SELECT o_orderkey, o_totalprice, o_totalprice / 1000 AS k FROM orders) SELECT o_orderkey, format('{:,.2f}', o_totalprice) AS grouped,
+CASE WHEN round_even(k, 2) < 10 THEN printf('%.2f', round_even(k, 2)) WHEN round_even(k, 1) < 100 THEN printf('%.1f', round_even(k, 1)) ELSE printf('%.0f', round_even(k, 0)) END || 'k' AS thousands FROM v""")
+def number_format_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """number_format without its filter: every order, with one, two and three digits of thousands."""
+    x = F.col("o_totalprice")
+    return table(spark, sf_dir, "orders").select("o_orderkey", formatting.grouped_number(x).alias("grouped"), formatting.si_number(x).alias("thousands"))
+
+
 _NODES = """nodes AS (SELECT 'all' AS id, NULL AS parent, 0.0::DOUBLE AS v UNION ALL SELECT 'r' || r_regionkey, 'all', 0.0 FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 0.0 FROM nation
 UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_acctbal FROM customer)"""
 _UP = "up(id, ancestor, distance) AS (SELECT id, id, CAST(0 AS BIGINT) FROM nodes UNION ALL SELECT up.id, n.parent, up.distance + 1 FROM up JOIN nodes n ON n.id = up.ancestor WHERE n.parent IS NOT NULL)"
