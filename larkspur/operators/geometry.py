@@ -33,13 +33,16 @@ def polygon_contains(points: DataFrame, key: str, order: str, x: float, y: float
     return e.groupBy(key).agg((F.count_if(straddles & (F.lit(x) < at)) % 2 == 1).alias("inside"))
 
 
+#: Parts of a group whose hulls are found apart.
+PARTS = 64
+
+
 def hull(points: DataFrame, key: str) -> DataFrame:
-    """key, n_hull, area of the convex hull. Only points extreme in their column of a grid of x can be on it, so groups shrink before they meet."""
+    """key, n_hull, area of the convex hull. Hulls of random parts are found first, and their corners alone meet."""
     kind = dict(points.dtypes)[key]
-    lo = points.groupBy(key, "x").agg(F.min("y").alias("a"), F.max("y").alias("b"))
 
-    def chain(frame: pd.DataFrame) -> pd.DataFrame:
-        pts = sorted({(x, y) for x, a, b in zip(frame["x"], frame["a"], frame["b"], strict=True) for y in (a, b)})
+    def ring_of(frame: pd.DataFrame) -> list[tuple[float, float]]:
+        pts = sorted(set(zip(frame["x"], frame["y"], strict=True)))
 
         def half(ps):
             out = []
@@ -49,11 +52,19 @@ def hull(points: DataFrame, key: str) -> DataFrame:
                 out.append(p)
             return out
 
-        ring = pts if len(pts) < 3 else half(pts)[:-1] + half(pts[::-1])[:-1]
+        return pts if len(pts) < 3 else half(pts)[:-1] + half(pts[::-1])[:-1]
+
+    def corners(frame: pd.DataFrame) -> pd.DataFrame:
+        ring = ring_of(frame)
+        return pd.DataFrame({key: [frame[key].iloc[0]] * len(ring), "x": [p[0] for p in ring], "y": [p[1] for p in ring]})
+
+    def whole(frame: pd.DataFrame) -> pd.DataFrame:
+        ring = ring_of(frame)
         area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1], strict=True)) / 2
         return pd.DataFrame({key: [frame[key].iloc[0]], "n_hull": [len(ring)], "area": [area]})
 
-    return lo.groupBy(key).applyInPandas(chain, f"{key} {kind}, n_hull long, area double")
+    parts = points.select(key, "x", "y", F.pmod(F.xxhash64("x", "y"), F.lit(PARTS)).alias("part")).groupBy(key, "part").applyInPandas(corners, f"{key} {kind}, x double, y double")
+    return parts.groupBy(key).applyInPandas(whole, f"{key} {kind}, n_hull long, area double")
 
 
 def nearest_site(points: DataFrame, sites: DataFrame, cell: float, rings: int = 1) -> DataFrame:

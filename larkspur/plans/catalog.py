@@ -77,6 +77,13 @@ def files_by_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
     return virtual_files(spark, sf_dir).groupBy("dir").agg(F.count("*").alias("n"), text.alias("files"))
 
 
+@query(f"WITH {FILES} SELECT dir, name, size, row_number() OVER (PARTITION BY dir ORDER BY name, size) AS position FROM files")
+def files_in_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each file with its place in its folder: rows instead of one array a folder."""
+    place = F.row_number().over(Window.partitionBy("dir").orderBy("name", "size"))
+    return virtual_files(spark, sf_dir).select("dir", "name", "size", place.alias("position"))
+
+
 @query(f"WITH s AS (SELECT o_orderkey, CAST(round(o_totalprice * pow(1024, o_orderkey % 5 - 1)) AS BIGINT) - 2000 AS size FROM orders) SELECT o_orderkey, size, {size_sql('size')} AS size_str FROM s")
 def size_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")

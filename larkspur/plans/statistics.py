@@ -20,6 +20,17 @@ def group_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.array_join(F.transform(items, lambda x: x["l_linenumber"].cast("string")), "").alias("items"))
 
 
+@query("SELECT l_returnflag, l_linestatus, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY l_orderkey, l_linenumber) AS position FROM lineitem")
+def group_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of lineitem with their place in their group. Groups are numbered by ranges of keys, so no task holds a whole one."""
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_orderkey", "l_linenumber").withColumn("part", F.floor(F.col("l_orderkey") / 4096))
+    by = ["l_returnflag", "l_linestatus"]
+    before = F.sum("n").over(Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = rows.groupBy(*by, "part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(before, F.lit(0))).drop("n")
+    place = F.row_number().over(Window.partitionBy(*by, "part").orderBy("l_orderkey", "l_linenumber"))
+    return rows.withColumn("place", place).join(starts, [*by, "part"]).select(*by, "l_orderkey", "l_linenumber", (F.col("before") + F.col("place")).alias("position"))
+
+
 @query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS quantity, count(*) AS n FROM lineitem GROUP BY ALL")
 def flat_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("quantity"), F.count("*").alias("n"))

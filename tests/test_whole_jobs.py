@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larkspur.functions import formatting
+from larkspur.operators import geometry
 from larkspur.plans import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -17,3 +18,13 @@ def test_si_number_carries_to_the_next_power(spark):
 
 def test_every_order_is_formatted(spark):
     assert QUERIES["number_format_all"](spark, FOLDER).count() == spark.read.parquet(f"{FOLDER}/orders.parquet").count()
+
+
+def test_every_line_has_a_place_in_its_group(spark):
+    assert QUERIES["group_rows"](spark, FOLDER).count() == spark.read.parquet(f"{FOLDER}/lineitem.parquet").count()
+
+
+def test_hull_of_parts_is_the_hull(spark):
+    inner = [("a", x / 40, y / 41) for x in range(1, 40) for y in range(1, 40)]
+    rows = spark.createDataFrame([*inner, *(("a", x, y) for x in (0.0, 1.0) for y in (0.0, 1.0)), ("b", 1.0, 2.0)], "label string, x double, y double")
+    assert sorted(tuple(r) for r in geometry.hull(rows, "label").collect()) == [("a", 4, 1.0), ("b", 1, 0.0)]
