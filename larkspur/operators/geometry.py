@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from larkspur.session import checkpointed
+
 
 def _edges(points: DataFrame, key: str, order: str) -> DataFrame:
     by = Window.partitionBy(key)
@@ -67,12 +71,32 @@ def hull(points: DataFrame, key: str) -> DataFrame:
     return parts.groupBy(key).applyInPandas(whole, f"{key} {kind}, n_hull long, area double")
 
 
-def nearest_site(points: DataFrame, sites: DataFrame, cell: float, rings: int = 1) -> DataFrame:
-    """id, site, distance of the nearest site within `rings` cells: an equi-join on grid cells, each site in its cell and those around it."""
+def _site_within(points: DataFrame, sites: DataFrame, cell: float, others: bool) -> DataFrame:
+    """id, site, distance of the nearest site within one cell: an equi-join on grid cells, each site in its cell and those around it."""
     k = lambda c: F.floor(F.col(c) / cell).cast("long")
-    around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-rings, rings + 1) for j in range(-rings, rings + 1)))
+    around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-1, 2) for j in range(-1, 2)))
     s = sites.select("site", F.col("x").alias("sx"), F.col("y").alias("sy"), F.explode(around).alias("o"), k("x").alias("kx"), k("y").alias("ky"))
     s = s.select("site", "sx", "sy", (F.col("kx") + F.col("o.i")).alias("kx"), (F.col("ky") + F.col("o.j")).alias("ky"))
     d = F.sqrt((F.col("x") - F.col("sx")) * (F.col("x") - F.col("sx")) + (F.col("y") - F.col("sy")) * (F.col("y") - F.col("sy")))
-    met = points.withColumn("kx", k("x")).withColumn("ky", k("y")).join(s, ["kx", "ky"]).select("id", "site", d.alias("distance")).where(F.col("distance") <= cell * rings)
+    met = points.withColumn("kx", k("x")).withColumn("ky", k("y")).join(s, ["kx", "ky"]).select("id", "site", d.alias("distance")).where(F.col("distance") <= cell)
+    met = met.where(F.col("id") != F.col("site")) if others else met
     return met.groupBy("id").agg(F.min_by("site", F.struct("distance", "site")).alias("site"), F.min("distance").alias("distance"))
+
+
+def nearest_site(points: DataFrame, sites: DataFrame, cell: float, others: bool = False) -> DataFrame:
+    """id, site, distance of the nearest site of every point with finite coordinates; with `others`, of those with another id.
+
+    What is found within one cell is the nearest. For points that are still without a site the cells are doubled, until one
+    spans all points and sites.
+    """
+    finite = lambda df: df.where(F.abs("x") < float("inf")).where(F.abs("y") < float("inf"))
+    rest, sites = finite(points), finite(sites)
+    every = rest.select("x", "y").unionByName(sites.select("x", "y"))
+    span = every.agg(F.max("x") - F.min("x") + F.max("y") - F.min("y")).first()[0] or 0.0
+    found = []
+    while True:
+        found.append(checkpointed(_site_within(rest, sites, cell, others)))
+        rest = checkpointed(rest.join(found[-1].select("id"), "id", "left_anti"))
+        if cell > span or rest.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        cell *= 2

@@ -246,4 +246,12 @@ m AS (SELECT id, site, sqrt((x - sx) * (x - sx) + (y - sy) * (y - sy)) AS d FROM
 def nearest_neighbor(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _polygons(spark, sf_dir).select(F.col("vec_id").alias("id"), "x", "y")
     sites = v.where("id % 10 = 0").select(F.col("id").alias("site"), "x", "y")
-    return geometry.nearest_site(v, sites, 0.1).select("id", "site", F.round("distance", 9).alias("distance"))
+    return geometry.nearest_site(v, sites, 0.1).where("distance <= 0.1").select("id", "site", F.round("distance", 9).alias("distance"))
+
+
+@query("""WITH v AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
+m AS (SELECT v.id, s.id AS site, sqrt((v.x - s.x) * (v.x - s.x) + (v.y - s.y) * (v.y - s.y)) AS d FROM v JOIN v AS s ON v.id <> s.id) SELECT id, arg_min(site, (d, site)) AS site, round(min(d), 9) AS distance FROM m GROUP BY 1""")
+def nearest_other(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest of all other rows, however far."""
+    v = _polygons(spark, sf_dir).select(F.col("vec_id").alias("id"), "x", "y")
+    return geometry.nearest_site(v, v.withColumnRenamed("id", "site"), 0.01, others=True).select("id", "site", F.round("distance", 9).alias("distance"))

@@ -28,3 +28,10 @@ def test_hull_of_parts_is_the_hull(spark):
     inner = [("a", x / 40, y / 41) for x in range(1, 40) for y in range(1, 40)]
     rows = spark.createDataFrame([*inner, *(("a", x, y) for x in (0.0, 1.0) for y in (0.0, 1.0)), ("b", 1.0, 2.0)], "label string, x double, y double")
     assert sorted(tuple(r) for r in geometry.hull(rows, "label").collect()) == [("a", 4, 1.0), ("b", 1, 0.0)]
+
+
+def test_far_points_have_a_nearest_site(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 50.0, 0.0), (3, -7.0, 0.31), (4, float("nan"), 0.0)], "id long, x double, y double")
+    sites = spark.createDataFrame([(10, 0.05, 0.0), (11, -7.0, 1.31)], "site long, x double, y double")
+    assert sorted((r.id, r.site, round(r.distance, 9)) for r in geometry.nearest_site(points, sites, 0.1).collect()) == [(1, 10, 0.05), (2, 10, 49.95), (3, 11, 1.0)]
+    assert geometry.nearest_site(points, sites.limit(0), 0.1).count() == 0
