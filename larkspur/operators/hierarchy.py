@@ -14,7 +14,11 @@ def problems(nodes: DataFrame) -> DataFrame:
     roots = nodes.where("parent is null")
     missing = nodes.where("parent is not null").join(nodes.select(F.col("id").alias("p")), F.col("parent") == F.col("p"), "left_anti").select(F.lit("missing").alias("problem"), "id")
     ambiguous = nodes.groupBy("id").count().where("count > 1").select(F.lit("ambiguous").alias("problem"), "id")
-    several = roots.select("id", F.row_number().over(Window.orderBy("id")).alias("r")).where("r > 1").select(F.lit("multiple roots").alias("problem"), "id")
+    # All but one row of the least root.
+    same = roots.groupBy("id").agg(F.count("*").alias("n"))
+    least = F.broadcast(same.agg(F.min(F.struct("id")).alias("least")))
+    extra = same.crossJoin(least).select("id", (F.col("n") - F.col("id").eqNullSafe(F.col("least.id")).cast("int")).cast("int").alias("n"))
+    several = extra.select(F.explode(F.array_repeat(F.lit("multiple roots"), F.col("n"))).alias("problem"), "id")
     none = roots.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("no root").alias("problem"), F.lit(None).cast(dict(nodes.dtypes)["id"]).alias("id"))
     return missing.unionByName(ambiguous).unionByName(several).unionByName(none)
 

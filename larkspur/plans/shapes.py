@@ -186,6 +186,28 @@ def hier_path_lca(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.lowest_common_ancestor(hierarchy.closure(tree_nodes(spark, sf_dir)), pairs)
 
 
+@query(f"""WITH RECURSIVE {_NODES}, {_UP}, p AS (SELECT 'c' || c_custkey AS a, 'c' || (c_custkey + 1) AS b FROM customer),
+m AS (SELECT p.a, p.b, x.ancestor, x.distance AS da, x.distance + y.distance AS d FROM p JOIN up x ON x.id = p.a JOIN up y ON y.id = p.b AND y.ancestor = x.ancestor) SELECT a, b, arg_min(ancestor, da) AS lca, min(d) AS distance FROM m GROUP BY a, b""")
+def hier_path_lca_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer with the next one."""
+    name = lambda k: F.concat(F.lit("c"), k.cast("string"))
+    k = F.col("c_custkey")
+    pairs = table(spark, sf_dir, "customer").select(name(k).alias("a"), name(k + 1).alias("b"))
+    return hierarchy.lowest_common_ancestor(hierarchy.closure(tree_nodes(spark, sf_dir)), pairs)
+
+
+_FAULTS = """b AS (SELECT id, CASE WHEN id LIKE 'c%7' THEN 'gone' || id WHEN id LIKE 'c%31' THEN NULL ELSE parent END AS parent FROM nodes UNION ALL SELECT id, parent FROM nodes WHERE id LIKE 'c%9')"""
+
+
+@query(f"WITH {_NODES}, {_FAULTS} SELECT 'missing' AS problem, id FROM b WHERE parent IS NOT NULL AND parent NOT IN (SELECT id FROM b) UNION ALL SELECT 'ambiguous', id FROM b GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'multiple roots', id FROM (SELECT id, row_number() OVER (ORDER BY id) AS r FROM b WHERE parent IS NULL) WHERE r > 1")
+def stratify_checks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customer tree with lost parents, further roots and repeated ids."""
+    nodes = tree_nodes(spark, sf_dir).select("id", "parent")
+    id = F.col("id")
+    parent = F.when(id.like("c%7"), F.concat(F.lit("gone"), id)).when(id.like("c%31"), F.lit(None)).otherwise(F.col("parent"))
+    return hierarchy.problems(nodes.select("id", parent.alias("parent")).unionByName(nodes.where(id.like("c%9"))))
+
+
 _BAD = "b AS (SELECT * FROM (VALUES ('a', NULL), ('b', 'a'), ('b', 'a'), ('c', 'zz'), ('d', NULL), ('e', 'b')) AS v(id, parent))"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larkspur.functions import formatting
-from larkspur.operators import geometry
+from larkspur.operators import geometry, hierarchy
 from larkspur.plans import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -35,3 +35,14 @@ def test_far_points_have_a_nearest_site(spark):
     sites = spark.createDataFrame([(10, 0.05, 0.0), (11, -7.0, 1.31)], "site long, x double, y double")
     assert sorted((r.id, r.site, round(r.distance, 9)) for r in geometry.nearest_site(points, sites, 0.1).collect()) == [(1, 10, 0.05), (2, 10, 49.95), (3, 11, 1.0)]
     assert geometry.nearest_site(points, sites.limit(0), 0.1).count() == 0
+
+
+def test_repeated_roots_are_all_but_one(spark):
+    rows = spark.createDataFrame([("d", None), ("a", None), ("a", None), ("b", None), ("b", None), ("c", "a")], "id string, parent string")
+    got = hierarchy.problems(rows)
+    assert sorted(r.id for r in got.where("problem = 'multiple roots'").collect()) == ["a", "b", "b", "d"]
+    assert "Window" not in got._jdf.queryExecution().toString()
+
+
+def test_every_customer_is_in_a_pair(spark):
+    assert QUERIES["hier_path_lca_all"](spark, FOLDER).count() == spark.read.parquet(f"{FOLDER}/customer.parquet").count() - 1
