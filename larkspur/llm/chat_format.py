@@ -143,3 +143,21 @@ def op1(conversations: DataFrame, encoder: SpanEncoder) -> DataFrame:
     rows = conversations.select(*cols).unionByName(conversations.sparkSession.createDataFrame(EXTRA, "conv_id long, turn long, role string, text string"))
     done = format_conversations(rows, encoder).select("conv_id", "formatted", "loss_starts", "loss_stops")
     return done.mapInArrow(_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+def _oracle() -> str:
+    """DuckDB SQL for op1, straight from the turns; the length of the formatted text from the places that are escaped."""
+    extra = ", ".join(f"({c}, {t}, '{role}', '{text}')" for c, t, role, text in EXTRA)
+    # A backslash goes before backslashes and marks; a run of n number signs holds n - 2 marks.
+    escaped = lambda x: f"length({x}) + length({x}) - length(replace({x}, '\\', '')) + (length({x}) - length(replace({x}, '</turn>', ''))) // 7 + coalesce(list_sum(list_transform(regexp_extract_all({x}, '#{{3,}}'), lambda r: length(r) - 2)), 0)"
+    frame = len(HEAD) + len(COLON) + len(TAIL)
+    return f"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations UNION ALL SELECT * FROM (VALUES {extra}) AS v(conv_id, turn, r, t))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, r, t)) AS turns_sha256,
+  CAST(coalesce(sum(length(t)) FILTER (r = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, r, t) FILTER (r = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({frame} + {escaped('r')} + length(r) - length(replace(r, ':', '')) + {escaped('t')}) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id"""
+
+
+ORACLE_SQL = _oracle()

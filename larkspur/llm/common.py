@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,43 @@ WORD_BYTE = np.zeros(256, dtype=bool)
 WORD_BYTE[0x30:0x3A] = WORD_BYTE[0x61:0x7B] = WORD_BYTE[0x80:] = True
 
 
+def unused(rows: DataFrame, name: str) -> str:
+    """`name`, lengthened until no column of `rows` has it in either case."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with `value` computed once a row, however often the body names it, inner lambdas included."""
+    return F.transform(F.array(value), body)[0]
+
+
+#: Values that one inner step of running() goes through.
+_BLOCK = 256
+
+
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """The running totals of an array of longs under an associative `join` with 0 for neutral.
+
+    Totals are made within blocks and then over them: n values take about n * sqrt(n) steps, not n * n.
+    """
+    none = F.array(F.lit(0).cast("long"))
+    grow = lambda acc, x: F.array_append(acc, join(F.get(acc, F.size(acc) - 1), x))
+    within = lambda xs: F.slice(F.aggregate(xs, none, grow), F.lit(2), F.size(xs))
+
+    def in_blocks(values: Column) -> Column:
+        count = F.ceil(F.size(values) / F.lit(float(_BLOCK))).cast("int")
+        return F.transform(F.sequence(F.lit(1), count), lambda k: bound(F.slice(values, (k - 1) * _BLOCK + 1, F.lit(_BLOCK)), within))
+
+    def joined(blocks: Column) -> Column:
+        before = F.aggregate(blocks, none, lambda acc, b: grow(acc, F.get(b, F.size(b) - 1)))
+        return bound(before, lambda off: F.flatten(F.transform(blocks, lambda b, i: F.transform(b, lambda x: join(F.get(off, i), x)))))
+
+    return bound(values, lambda v: F.when(F.size(v) > 0, bound(in_blocks(v), joined)).otherwise(F.array().cast("array<bigint>")))
+
+
 def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:
     """The column with null read as the empty text."""
     return pc.fill_null(batch.column(batch.schema.get_field_index(name)), "")
@@ -105,6 +142,20 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.n
     return mix((total[stops] - total[starts]) * inverse[starts])
 
 
+#: Keys of rows that are broadcast at most, counted first (24 bytes each); more of them are joined by a shuffle.
+MOST_KEYS = 500_000
+
+
 def same_row(docs: DataFrame, keys: DataFrame) -> Column:
-    """Condition that a row of `docs` is the one that `keys` (__key_id, __key_hash) names: null-safe doc_id and hash of the text."""
-    return docs["doc_id"].cast("long").eqNullSafe(keys["__key_id"]) & F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))).eqNullSafe(keys["__key_hash"])
+    """Condition that a row of `docs` is the one that `keys` (doc_id, text_hash) names: null-safe doc_id and hash of the text."""
+    return docs["doc_id"].cast("long").eqNullSafe(keys["doc_id"]) & F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))).eqNullSafe(keys["text_hash"])
+
+
+def counted(keys: DataFrame) -> DataFrame:
+    """`keys` (materialised), marked for broadcast if they are few, so that what they meet need not be shuffled."""
+    return F.broadcast(keys) if keys.count() <= MOST_KEYS else keys
+
+
+def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of `docs` that the materialised `keys` (doc_id, text_hash) don't name."""
+    return docs.join(counted(keys), same_row(docs, keys), "left_anti")

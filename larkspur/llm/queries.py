@@ -58,4 +58,9 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_chat_format, op2_token_counts, op3_bpe, op4_secrets, op5_quality, op6_neighbours, op7_licenses, op8_benchmark_overlap, op9_toxicity, op10_simhash_groups)
 }
-ORACLES: dict[str, str] = {"op4_secrets": secret_scan.ORACLE_SQL, "op7_licenses": license_scan.ORACLE_SQL}
+ORACLES: dict[str, str] = {
+    "op1_chat_format": chat_format.ORACLE_SQL,
+    "op4_secrets": secret_scan.ORACLE_SQL,
+    "op7_licenses": license_scan.ORACLE_SQL,
+    "op8_benchmark_overlap": winnowing.ORACLE_SQL,
+}

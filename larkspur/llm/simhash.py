@@ -11,13 +11,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import same_row, text_column
+from larkspur.llm.common import counted, same_row, text_column, unused, without
 from larkspur.llm.components import connected_components
 from larkspur.session import checkpointed
 
 SHINGLE, BITS, SEGMENT = 3, 64, 32
 #: Shingles whose bits are summed at once.
 BLOCK = 1 << 16
+#: Fingerprints whose variants one task makes.
+SPREAD = 100_000
 
 
 def fingerprint(text: str, width: int = SHINGLE) -> int:
@@ -61,6 +63,12 @@ def _variants(fps: DataFrame) -> DataFrame:
     return fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
 
 
+def _spread(fps: DataFrame) -> DataFrame:
+    """Materialised fingerprints dealt to as many tasks as their number asks for: a few bytes each, but soon 64 rows."""
+    tasks = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), fps.count() // SPREAD + 1)
+    return fps.repartition(tasks, "fp")
+
+
 def _neighbours(fps: DataFrame) -> DataFrame:
     """(near, fp): the fingerprint itself and all 64 at one bit's distance."""
     flips = [F.lit(0).cast("long"), *(F.lit((1 << b) - (1 << 64 if b == 63 else 0)).cast("long") for b in range(BITS))]
@@ -76,7 +84,7 @@ def link_fingerprints(fps: DataFrame) -> DataFrame:
     fingerprints are at distance 2 or less exactly if they share one), each linked to the least fingerprint there.
     So the edges stay linear in the fingerprints however many near copies there are.
     """
-    variants = _variants(fps)
+    variants = _variants(_spread(fps))
     keys = variants.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("n > 1")
     keys = checkpointed(keys)
     pairs = keys.where("n = 2").select("u", "v").where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2)
@@ -111,20 +119,22 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of `docs` without all but one of each group of near duplicates: that of the least doc_id (null last).
 
-    Rows of one doc_id and one text are told apart by nothing, and one of them stays.
+    Rows of one doc_id and one text are told apart by nothing, and one of them stays. Rows are taken out by the keys of
+    those to drop, so that texts stay where they are for as long as the keys are few enough to broadcast.
     """
     found = checkpointed(with_fingerprints(docs))
-    first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("__key_id"), F.col("text_hash").alias("__key_hash"))
-    best = _rooted(found, first).groupBy("root").agg(F.min("first").alias("best")).select("best.__key_id", "best.__key_hash")
-    best = checkpointed(best)
-    same = found.doc_id.eqNullSafe(best["__key_id"]) & (found.text_hash == best["__key_hash"])
-    repeated = checkpointed(found.join(best, same).groupBy("__key_id", "__key_hash").count().where("count > 1").drop("count"))
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    best = _rooted(found, first).groupBy("root").agg(F.min("first").alias("best")).select(F.col("best.doc_id").alias("best_id"), F.col("best.text_hash").alias("best_hash"))
+    rows = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
+    rows = checkpointed(rows.join(best, rows.doc_id.eqNullSafe(best.best_id) & (rows.text_hash == best.best_hash), "left"))
+    repeated = checkpointed(rows.where("best_hash is not null and n > 1").select("doc_id", "text_hash"))
+    once = without(docs, checkpointed(rows.where("best_hash is null or n > 1").select("doc_id", "text_hash")))
     if repeated.isEmpty():
-        return docs.join(best, same_row(docs, best), "left_semi")
-    single = best.exceptAll(repeated)
-    once = docs.join(single, same_row(docs, single), "left_semi")
-    twice = docs.join(repeated, same_row(docs, repeated)).dropDuplicates(["__key_id", "__key_hash"])
-    return once.unionByName(twice.select(*(twice[c] for c in docs.columns)))
+        return once
+    key = [unused(docs, "__id"), unused(docs, "__hash")]
+    names = repeated.select(F.col("doc_id").alias(key[0]), F.col("text_hash").alias(key[1]), "doc_id", "text_hash")
+    twice = docs.join(counted(names), same_row(docs, names)).select(*(docs[c] for c in docs.columns), *key)
+    return once.unionByName(twice.dropDuplicates(key).drop(*key))
 
 
 def op10(docs: DataFrame) -> DataFrame:

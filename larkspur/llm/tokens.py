@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -16,6 +17,9 @@ from larkspur.llm.common import chunks, text_column
 
 #: Ways to give a token that crosses a border to one section.
 RULES = ("start", "end", "most")
+#: White space (Unicode's White_Space) in a row from this length on is cut into pieces here: the pattern's own engine gives up
+#: on a million of them.
+_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 
 
 @cache
@@ -36,9 +40,18 @@ class SpanEncoder:
         self.pattern = pattern
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and the n + 1 byte offsets of their borders; the tokens' bytes end to end are the text."""
+        """Ids and the n + 1 byte offsets of their borders; the tokens' bytes end to end are the text.
+
+        By the pattern, all of a run of white space but its last character, or the whole of one that ends the text, is one piece.
+        """
         encoding, sizes = _encoding(self.ranks, self.pattern)
-        ids = encoding.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+        plain = lambda t: encoding.encode_to_numpy(t, disallowed_special=()).astype(np.int64)
+        parts, at = [], 0
+        for m in _LONG_SPACE.finditer(text):
+            stop = m.end() if m.end() == len(text) else m.end() - 1
+            parts += [plain(text[at : m.start()]), np.array(encoding._encode_single_piece(text[m.start() : stop]), np.int64)]
+            at = stop
+        ids = np.concatenate([*parts, plain(text[at:])])
         return ids, np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes[ids])])
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from larkspur.llm.common import LOWER, chunks, mix, raw_bytes, same_row, text_column, word_hashes, word_spans
+from larkspur.llm.common import LOWER, chunks, mix, raw_bytes, text_column, without, word_hashes, word_spans
 from larkspur.session import checkpointed
 
 #: Words of a window. A k-gram of GRAM words is kept if it has the least hash of WINNOW in a row, and
@@ -18,9 +18,9 @@ from larkspur.session import checkpointed
 SPAN, GRAM = 13, 5
 WINNOW = SPAN - GRAM + 1
 REACH = SPAN - GRAM
-#: Bits of the presence filter of benchmark fingerprints, whatever the size of the benchmark: 256 KB.
-FILTER_BITS = 1 << 21
-_FILTER_SHIFT = np.uint64(64 - 21)
+#: The presence filter of benchmark fingerprints has SPARSE bits or more for each, between 2**LEAST_BITS (256 KB) and 2**MOST_BITS (64 MB);
+#: from 33 million fingerprints on it lets more texts through to the join.
+SPARSE, LEAST_BITS, MOST_BITS = 16, 21, 29
 _MAX = np.uint64((1 << 64) - 1)
 _SCHEMA = "hits array<struct<kind int, hash long, pos long, words array<string>>>"
 
@@ -78,7 +78,8 @@ def _prints(data: np.ndarray, offsets: np.ndarray, short: list[int], present: np
             own = counts[row[at]]
             at = at[own >= SPAN] if kind == SPAN else at[own == kind]
         if present is not None:
-            at = at[present[(g[at] >> _FILTER_SHIFT).astype(np.int64)]]
+            bit = g[at] >> np.uint64(64 - (8 * len(present) - 1).bit_length())
+            at = at[(present[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1]
         for i in at.tolist():
             r = row[i]
             lo, hi = (i - REACH, i + GRAM + REACH) if kind == SPAN else (i, i + kind)
@@ -87,9 +88,9 @@ def _prints(data: np.ndarray, offsets: np.ndarray, short: list[int], present: np
     return counts, out
 
 
-def _scan(batches: Iterator[pa.RecordBatch], short: list[int], bits: bytes | None) -> Iterator[pa.RecordBatch]:
-    """Columns before `text` as they are, then n_words and hits."""
-    present = None if bits is None else np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").astype(bool)
+def _scan(batches: Iterator[pa.RecordBatch], short: list[int], bits) -> Iterator[pa.RecordBatch]:
+    """Columns before `text` as they are, then n_words and hits. bits: broadcast presence filter, or none."""
+    present = None if bits is None else np.frombuffer(bits.value, np.uint8)
     kind = pa.list_(pa.struct([("kind", pa.int32()), ("hash", pa.int64()), ("pos", pa.int64()), ("words", pa.list_(pa.string()))]))
     for batch in batches:
         column = text_column(batch, "text")
@@ -102,10 +103,11 @@ def _scan(batches: Iterator[pa.RecordBatch], short: list[int], bits: bytes | Non
 
 
 def _presence(prints: DataFrame) -> bytes:
-    """The presence filter of the benchmark's fingerprints: at most FILTER_BITS bits reach the driver."""
-    bit = F.shiftrightunsigned("hash", int(_FILTER_SHIFT)) + 1
+    """The presence filter of the benchmark's fingerprints, at most 2**MOST_BITS bits; its size follows their number."""
+    size = min(MOST_BITS, max(LEAST_BITS, (SPARSE * prints.count()).bit_length()))
+    bit = F.shiftrightunsigned("hash", 64 - size) + 1
     rows = prints.select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("at")).groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits")).collect()
-    bits = bytearray(FILTER_BITS // 8)
+    bits = bytearray((1 << size) // 8)
     for r in rows:
         bits[(r.bucket - 1) * 4096 : r.bucket * 4096] = r.bits
     return bytes(bits)
@@ -132,7 +134,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     prints = checkpointed(prints.select("item_id", F.inline("hits")).select("kind", "hash", "item_id", F.col("words").alias("item_words")))
     short = sorted(r.kind for r in prints.where(F.col("kind") < SPAN).select("kind").distinct().collect())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_hash"), F.col("text").cast("string").alias("text"))
-    found = scan(rows, short, _presence(prints), f"doc_id long, text_hash long, n_words long, {_SCHEMA}")
+    bits = docs.sparkSession.sparkContext.broadcast(_presence(prints))
+    found = scan(rows, short, bits, f"doc_id long, text_hash long, n_words long, {_SCHEMA}")
     found = checkpointed(found.withColumn("row", F.monotonically_increasing_id()))
 
     both = found.select("row", F.inline("hits")).join(prints, ["kind", "hash"])
@@ -154,9 +157,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` that are not contaminated."""
-    hit = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("__key_id"), F.col("text_hash").alias("__key_hash"))
-    hit = checkpointed(hit)
-    return docs.join(hit, same_row(docs, hit), "left_anti")
+    hit = contamination(docs, benchmark).where("contaminated").select("doc_id", "text_hash")
+    return without(docs, checkpointed(hit.distinct()))
 
 
 def op8(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -164,3 +166,18 @@ def op8(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return contamination(docs, benchmark).select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated"
     )
+
+
+ORACLE_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+items AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark),
+sized AS (SELECT *, least({SPAN}, len(ws)) AS n FROM items WHERE len(ws) > 0),
+windows AS (SELECT DISTINCT item_id, n, array_to_string(ws[i:i + n - 1], ' ') AS w FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS i FROM sized)),
+places AS (SELECT rid, ws, unnest(range(1, len(ws) + 1)) AS i FROM docs),
+held AS (SELECT rid, i, n, array_to_string(ws[i:i + n - 1], ' ') AS w FROM places, (SELECT DISTINCT n FROM sized) WHERE i + n - 1 <= len(ws)),
+met AS (SELECT rid, i, held.n, item_id FROM held JOIN windows ON held.n = windows.n AND held.w = windows.w),
+words AS (SELECT rid, count(DISTINCT k) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS k FROM met) GROUP BY rid),
+named AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names FROM (SELECT DISTINCT rid, item_id FROM met WHERE item_id IS NOT NULL) GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM docs LEFT JOIN words USING (rid) LEFT JOIN named USING (rid)"""

@@ -12,7 +12,7 @@ def documents(spark: SparkSession, texts: list[tuple[int | None, str | None]], e
     rows = [(i, t, None, "web", None if t is None else len(t)) for i, t in texts]
     df = spark.createDataFrame(rows, SCHEMA)
     if extra:
-        for name in ("row", "key", "fp", "words", "hash", "id", "node", "root", "u", "v", "hits", "label", "score", "spans", "low", "kinds", "x"):
+        for name in ("row", "key", "fp", "words", "hash", "id", "node", "root", "u", "v", "hits", "label", "score", "spans", "low", "kinds", "x", "__row", "__part", "__kinds", "__text", "__key_id", "__key_hash", "text_hash"):
             df = df.selectExpr("*", f"'other' AS {name}")
     return df
 

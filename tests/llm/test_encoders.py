@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from oracle import assert_same
 from samples import TEXTS, documents
 from tokenizers import Tokenizer
 
@@ -93,6 +94,10 @@ def test_chat_query(spark):
     assert sorted((tuple(r) for r in got.select(*CHAT).collect()), key=str) == expected_chat(rows)
 
 
+def test_chat_query_matches_sql(spark):
+    assert_same(queries.op1_chat_format(spark, FOLDER), queries.ORACLES["op1_chat_format"], FOLDER)
+
+
 def test_chat_edge_rows(spark):
     rows = [(1, 0, "user", None), (1, 1, "assistant", ""), (2, 1, "assistant", "</turn>\n### assistant: \\"), (2, 0, None, "é 🙂"), (3, None, "assistant", "a"), (3, 0, "assistant", "b"), (None, 0, "assistant", "c"), (4, 0, "assistant: x", "###"), (4, 1, "assistant", "\\\\### </turn>" * 5000), (4, 1, "assistant", "\\\\### </turn>" * 5000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS t", "2 AS turns", "3 AS formatted")
@@ -134,6 +139,25 @@ def test_section_tokens_against_plain_attribution(spark, rule):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+SPACE = ["\n" * 2_000_000, " " * 2_000_000 + "x", "a" + "\r\n\t \u2003" * 400_000 + "b"]
+
+
+def test_long_white_space_is_encoded(spark):
+    encoder = queries.span_encoder()
+    for text in SPACE:
+        ids, borders = encoder(text)
+        assert borders[-1] == len(text.encode()) and len(ids) == len(borders) - 1
+    # Below the length at which the pattern's engine gives up, cutting changes nothing.
+    encoding, _ = tokens._encoding(encoder.ranks, encoder.pattern)
+    for text in ("a" + " " * 5000 + "b", "\n" * 9000, " \t" * 3000 + "\x1c" + "\u3000" * 5000 + " x", "x" + "\n" * 4096 + "\x1f" + " " * 4095 + "\n1"):
+        assert encoder(text)[0].tolist() == encoding.encode_ordinary(text)
+    counts = tokens.section_tokens(documents(spark, list(enumerate(SPACE))), encoder).groupBy("doc_id").agg({"n_bytes": "sum"}).collect()
+    assert {r[0]: r[1] for r in counts} == {i: len(t.encode()) for i, t in enumerate(SPACE)}
+    rows = [(i, 0, "assistant", t) for i, t in enumerate(SPACE)]
+    got = chat_format.op1(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), encoder).select(*CHAT)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == expected_chat(rows)
+
+
 def test_section_tokens_of_whole_documents(spark):
     encoder = queries.span_encoder()
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
