@@ -7,6 +7,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.common import running
 from larkspur.session import checkpointed
 
 #: Words are runs of these characters in lower-cased text.
@@ -16,12 +17,20 @@ PHRASES: tuple[tuple[str, str], ...] = (("cc by", "cc-by"), ("general public lic
 #: (label, notice). A line matches if it holds at least CONTAINMENT of the notice's distinct words, and so does any stretch
 #: of as many words as the notice has, over line breaks.
 TEMPLATES: tuple[tuple[str, str], ...] = (
+    ("agpl", "GNU Affero General Public License, version 3."),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("gpl", "This work is licensed under the GNU General Public License, version 3."),
+    ("gpl", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("lgpl", "GNU Lesser General Public License, version 2.1."),
     ("mit", "Released under the MIT License."),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("public-domain", "This is free and unencumbered software released into the public domain."),
     ("reserved", "All rights reserved."),
@@ -118,11 +127,11 @@ def _phrase_pattern(phrase: str) -> str:
 
 
 def phrase_starts(low: Column, phrase: str) -> Column:
-    """The word positions at which the phrase's words stand consecutively."""
+    """The word positions at which the phrase's words stand consecutively: running sums of the words between them."""
     pattern, size = _phrase_pattern(phrase), len(phrase.split())
-    counts = F.transform(F.split(low, pattern, -1), lambda x: F.regexp_count(x, F.lit(f"{_W}+")).cast("long"))
-    upto = lambda i: F.aggregate(F.slice(counts, F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, x: a + x) + i * size
-    return F.transform(F.sequence(F.lit(0), F.size(counts) - 2), upto)
+    words = F.transform(F.split(low, pattern, -1), lambda x: F.regexp_count(x, F.lit(f"{_W}+")).cast("long") + size)
+    stops = running(F.slice(words, F.lit(1), F.size(words) - 1), lambda a, b: a + b)
+    return F.transform(stops, lambda x: x - size)
 
 
 def find_licenses(docs: DataFrame) -> DataFrame:
@@ -154,11 +163,11 @@ def op7(docs: DataFrame) -> DataFrame:
 
 
 def _oracle() -> str:
-    """DuckDB SQL for op7: phrase places in word lists, and all lines against all templates."""
+    """DuckDB SQL for op7: phrase places in word lists; all lines, and all stretches that begin with a word of it, against each template."""
     quote = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
     w = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     phrases = " UNION ALL ".join(f"SELECT {quote(p.split())} AS p, '{label}' AS label" for p, label in PHRASES)
-    templates = " UNION ALL ".join(f"SELECT {quote(template_words(t))} AS ws, '{label}' AS label, {ceil(CONTAINMENT * len(template_words(t)) - 1e-9)} AS need" for label, t in TEMPLATES)
+    templates = " UNION ALL ".join(f"SELECT {quote(template_words(t))} AS ws, '{label}' AS label, {ceil(CONTAINMENT * len(template_words(t)) - 1e-9)} AS need, {notice_length(t)} AS span" for label, t in TEMPLATES)
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, lower(coalesce(text, '')) AS t FROM documents),
 words AS (SELECT rid, doc_id, t, regexp_extract_all(t, '{w}') AS ws FROM docs),
@@ -168,7 +177,8 @@ starts AS (SELECT rid, i - 1 AS pos, label FROM spots, phrases WHERE ws[i] = p[1
 base AS (SELECT rid, count(*) AS n, min(pos) AS lo, max(pos) AS hi, list(DISTINCT label) AS labels FROM starts GROUP BY rid),
 templates AS ({templates}),
 lines AS (SELECT DISTINCT rid, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '{w}')) AS ls FROM words),
-hits AS (SELECT rid, label, len(list_intersect(ls, templates.ws)) AS c, len(templates.ws) AS n, need FROM lines, templates),
+hits AS (SELECT rid, label, len(list_intersect(ls, templates.ws)) AS c, len(templates.ws) AS n, need FROM lines, templates
+UNION ALL SELECT rid, label, len(list_intersect(list_distinct(spots.ws[i:i + span - 1]), templates.ws)), len(templates.ws), need FROM spots JOIN (SELECT *, unnest(ws) AS w FROM templates) AS templates ON spots.ws[i] = w),
 found AS (SELECT rid, list(DISTINCT label) AS labels, max(c / n) AS containment FROM hits WHERE c >= need GROUP BY rid)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(base.n, 0) AS BIGINT) AS n_base, CAST(lo AS BIGINT) AS first_word, CAST(hi AS BIGINT) AS last_word,
   array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,

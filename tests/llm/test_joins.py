@@ -9,6 +9,8 @@ from collections import Counter
 
 import pytest
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from oracle import assert_same
 from pyspark.sql import functions as F
 from samples import TEXTS, documents
@@ -142,6 +144,16 @@ def test_contamination_query_equals_brute_force(spark):
     want = plain_contamination(rows_of(spark, "documents"), rows_of(spark, "benchmark"))
     got = sorted((tuple(r) for r in queries.op8_benchmark_overlap(spark, FOLDER).collect()), key=str)
     assert got == want
+    assert_same(queries.op8_benchmark_overlap(spark, FOLDER), queries.ORACLES["op8_benchmark_overlap"], FOLDER)
+
+
+def test_presence_filter_grows_with_the_benchmark(spark):
+    prints = spark.range(300_000).selectExpr("xxhash64(id) AS hash")
+    bits = winnowing._presence(prints)
+    assert len(bits) == 1 << 20
+    for r in prints.limit(500).collect():
+        at = (r.hash & (1 << 64) - 1) >> 64 - 23
+        assert bits[at >> 3] >> (at & 7) & 1
 
 
 def test_contamination_edge_rows(spark):
@@ -205,6 +217,62 @@ def test_secret_edge_rows(spark):
     assert secret_scan.op4(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("rule", secret_scan.RULES, ids=lambda r: r[0])
+def test_trigram_queries_accept_what_their_rules_match(rule):
+    query = secret_scan.trigram_query(rule)
+    assert bool(query.alternatives) == (rule[0] != "hex")
+
+    @settings(max_examples=150, deadline=None)
+    @given(st.from_regex(rule[1], fullmatch=False))
+    def holds(text):
+        assert query.accepts(text)
+
+    holds()
+
+
+def test_trigram_queries_of_other_regexes():
+    query = lambda p: secret_scan.trigram_query(("own", p, 0, 0, 1)).alternatives
+    assert query("[0-9]{3}|abcd") == query("(abc)?[0-9]+") == query("ab[a-z]cd") == ()
+    assert query("Abc+") == ()
+    assert query("xabc+") == (("xab",),)
+    assert query("(one|two)?three(?:four)+") == (("fou", "hre", "our", "ree", "thr"),)
+    assert query("abc|xyz[0-9]*") == (("abc",), ("xyz",))
+
+
+def test_own_rules_are_found_in_every_branch(spark):
+    rules = (("own", "(abcd|e[xy]f[0-9]+|12|gh[0-9]{2,}jkl)", 0, 1, 1), ("named", "(needle)[0-9]", 0, 1, 1))
+    texts = [(1, "abcd 12 exf1"), (2, "eyf77"), (3, "a12"), (4, "gh123jkl needle5"), (5, "needle"), (6, None)]
+    got = {r.doc_id: [(s.kind, s.start, s.stop) for s in r["found"]] for r in secret_scan.find_secrets(documents(spark, texts), rules, "found").collect()}
+    want = {i: sorted(((k, m.start(), m.end()) for k, p, *_ in rules for m in re.finditer(p, t or "")), key=lambda s: s[1]) for i, t in texts}
+    assert got == want
+
+
+def test_secrets_of_long_texts(spark):
+    """Work that stays near linear in the matches: 100,000 of them, and as many beginnings of none."""
+    texts = [(1, "é token=abcdefgh1 " * 100_000), (2, "eyJ" * 300_000 + " eyJabcdefghij.eyJabcdefghij.abcdefghij")]
+    rows = documents(spark, texts)
+    got = {r.doc_id: r for r in secret_scan.op4(rows).collect()}
+    assert got[1].n_assign == 100_000
+    assert got[1].spans == ",".join(f"assign:{18 * i + 2}:{18 * i + 17}" for i in range(100_000))
+    assert got[2].spans == "jwt:900001:900039"
+    cut = {r.doc_id: (r.text, r.n_chars) for r in secret_scan.redacted(rows).collect()}
+    assert cut[1] == ("é [REDACTED] " * 100_000, 1_300_000)
+    assert cut[2] == ("eyJ" * 300_000 + " [REDACTED]", 900_011)
+
+
+def test_redaction_of_overlapping_spans(spark):
+    rng = random.Random(3)
+    for _ in range(4):
+        text = "".join(rng.choices("ab🙂", k=9000))
+        spans = sorted((a, 0, "x", a + rng.randint(1, 30)) for a in rng.sample(range(8900), 700))
+        df = spark.createDataFrame([(text, spans)], f"text string, s {secret_scan._SPAN}")
+        hidden = {i for a, _, _, b in spans for i in range(a, b)}
+        # Spans that touch without overlapping are marked apart.
+        begins = [a for k, (a, *_) in enumerate(spans) if all(b <= a for _, _, _, b in spans[:k])]
+        want = "".join("#" if i in begins else "" if i in hidden else c for i, c in enumerate(text))
+        assert df.select(secret_scan.redact(F.col("text"), F.col("s"), "#")).first()[0] == want
+
+
 def test_redaction_leaves_no_secret(spark):
     docs = documents(spark, SECRETS[:7])
     found = secret_scan.find_secrets(docs)
@@ -225,10 +293,11 @@ def plain_licenses(text: str | None) -> tuple:
         starts += found
         labels |= {label} if found else set()
     every, best = set(labels), 0.0
-    for line in low.split("\n"):
-        for label, notice in license_scan.TEMPLATES:
-            own = set(license_scan.template_words(notice))
-            share = len(own & set(WORD.findall(line))) / len(own)
+    for label, notice in license_scan.TEMPLATES:
+        own, span = set(license_scan.template_words(notice)), license_scan.notice_length(notice)
+        stretches = [words[i : i + span] for i, w in enumerate(words) if w in own]
+        for held in [*map(WORD.findall, low.split("\n")), *stretches]:
+            share = len(own & set(held)) / len(own)
             if share >= license_scan.CONTAINMENT - 1e-12:
                 every.add(label)
                 best = max(best, share)
@@ -260,6 +329,11 @@ def test_license_edge_rows(spark):
     assert license_scan.op7(documents(spark, [])).count() == 0
 
 
+def test_phrases_of_a_text_of_one_phrase(spark):
+    got = license_scan.op7(documents(spark, [(1, "cc by " * 100_000)])).first()
+    assert (got.n_words, got.n_base, got.first_word, got.last_word) == (200_000, 100_000, 0, 199_998)
+
+
 def test_wrapped_license_notices(spark):
     texts = [
         (1, "/*\n * Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files (the 'Software'), to deal"),
