@@ -23,9 +23,9 @@ POOL, BUCKET, TABLES = 128, 512, 2
 #: Mean members of the random groups in which every vector also starts.
 STRANGERS = 128
 #: A group of more members than this is spread over tasks.
-SPREAD = 4096
-#: Greedy search: rounds, nodes opened in each, nodes kept.
-STEPS, OPENED, KEPT = 3, 24, 64
+SPREAD = 512
+#: Greedy search: rounds, nodes opened in each, nodes kept, and the nearest of the nodes that have a node as neighbour to go back to.
+STEPS, OPENED, KEPT, BACK = 3, 24, 64, 50
 #: Candidate pairs that a task gathers before it keeps the nearest of each vector.
 GATHERED = 1_500_000
 #: Squared distances below this share of the squared lengths are computed anew from differences: there the dot product has lost its digits.
@@ -251,11 +251,14 @@ def search(index: Index, queries: DataFrame, steps: int = STEPS, opened: int = O
     """(query, id): the nodes that a greedy walk over the graph keeps for each query (query: an id in the index).
 
     Each step opens the nearest nodes that are not yet open, along edges in both directions, measures the new nodes and keeps
-    the nearest. Every query holds `kept` nodes at most.
+    the nearest. Every query holds `kept` nodes at most, and every node DEGREE edges and BACK backward ones, so that one which is
+    near to many does not fan out.
     """
     own = checkpointed(queries.select("query").distinct().join(index.codes.select(F.col("id").alias("query"), F.col("code").alias("own_code")), "query"))
-    edges = index.graph.select(F.col("id").alias("node"), F.explode("near.other").alias("id"))
-    edges = checkpointed(edges.unionByName(edges.select(F.col("id").alias("node"), F.col("node").alias("id"))).distinct())
+    ahead = index.graph.select(F.col("id").alias("node"), F.inline("near")).select("node", F.col("other").alias("id"), "d")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("d", "id"))
+    back = ahead.select(F.col("id").alias("node"), F.col("node").alias("id"), "d").withColumn("place", place).where(F.col("place") <= BACK)
+    edges = checkpointed(ahead.select("node", "id").unionByName(back.select("node", "id")).distinct())
 
     def measured(pairs: DataFrame) -> DataFrame:
         rows = pairs.join(index.codes, "id").join(own, "query")

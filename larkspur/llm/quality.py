@@ -29,7 +29,10 @@ _BYTES = {
     "bang": b"!",
     "beyond_ascii": range(0x80, 0x100),
 }
-TREES, DEPTH, RULES, PENALTY, THRESHOLD = 24, 3, 400, 0.0005, 0.7
+#: Size of the forest, rules at most, lasso penalty, iterations and tolerance of its fit, and the score from which a text is good.
+TREES, DEPTH, RULES, PENALTY, ITERATIONS, TOLERANCE, THRESHOLD = 24, 3, 400, 0.0005, 60, 1e-4, 0.7
+#: Tasks over the bounded sample: it has some thousand short rows, and each step of a fit is a job.
+SAMPLE_TASKS = 4
 
 
 def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -136,14 +139,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> RuleEnsem
     constant = RuleEnsemble(float(np.log((share.ones + 1) / (share.n - share.ones + 1))), [])
     if share.ones in (0, share.n):
         return constant
-    rows = sample.select("label", *map(_column, STATISTICS), array_to_vector(F.array(*map(_column, STATISTICS))).alias("x")).coalesce(8).cache()
+    rows = sample.select("label", *map(_column, STATISTICS), array_to_vector(F.array(*map(_column, STATISTICS))).alias("x")).coalesce(SAMPLE_TASKS).cache()
     forest = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=TREES, maxDepth=DEPTH, featureSubsetStrategy="onethird", subsamplingRate=0.7, seed=7)
     rules = tree_rules(forest.fit(rows).toDebugString)[:RULES]
     if not rules:
         rows.unpersist()
         return constant
     binary = rows.select("label", array_to_vector(F.array(*(_holds(r).cast("double") for r in rules))).alias("r")).cache()
-    model = LogisticRegression(featuresCol="r", labelCol="label", elasticNetParam=1.0, regParam=PENALTY, standardization=False, maxIter=100).fit(binary)
+    model = LogisticRegression(featuresCol="r", labelCol="label", elasticNetParam=1.0, regParam=PENALTY, standardization=False, maxIter=ITERATIONS, tol=TOLERANCE).fit(binary)
     rows.unpersist()
     binary.unpersist()
     weights = [(r, float(w)) for r, w in zip(rules, model.coefficients.toArray(), strict=True) if w]

@@ -19,11 +19,11 @@ from larkspur.llm.training import held_out, labelled_docs
 from larkspur.session import checkpointed
 
 #: Letters of other scripts that look like Latin ones.
-HOMOGLYPHS = dict(zip("аеорсухіјѕһԁԛԝɡαοενιυρτκχ", "aeopcyxijshdqwgaoeviuptkx", strict=True))
+HOMOGLYPHS = dict(zip("аеорсухіјѕһԁԛԝɡвкмнтαοενιυρτκχ", "aeopcyxijshdqwgbkmhtaoeviuptkx", strict=True))
 #: Digits and signs that stand for letters; i, l and 1 fold into one letter, since any may stand for another.
 SUBSTITUTES = {"0": "o", "1": "i", "l": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
 THRESHOLD = 0.3
-#: A stem has STEM letters at least and LONGEST at most and begins a word; these bound what is learned.
+#: A stem has STEM letters at least and LONGEST at most and begins a word; these bound what is learned (STEMS stems and PHRASES exceptions).
 STEM, LONGEST, STEMS, PHRASES = 3, 12, 2000, 500
 #: A stem must stand in LEAST_ROWS toxic texts and LEAST_SHARE of them, and be ODDS times as frequent there as in the others.
 LEAST_ROWS, LEAST_SHARE, ODDS = 5, 0.02, 12.0
@@ -32,14 +32,14 @@ UNIT = 100.0
 
 
 class _Fold(dict):
-    """Character folding for str.translate: letters to plain lower case, digits to letters, the rest to a space."""
+    """Character folding for str.translate: letters to plain lower case without accents, digits to letters, the rest to a space."""
 
     def __missing__(self, c: int) -> str | None:
         ch = chr(c)
         if unicodedata.category(ch) in ("Cf", "Mn"):
             out = None
         else:
-            low = unicodedata.normalize("NFKC", ch).lower()
+            low = "".join(x for x in unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", ch).lower()) if unicodedata.category(x) != "Mn")
             out = "".join(SUBSTITUTES.get(x, x) for x in (HOMOGLYPHS.get(y, y) for y in low))
             out = "".join(x if x.isalpha() else " " for x in out)
         self[c] = out
@@ -104,8 +104,15 @@ def phrases(folded: str, start: int) -> list[str]:
     stop = folded.find(" ", start)
     stop = len(folded) if stop < 0 else stop
     word = folded[start:stop]
-    before, after = folded[max(0, start - 60) : start].split(), folded[stop : stop + 60].split()
-    return [f"{x} {word}" for x in before[-1:]] + [f"{word} {x}" for x in after[:1]]
+    end, at = start, stop
+    while end and folded[end - 1] == " ":
+        end -= 1
+    while at < len(folded) and folded[at] == " ":
+        at += 1
+    before = folded[folded.rfind(" ", 0, end) + 1 : end]
+    last = folded.find(" ", at)
+    after = folded[at : last if last >= 0 else len(folded)]
+    return ([f"{before} {word}"] if before else []) + ([f"{word} {after}"] if after else [])
 
 
 def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

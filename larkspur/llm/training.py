@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows that a model is fitted on at most: those of the smallest hash of their doc_id.
+from larkspur.session import checkpointed
+
+#: Labelled documents that a model is fitted on at most: those of the smallest hash of their doc_id.
 MAX_LABELLED = 20_000
 
 
@@ -15,12 +17,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled_docs(docs: DataFrame, labels: DataFrame, label: str, most: int = MAX_LABELLED) -> DataFrame:
-    """(text, label double) of at most `most` labelled rows outside the held-out fold.
+    """(text, label double) of at most `most` labelled documents outside the held-out fold, one row for each doc_id.
 
-    The sample is of fixed size and so small enough to broadcast; the texts stay where they are.
+    Of several texts of a doc_id the one of the least hash counts, of several labels the least; labels without a document
+    count for nothing. Only ids and hashes are joined and ordered. The ids chosen are of fixed number and so small enough
+    to broadcast; the texts stay where they are.
     """
-    rows = labels.select(F.col("doc_id").cast("long").alias("labelled_id"), F.col(label).cast("double").alias("label"))
-    rows = rows.where(F.col("labelled_id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("labelled_id")))
-    rows = rows.orderBy(F.xxhash64("labelled_id"), "labelled_id", "label").limit(most)
+    own = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("double").alias("label"))
+    own = own.where(F.col("id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("id"))).groupBy("id").agg(F.min("label").alias("label"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(rows), texts.doc_id == rows.labelled_id).select("text", "label")
+    keys = texts.select("doc_id", F.xxhash64("text").alias("hash"))
+    found = keys.join(own, keys.doc_id == own.id).groupBy("id").agg(F.min("hash").alias("hash"), F.first("label").alias("label"))
+    found = checkpointed(found.orderBy(F.xxhash64("id"), "id").limit(most))
+    rows = texts.join(F.broadcast(found), (texts.doc_id == found.id) & (F.xxhash64(texts.text) == found.hash))
+    return rows.groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label")).select("text", "label")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from samples import TEXTS, documents
 
 import corpus_pipeline
-from larkspur.llm import ann, quality, queries, simhash, toxicity, winnowing
+from larkspur.llm import ann, quality, queries, simhash, toxicity, training, winnowing
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
@@ -61,6 +63,78 @@ def test_rules_are_tree_paths_and_compile_to_the_same_score(spark):
         assert r.s == pytest.approx(1 / (1 + np.exp(-total)))
 
 
+def plain_statistics(text):
+    """The statistics of one text, straight from their description."""
+    raw = text.encode()
+    words = [w for w in re.split(rb"[\x20\x09-\x0D]+", raw) if w]
+    low = [w.lower() for w in words]
+    again = [a == b for a, b in zip(low[1:], low)]
+    longest = run = 0
+    for same in again:
+        run = run + 1 if same else 0
+        longest = max(longest, run)
+    share = lambda members: sum(b in members for b in raw) / max(1, len(raw))
+    out = {name: share(bytes(members)) for name, members in quality._BYTES.items()}
+    n = max(1, len(words))
+    out |= {"words": np.log10(1 + len(words)), "word_bytes": sum(map(len, words)) / n, "line_words": min(200, len(words) / (1 + raw.count(b"\n")))}
+    out |= {"repeat": sum(again) / n, "distinct": len(set(low)) / n if words else 1.0, "longest_run": min(100, longest)}
+    return [float(out[k]) for k in quality.STATISTICS]
+
+
+def test_statistics_equal_plain_ones(spark):
+    docs = documents(spark, [*TEXTS, (20, "A a a A b b\n\nc" + " x" * 300), (21, "ü" * 5000)])
+    names = [quality._column(s) for s in quality.STATISTICS]
+    for r in quality.with_statistics(docs.unionByName(spark.read.parquet(f"{SMALL}/documents.parquet"))).collect():
+        assert [r[n] for n in names] == pytest.approx(plain_statistics(r.text or ""), abs=1e-9)
+
+
+def test_quality_scores_equal_plain_ones(spark):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    assert model.weights
+    for r in quality.with_statistics(docs).select("text", model.score().alias("score")).collect():
+        x = plain_statistics(r.text)
+        total = model.base + sum(w for rule, w in model.weights if all((x[f] > t) == (sign == ">") for f, sign, t in rule))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-9)
+
+
+def test_toxicity_scores_equal_plain_ones(spark):
+    docs, labels = (spark.read.parquet(f"{MIDDLE}/{t}.parquet") for t in ("documents", "labels"))
+    lexicon = toxicity.fit(docs, labels)
+    assert lexicon.stems
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in toxicity.with_scores(docs, lexicon).collect():
+        words, total = toxicity.fold(texts[r.doc_id]).split(), 0.0
+        for i, w in enumerate(words):
+            own = [s for s in lexicon.stems if w.startswith(s)]
+            near = {f"{a} {b}" for a, b in zip(words[max(0, i - 1) : i + 1], words[max(0, i - 1) + 1 : i + 2])}
+            if own and not near & lexicon.exceptions:
+                total += lexicon.stems[max(own, key=len)]
+        z = lexicon.base + lexicon.by_sum * np.log1p(total) + lexicon.by_rate * np.log1p(total * 100 / (100 + len(texts[r.doc_id])))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
+def test_accents_fold_in_either_form():
+    assert {toxicity.fold(unicodedata.normalize(f, "Ïdíọt İdiot ﬁx Ångström")) for f in ("NFC", "NFD", "NFKC", "NFKD")} == {toxicity.fold("idiot idiot fix angstrom")}
+    assert toxicity.fold("кмтвн") == toxicity.fold("kmtbh")
+
+
+def test_phrases_reach_over_long_gaps():
+    text = toxicity.fold("a" * 200 + " " * 500 + "you" + " " * 300 + "b" * 100)
+    at = text.index("you")
+    assert toxicity.phrases(text, at) == [f"{'a' * 200} you", f"you {toxicity.fold('b' * 100).strip()}"]
+    assert toxicity.phrases(" you ", 1) == []
+
+
+def test_labelled_sample_is_bounded(spark):
+    docs = spark.range(3000).selectExpr("id % 50 AS doc_id", "concat('text ', CAST(id % 100 AS STRING)) AS text")
+    labels = spark.range(400).selectExpr("id % 200 AS doc_id", "CAST(id % 3 = 0 AS INT) AS quality")
+    got = training.labelled_docs(docs, labels, "quality", 20).collect()
+    assert len(got) == 20 and len({r.text for r in got}) == 20
+    every = training.labelled_docs(docs, labels, "quality").collect()
+    assert len(every) == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(50))
+
+
 def test_toxic_words_are_found_behind_look_alikes():
     lexicon = toxicity.Lexicon({toxicity.fold("idiot").strip(): 3.0}, frozenset({"dear iiddot"}))
     plain = lexicon.score("you idiot")
@@ -139,6 +213,17 @@ def test_neighbours_within_a_group_of_near_copies(spark):
     assert whole and share >= 0.95
 
 
+def test_neighbours_of_many_vectors_with_a_hub_and_a_crowd(spark):
+    """12,000 vectors: a third of them near copies, and one vector in the middle that is near to very many."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 48))[rng.integers(0, 60, 12_000)] + 0.4 * rng.normal(size=(12_000, 48))
+    x[::3] = 2 + 1e-2 * rng.normal(size=(4000, 48))
+    x[100] = 0
+    x[100, 0] = 1e-3
+    share, whole = recall(spark, x, 100)
+    assert whole and share >= 0.9
+
+
 # Pipeline
 
 
