@@ -33,13 +33,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets in their texts replaced by a mark and n_chars the new length."""
-    found = secret_scan.find_secrets(docs)
-    text = secret_scan.redact(F.coalesce(F.col("text"), F.lit("")), F.col("__spans"))
-    hit = F.size("__spans") > 0
-    out = found.withColumn("__text", F.when(hit, text).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(hit, F.length("__text").cast("long")).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.col("__text")).select(*docs.columns)
+    return secret_scan.redacted(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
