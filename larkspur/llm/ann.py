@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from larkspur.llm.common import counted
 from larkspur.session import checkpointed
 
 #: Neighbours kept for each vector, and the nearest of them by which convergence is judged.
@@ -35,43 +36,53 @@ _CODE = "id long, code binary"
 
 @dataclass
 class Index:
-    """codes (id, code): the bytes of the vectors' doubles, all times one power of two; graph (id, near: squared distance and id, nearest first)."""
+    """codes (id, code): the bytes of the vectors' components, all times one power of two; graph (id, near: squared distance and id, nearest first).
+
+    kind: numpy type of the components in the bytes, 4 bytes each where the vectors come as single floats, so that none is rounded.
+    """
 
     codes: DataFrame
     graph: DataFrame
+    kind: str = "f8"
 
 
 def usable(vectors: DataFrame, key: str = "vec_id", value: str = "embedding") -> DataFrame:
-    """(vec_id, x): vectors that take part. Null, empty, zero, null or non-finite components, a null id, and another length than the longest do not."""
-    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(value).cast("array<double>").alias("x"))
-    finite = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    """(vec_id, x): vectors that take part, single floats as they are and other numbers as doubles. Null, empty, zero, null or non-finite components, a null id, and another length than the longest do not."""
+    x = F.col(value) if dict(vectors.dtypes)[value] == "array<float>" else F.col(value).cast("array<double>")
+    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), x.alias("x"))
+    finite = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c).cast("double") < float("inf")))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("x").isNotNull()).where((F.size("x") > 0) & finite & F.exists("x", lambda c: c != 0))
     size = rows.agg(F.max(F.size("x"))).first()[0]
     return rows.where(F.size("x") == (size or 0))
 
 
+def _unsigned(x: str) -> Column:
+    """The vector with -0 as 0."""
+    return F.transform(x, lambda c: F.when(c == 0, F.abs(c)).otherwise(c))
+
+
 def classes(rows: DataFrame, most: int) -> DataFrame:
     """(x, id, members): distinct vectors with the least id that has them and their `most` least ids.
 
     The window is limited before its shuffle, so a vector that a third of the rows share sends `most` rows a task.
     """
     rank = F.row_number().over(Window.partitionBy("x").orderBy("vec_id"))
-    first = rows.select(F.transform("x", lambda c: c + 0.0).alias("x"), "vec_id").withColumn("r", rank).where(F.col("r") <= most)
+    first = rows.select(_unsigned("x").alias("x"), "vec_id").withColumn("r", rank).where(F.col("r") <= most)
     return first.groupBy("x").agg(F.array_distinct(F.array_sort(F.collect_list("vec_id"))).alias("members")).select("x", F.col("members")[0].alias("id"), "members")
 
 
-def _encode(batches: Iterator[pa.RecordBatch], shift: int) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], shift: int, kind: str) -> Iterator[pa.RecordBatch]:
     """The components as bytes, times a power of two that keeps squares in range; no digit is lost."""
     for batch in batches:
         if batch.num_rows:
-            x = np.ldexp(np.array(batch.column(1).to_pylist(), np.float64), shift)
+            x = np.ldexp(np.array(batch.column(1).to_pylist(), np.float64), shift).astype(kind)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in x], pa.binary())], ["id", "code"])
 
 
-def _codes(column: pa.Array) -> np.ndarray:
-    """The vectors as a matrix."""
+def _codes(column: pa.Array, kind: str) -> np.ndarray:
+    """The vectors as a matrix of doubles."""
     data = column.to_pylist()
-    return np.frombuffer(b"".join(data), np.float64).reshape(len(data), -1)
+    return np.frombuffer(b"".join(data), kind).reshape(len(data), -1).astype(np.float64)
 
 
 def _squared(x: np.ndarray) -> np.ndarray:
@@ -99,7 +110,7 @@ def _nearest(v: np.ndarray, w: np.ndarray, d: np.ndarray, most: int) -> tuple[np
     return v[keep], w[keep], d[keep]
 
 
-def _compare(batches: Iterator[pa.RecordBatch], pool: int, most: int) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], pool: int, most: int, kind: str) -> Iterator[pa.RecordBatch]:
     """From rows (center, spread, id, worst, code) in groups of center and spread: pairs nearer than id's worst neighbour."""
     held: list[tuple[np.ndarray, ...]] = []
     count = 0
@@ -128,7 +139,7 @@ def _compare(batches: Iterator[pa.RecordBatch], pool: int, most: int) -> Iterato
         if not batch.num_rows:
             continue
         group = np.column_stack([batch.column(k).to_numpy() for k in (0, 1)])
-        now = (group, batch.column(2).to_numpy(), batch.column(3).to_numpy(), _codes(batch.column(4)))
+        now = (group, batch.column(2).to_numpy(), batch.column(3).to_numpy(), _codes(batch.column(4), kind))
         if rest is not None:
             now = tuple(np.concatenate([a, b]) for a, b in zip(rest, now, strict=True))
         group = now[0]
@@ -149,16 +160,20 @@ def _compare(batches: Iterator[pa.RecordBatch], pool: int, most: int) -> Iterato
         yield flush()
 
 
-def _local_join(members: DataFrame, codes: DataFrame, pool: int, most: int, seed: int) -> DataFrame:
-    """(id, other, d): compare the members (center, id, worst) of each center with one another.
+def _local_join(members: DataFrame, codes: DataFrame, pool: int, most: int, seed: int, kind: str) -> DataFrame:
+    """(id, other, d): compare the members (center, spread, id, worst) of each center and spread with one another.
 
-    Groups above SPREAD are dealt over several tasks, and every group into pools, by a hash that changes with `seed`.
+    Groups are dealt into pools by a hash that changes with `seed`.
     """
-    large = members.groupBy("center").agg(F.ceil(F.count("*") / SPREAD).cast("long").alias("parts")).where("parts > 1")
-    dealt = members.join(large, "center", "left").withColumn("spread", F.coalesce(F.pmod(F.xxhash64("id", F.lit(seed)), F.col("parts")), F.lit(0)).cast("long"))
-    rows = dealt.join(codes, "id").select("center", "spread", "id", "worst", "code")
+    rows = members.join(codes, "id").select("center", "spread", "id", "worst", "code")
     rows = rows.repartition("center", "spread").sortWithinPartitions("center", "spread", F.xxhash64("id", F.lit(seed + 1)))
-    return rows.mapInArrow(lambda it: _compare(it, pool, most), "id long, other long, d double")
+    return rows.mapInArrow(lambda it: _compare(it, pool, most, kind), "id long, other long, d double")
+
+
+def _dealt(members: DataFrame, seed: int) -> DataFrame:
+    """Members with the column spread: groups above SPREAD are dealt over several tasks."""
+    large = checkpointed(members.groupBy("center").agg(F.ceil(F.count("*") / SPREAD).cast("long").alias("parts")).where("parts > 1"))
+    return members.join(counted(large), "center", "left").withColumn("spread", F.coalesce(F.pmod(F.xxhash64("id", F.lit(seed)), F.col("parts")), F.lit(0)).cast("long"))
 
 
 def _merge(pairs: DataFrame, most: int) -> DataFrame:
@@ -167,14 +182,14 @@ def _merge(pairs: DataFrame, most: int) -> DataFrame:
     return pairs.groupBy("id").agg(near.alias("near"))
 
 
-def _center(codes: DataFrame) -> np.ndarray:
+def _center(codes: DataFrame, kind: str) -> np.ndarray:
     """The mean of all vectors; each task sends one row."""
 
     def run(batches):
         total, n = 0.0, 0
         for batch in batches:
             if batch.num_rows:
-                total, n = total + _codes(batch.column(0)).sum(axis=0), n + batch.num_rows
+                total, n = total + _codes(batch.column(0), kind).sum(axis=0), n + batch.num_rows
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["total", "n"])
 
@@ -182,7 +197,7 @@ def _center(codes: DataFrame) -> np.ndarray:
     return sum(np.frombuffer(p.total, np.float64) for p in parts) / sum(p.n for p in parts)
 
 
-def _buckets(codes: DataFrame, bits: int, center: np.ndarray, seed: int) -> DataFrame:
+def _buckets(codes: DataFrame, bits: int, center: np.ndarray, seed: int, kind: str) -> DataFrame:
     """(center, id, worst): each vector in the bucket of its signs, seen from the mean, against `bits` random directions, in TABLES tables."""
     planes = np.random.default_rng(seed).normal(size=(len(center), TABLES * bits))
 
@@ -190,7 +205,7 @@ def _buckets(codes: DataFrame, bits: int, center: np.ndarray, seed: int) -> Data
         for batch in batches:
             if not batch.num_rows:
                 continue
-            signs = ((_codes(batch.column(1)) - center) @ planes > 0).reshape(batch.num_rows, TABLES, bits)
+            signs = ((_codes(batch.column(1), kind) - center) @ planes > 0).reshape(batch.num_rows, TABLES, bits)
             keys = signs @ (1 << np.arange(bits)) + (np.arange(TABLES) << bits)
             ids = np.repeat(batch.column(0).to_numpy(), TABLES)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int64)), pa.array(ids), pa.array(np.full(len(ids), np.inf))], ["center", "id", "worst"])
@@ -207,27 +222,31 @@ def _strangers(codes: DataFrame, n: int, bits: int, seed: int) -> DataFrame:
 def build(distinct: DataFrame, degree: int = DEGREE, seed: int = 7) -> Index:
     """Index of distinct vectors (id, x): every vector is in it.
 
-    Starting from neighbours within random buckets and, for vectors alone in theirs, random groups, each round gathers at every vector its neighbours and those whose
-    neighbour it is, compares them with one another (so neighbours of neighbours meet), and keeps the nearest.
+    Starting from neighbours within random buckets and, for vectors alone in theirs, random groups, each round gathers at every
+    vector its neighbours and the nearest `degree` of those whose neighbour it is, compares them with one another (so neighbours
+    of neighbours meet), and keeps the nearest. So no group of a round has more than 1 + 2 * `degree` members; who is left out at
+    a vector near to very many still meets it among its own neighbours.
     """
+    single = dict(distinct.dtypes)["x"] == "array<float>"
+    kind = "f4" if single else "f8"
     most = distinct.agg(F.max(F.array_max(F.transform("x", F.abs)))).first()[0]
     shift = -frexp(most or 1.0)[1]
-    codes = checkpointed(distinct.select("id", "x").mapInArrow(lambda it: _encode(it, shift), _CODE))
+    codes = checkpointed(distinct.select("id", "x").mapInArrow(lambda it: _encode(it, shift, kind), _CODE))
     n = codes.count()
     if not n:
-        return Index(codes, codes.select("id", F.array().cast("array<struct<d:double,other:bigint>>").alias("near")))
+        return Index(codes, codes.select("id", F.array().cast("array<struct<d:double,other:bigint>>").alias("near")), kind)
     bits = max(0, round(log2(max(1, n / 200))))
-    met = _buckets(codes, bits, _center(codes), seed).unionByName(_strangers(codes, n, bits, seed))
-    graph = checkpointed(_merge(_local_join(met, codes, BUCKET, degree, seed), degree))
+    met = _buckets(codes, bits, _center(codes, kind), seed, kind).unionByName(_strangers(codes, n, bits, seed))
+    graph = checkpointed(_merge(_local_join(_dealt(checkpointed(met), seed), codes, BUCKET, degree, seed, kind), degree))
     watched = F.aggregate(F.slice("near", 1, WATCHED), F.lit(0.0), lambda a, p: a + p["d"])
     before = graph.agg(F.sum(watched)).first()[0]
     for k in range(ROUNDS):
         # A vector with fewer than `degree` neighbours takes any other.
         worst = graph.select(F.col("id").alias("of"), F.when(F.size("near") >= degree, F.element_at("near", -1)["d"]).otherwise(float("inf")).alias("worst"))
-        edges = graph.select("id", F.explode("near.other").alias("other"))
-        both = edges.select(F.col("id").alias("center"), F.col("other").alias("id")).unionByName(edges.select(F.col("other").alias("center"), "id")).distinct()
-        members = both.join(worst, both.id == worst.of).select("center", "id", "worst")
-        found = _local_join(members, codes, POOL, degree, seed + 10 * (k + 1))
+        edges = graph.select("id", F.inline("near")).select(F.col("id").alias("center"), F.col("other").alias("id"), "d")
+        both = edges.select("center", "id").unionByName(_backward(edges, degree)).distinct()
+        members = both.join(worst, both.id == worst.of).select("center", F.lit(0).cast("long").alias("spread"), "id", "worst")
+        found = _local_join(members, codes, POOL, degree, seed + 10 * (k + 1), kind)
         kept = graph.select("id", F.inline("near")).select("id", "other", "d")
         graph = checkpointed(_merge(kept.unionByName(found), degree))
         now = graph.agg(F.sum(watched)).first()[0]
@@ -236,14 +255,20 @@ def build(distinct: DataFrame, degree: int = DEGREE, seed: int = 7) -> Index:
         before = now
     if n > 1 and graph.count() != n:
         raise RuntimeError("a vector is not in the neighbour graph")
-    return Index(codes, graph)
+    return Index(codes, graph, kind)
+
+
+def _backward(edges: DataFrame, most: int) -> DataFrame:
+    """(center, id): the nearest `most` centers that have each id, as members of it. The limit comes before the shuffle too."""
+    place = F.row_number().over(Window.partitionBy("id").orderBy("d", "center"))
+    return edges.withColumn("place", place).where(F.col("place") <= most).select(F.col("id").alias("center"), F.col("center").alias("id"))
 
 
-def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _distances(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
     """(query, id, d) from rows (query, id, code, own_code)."""
     for batch in batches:
         if batch.num_rows:
-            d = ((_codes(batch.column(2)) - _codes(batch.column(3))) ** 2).sum(axis=1)
+            d = ((_codes(batch.column(2), kind) - _codes(batch.column(3), kind)) ** 2).sum(axis=1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d)], ["query", "id", "d"])
 
 
@@ -255,14 +280,13 @@ def search(index: Index, queries: DataFrame, steps: int = STEPS, opened: int = O
     near to many does not fan out.
     """
     own = checkpointed(queries.select("query").distinct().join(index.codes.select(F.col("id").alias("query"), F.col("code").alias("own_code")), "query"))
-    ahead = index.graph.select(F.col("id").alias("node"), F.inline("near")).select("node", F.col("other").alias("id"), "d")
-    place = F.row_number().over(Window.partitionBy("node").orderBy("d", "id"))
-    back = ahead.select(F.col("id").alias("node"), F.col("node").alias("id"), "d").withColumn("place", place).where(F.col("place") <= BACK)
-    edges = checkpointed(ahead.select("node", "id").unionByName(back.select("node", "id")).distinct())
+    ahead = index.graph.select(F.col("id").alias("center"), F.inline("near")).select("center", F.col("other").alias("id"), "d")
+    edges = ahead.select("center", "id").unionByName(_backward(ahead, BACK)).distinct()
+    edges, kind = checkpointed(edges.withColumnRenamed("center", "node")), index.kind
 
     def measured(pairs: DataFrame) -> DataFrame:
         rows = pairs.join(index.codes, "id").join(own, "query")
-        return rows.select("query", "id", "code", "own_code").mapInArrow(_distances, "query long, id long, d double")
+        return rows.select("query", "id", "code", "own_code").mapInArrow(lambda it: _distances(it, kind), "query long, id long, d double")
 
     def nearest(rows: DataFrame) -> DataFrame:
         place = F.row_number().over(Window.partitionBy("query").orderBy("d", "id"))
@@ -280,7 +304,8 @@ def search(index: Index, queries: DataFrame, steps: int = STEPS, opened: int = O
 
 
 def euclidean(a: str, b: str) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, p: s + p))
+    gap = lambda p, q: p.cast("double") - q.cast("double")
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: gap(p, q) * gap(p, q)), F.lit(0.0), lambda s, p: s + p))
 
 
 def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", value: str = "embedding") -> DataFrame:
@@ -292,7 +317,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, key: s
     """
     rows = usable(vectors, key, value)
     nodes = checkpointed(classes(rows, k + 1))
-    asked = rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.transform("x", lambda c: c + 0.0).alias("q")).distinct()
+    asked = rows.where(is_query).select(F.col("vec_id").alias("query_id"), _unsigned("x").alias("q")).distinct()
     asked = checkpointed(asked.join(nodes.select(F.col("x").alias("q"), F.col("id").alias("query")), "q"))
     found = search(build(nodes), asked)
     near = found.join(nodes, "id").select("query", "x", F.explode("members").alias("vec_id"))
