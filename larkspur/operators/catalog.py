@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from larkspur.functions.formatting import extension, format_size
+from larkspur.session import checkpointed
 
 # Category of each file extension, and the category of all others.
 CATEGORIES = {
@@ -25,7 +24,9 @@ CATEGORIES = {
 OTHER = "其他"
 # Beginnings of names and of paths (from the root) that a scan leaves out.
 IGNORED_NAMES = (".", "$")
-IGNORED_PATHS = (".", "$", ".obsidian", ".venv", ".vscode", ".git", "assets", ".trae", ".claude", ".idea", ".mdgo", "node_modules", "vendor", "dist", "build", "out", "target", "__pycache__")
+IGNORED_PATHS = (".", "$", "assets", "node_modules", "vendor", "dist", "build", "out", "target", "__pycache__")
+# Beginnings of request paths that other routes serve.
+RESERVED = ("/css_js", "/graphql", "/api/")
 
 
 def extension_table() -> list[tuple[str, str]]:
@@ -53,9 +54,11 @@ def ignored_path(path: Column) -> Column:
 
 
 def safe_path(path: Column) -> Column:
-    """A request path that stays below the root and outside the reserved prefixes."""
-    climbs = F.exists(F.split(F.translate(path, "\\", "/"), "/"), lambda x: x == "..")
-    return ~climbs & ~path.rlike(r"^/?(css_js|graphql|api)(/|$)")
+    """A request path (without its leading slash) that is not empty, holds no two dots in a row, and begins none of the reserved ones."""
+    out = (path != "") & ~path.contains("..")
+    for p in RESERVED:
+        out = out & ~F.concat(F.lit("/"), path).startswith(p)
+    return F.coalesce(out, F.lit(False))
 
 
 def parent_dir(path: Column) -> Column:
@@ -123,11 +126,25 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str, *state: str) -> Data
     return a.join(b, "key", "full_outer").select(F.col("key").alias(key), status.alias("status"))
 
 
-def nested_tree(nodes: DataFrame, root: str = "root") -> str:
-    """The directory tree as one nested JSON document. Only tree nodes (a row for each directory) reach the driver."""
-    rows = nodes.orderBy("depth", "position").collect()
-    made: dict[str, dict] = {"": {"name": root, "children": []}}
-    for r in rows:
-        made[r.dir] = {"name": r.name, "file_num": r.file_num, "size": r.size, "size_str": r.size_str} | ({"value": r.value} if r.value is not None else {"children": []})
-        made[r.parent].setdefault("children", []).append(made[r.dir])
-    return json.dumps(made[""], ensure_ascii=False)
+def nested_trees(nodes: DataFrame, deepest: int = 64) -> DataFrame:
+    """name, tree: each directory of the first level with all below it as one nested JSON document, children in order of name.
+
+    Built from the deepest level upwards, one grouped join a level, so that a document is gathered only under its own root.
+    """
+    # JSON of a node up to its children.
+    numbers = F.to_json(F.struct("name", "file_num", "size", "size_str", "value"))
+    rows = checkpointed(nodes.select("dir", "parent", "name", "depth", numbers.alias("own")))
+    depth = min(rows.agg(F.max("depth")).first()[0] or 0, deepest)
+    below = None
+    for d in range(depth, 0, -1):
+        level = rows.where(F.col("depth") == d)
+        if below is None:
+            level = level.withColumn("tree", F.col("own"))
+        else:
+            inner = F.concat(F.lit(',"children":['), F.array_join("children", ","), F.lit("]}"))
+            level = level.join(below, level.dir == below.up, "left").withColumn("tree", F.when(F.col("children").isNotNull(), F.concat(F.expr("left(own, length(own) - 1)"), inner)).otherwise(F.col("own")))
+        if d == 1:
+            return level.select("name", "tree")
+        sorted_trees = F.transform(F.array_sort(F.collect_list(F.struct("name", "tree"))), lambda c: c["tree"])
+        below = checkpointed(level.groupBy(F.col("parent").alias("up")).agg(sorted_trees.alias("children")))
+    return rows.select("name", F.col("own").alias("tree")).limit(0)

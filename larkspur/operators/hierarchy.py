@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from larkspur.operators.catalog import ancestors, parent_dir
+from larkspur.session import checkpointed
 
 
 def problems(nodes: DataFrame) -> DataFrame:
@@ -20,7 +21,25 @@ def problems(nodes: DataFrame) -> DataFrame:
     extra = same.crossJoin(least).select("id", (F.col("n") - F.col("id").eqNullSafe(F.col("least.id")).cast("int")).cast("int").alias("n"))
     several = extra.select(F.explode(F.array_repeat(F.lit("multiple roots"), F.col("n"))).alias("problem"), "id")
     none = roots.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("no root").alias("problem"), F.lit(None).cast(dict(nodes.dtypes)["id"]).alias("id"))
-    return missing.unionByName(ambiguous).unionByName(several).unionByName(none)
+    cycle = endless(nodes).select(F.lit("cycle").alias("problem"), "id")
+    return missing.unionByName(ambiguous).unionByName(several).unionByName(none).unionByName(cycle)
+
+
+def endless(nodes: DataFrame) -> DataFrame:
+    """id of the nodes that lie in a cycle or below one (of a repeated id the least parent counts).
+
+    Every node's pointer is replaced by that of the node it points to, which doubles its reach, until the pointers that
+    are left have gone more steps than there are nodes.
+    """
+    own = nodes.groupBy("id").agg(F.min("parent").alias("next"))
+    # A parent that isn't there ends the way as a root does.
+    there = own.select(F.col("id").alias("there"))
+    at = checkpointed(own.join(there, own.next == there.there, "left").select("id", F.col("there").alias("next")).where("next is not null"))
+    reach, n = 1, own.count()
+    while reach <= n and not at.isEmpty():
+        ahead = at.select(F.col("id").alias("via"), F.col("next").alias("then"))
+        at, reach = checkpointed(at.join(ahead, at.next == ahead.via).select("id", F.col("then").alias("next"))), reach * 2
+    return at.select("id")
 
 
 def closure(nodes: DataFrame, deepest: int = 64) -> DataFrame:
@@ -33,18 +52,13 @@ def closure(nodes: DataFrame, deepest: int = 64) -> DataFrame:
     out = level
     for k in range(1, deepest + 1):
         level = level.join(up, level.ancestor == up.above).where("next is not null").select("id", F.col("next").alias("ancestor"), F.lit(k).cast("long").alias("distance"))
+        level = checkpointed(level)
         if level.isEmpty():
             return out
         out = out.unionByName(level)
     raise ValueError(f"cycle, or deeper than {deepest}")
 
 
-def closure_sql(view: str) -> str:
-    """The same closure as one recursive query over a view of (id, parent)."""
-    return f"""WITH RECURSIVE up(id, ancestor, distance) AS (SELECT id, id, CAST(0 AS BIGINT) FROM {view}
-UNION ALL SELECT up.id, n.parent, up.distance + 1 FROM up JOIN {view} n ON n.id = up.ancestor WHERE n.parent IS NOT NULL) SELECT id, ancestor, distance FROM up"""
-
-
 def leaves(nodes: DataFrame) -> DataFrame:
     return nodes.join(nodes.select(F.col("parent").alias("p")).distinct(), F.col("id") == F.col("p"), "left_anti")
 

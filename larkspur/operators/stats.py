@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from math import sqrt
+from dataclasses import dataclass
+from math import ceil, floor, log2, log10, sqrt
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from larkspur.functions.formatting import valid
+from larkspur.session import checkpointed
 
 
 def summary(x: Column) -> list[Column]:
@@ -20,11 +24,6 @@ def summary(x: Column) -> list[Column]:
     ]
 
 
-def extent(x: Column) -> Column:
-    v = valid(x)
-    return F.struct(F.min(v).alias("lo"), F.max(v).alias("hi"))
-
-
 def quantile(x: Column, p: float) -> Column:
     """Linear interpolation between order statistics; the least value for p of 0 or less, the largest from 1."""
     return F.percentile(valid(x), F.lit(min(1.0, max(0.0, p))))
@@ -39,9 +38,37 @@ def quantile_index(rows: DataFrame, keys: list[str], x: str, order: str, p: floa
     return rows.withColumn("__place", place).withColumn("__n", n).where(F.col("__place") == F.floor((F.col("__n") - 1) * p) + 1).drop("__place", "__n")
 
 
-def exact_sum(x: Column, scale: int = 10) -> Column:
-    """Sum in decimals of `scale` places, so that the order of addition doesn't matter."""
-    return F.sum(valid(x).cast(f"decimal(28,{scale})")).cast("double")
+@F.pandas_udf(DoubleType())
+def _total(powers: pd.Series, parts: pd.Series) -> pd.Series:
+    """Of each row, the sum of parts[i] * 2**powers[i] in integers, rounded once."""
+
+    def one(ks, ms) -> float:
+        least = min(ks, default=0)
+        whole = sum(int(m) << int(k - least) for k, m in zip(ks, ms, strict=True))
+        try:
+            return float(whole << int(least)) if least >= 0 else whole / (1 << int(-least))
+        except OverflowError:
+            return float("inf") if whole > 0 else float("-inf")
+
+    return pd.Series([one(k, m) for k, m in zip(powers, parts, strict=True)], dtype="float64")
+
+
+def exact_sum(rows: DataFrame, keys: list[str], x: str) -> DataFrame:
+    """keys, total: the sum of the valid numbers as if added without any rounding and then rounded once, in any order of rows.
+
+    A double is an integer of 53 bits times a power of two. The integers are summed by power, exactly and before the
+    shuffle, so that what is left of a group is one row for each of its powers (some two thousand at most).
+    """
+    v = valid(F.col(x).cast("double"))
+    finite = F.when(F.abs(v) < float("inf"), v)
+    power = F.coalesce(F.floor(F.log2(F.abs(F.nullif(finite, F.lit(0.0))))).cast("int") - 53, F.lit(0))
+    # In two steps, so that no factor is beyond the range of doubles.
+    half = F.floor(power / 2).cast("int")
+    whole = F.coalesce(finite * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), half - power), F.lit(0.0)).cast("long")
+    sums = rows.select(*keys, power.alias("__k"), whole.cast("decimal(20,0)").alias("__m"), F.when(~(F.abs(v) < float("inf")), v).alias("__beyond"))
+    sums = sums.groupBy(*keys, "__k").agg(F.sum("__m").cast("string").alias("__m"), F.sum("__beyond").alias("__beyond"))
+    sums = sums.groupBy(*keys).agg(F.collect_list("__k").alias("__ks"), F.collect_list("__m").alias("__ms"), F.sum("__beyond").alias("__beyond"))
+    return sums.select(*keys, F.coalesce("__beyond", _total("__ks", "__ms")).alias("total"))
 
 
 def mode(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
@@ -60,8 +87,18 @@ def extreme(rows: DataFrame, keys: list[str], x: str, order: str, least: bool =
 
 def group_sort(rows: DataFrame, key: str, value: Column) -> DataFrame:
     """key, value, position: the groups in order of an aggregate, ties by key."""
-    out = rows.groupBy(key).agg(value.alias("value"))
-    return out.withColumn("position", F.row_number().over(Window.orderBy("value", key)).cast("long"))
+    return numbered(rows.groupBy(key).agg(value.alias("value")), "value", key)
+
+
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """`rows` with position, from 1 in the given order: the rows are sorted by ranges, and each range counts on from those before it."""
+    by_range = checkpointed(rows.orderBy(*order)).withColumn("__at", F.monotonically_increasing_id())
+    part = F.shiftright("__at", 33)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each partition.
+    starts = by_range.groupBy(part.alias("__part")).agg(F.count("*").alias("n")).select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    out = by_range.withColumn("__part", part).join(F.broadcast(starts), "__part")
+    return out.withColumn("position", F.col("__before") + F.col("__at") - F.shiftleft("__part", 33) + 1).drop("__part", "__before", "__at")
 
 
 def unique_index(rows: DataFrame, *keys: str) -> DataFrame:
@@ -79,27 +116,105 @@ def bin_counts(n: str, lo: str, hi: str, iqr: str, deviation: str) -> list[Colum
     return [sturges.cast("long").alias("sturges"), fd.cast("long").alias("freedman_diaconis"), scott.cast("long").alias("scott")]
 
 
+@dataclass
+class Ticks:
+    """Round numbers about `count` of which span an extent: multiples of `scale` where `by` is 1, and of 1 / scale where it is -1.
+
+    So a step of a tenth is held as 10, and its multiples are the doubles nearest to them. Null for an empty extent.
+    """
+
+    scale: Column
+    by: Column
+
+    def at(self, k: Column) -> Column:
+        return F.when(self.by == 1, k * self.scale).otherwise(k / self.scale)
+
+    def below(self, x: Column) -> Column:
+        return F.floor(F.when(self.by == 1, x / self.scale).otherwise(x * self.scale)).cast("long")
+
+    def above(self, x: Column) -> Column:
+        return F.ceil(F.when(self.by == 1, x / self.scale).otherwise(x * self.scale)).cast("long")
+
+
+def ticks(lo: Column, hi: Column, count: Column) -> Ticks:
+    """Steps of 1, 2 or 5 times a power of ten, of which the one nearest in ratio to (hi - lo) / count is taken."""
+    ratio = F.when(hi > lo, (hi - lo) / count)
+    magnitude = F.floor(F.log10(ratio))
+    lead = ratio / F.pow(F.lit(10.0), magnitude)
+    digit = F.when(lead >= sqrt(50), 10.0).when(lead >= sqrt(10), 5.0).when(lead >= sqrt(2), 2.0).otherwise(1.0)
+    small = magnitude < 0
+    return Ticks(F.when(small, F.pow(F.lit(10.0), -magnitude) / digit).otherwise(digit * F.pow(F.lit(10.0), magnitude)), F.when(small, -1).otherwise(1))
+
+
 def tick_step(lo: Column, hi: Column, count: Column) -> Column:
-    """Step of about `count` round ticks: 1, 2 or 5 times a power of ten."""
-    raw = (hi - lo) / count
-    power = F.pow(F.lit(10.0), F.floor(F.log10(raw)))
-    error = raw / power
-    return power * F.when(error >= sqrt(50), 10).when(error >= sqrt(10), 5).when(error >= sqrt(2), 2).otherwise(1)
+    """Step of about `count` round ticks."""
+    t = ticks(lo, hi, count)
+    return t.at(F.lit(1.0))
 
 
-def histogram(rows: DataFrame, x: str, count: Column | None = None) -> DataFrame:
+def tick_scale(lo: float, hi: float, count: int) -> tuple[float, bool]:
+    """ticks() of two numbers: the scale, and whether multiples of its inverse are meant."""
+    ratio = (hi - lo) / count
+    magnitude = floor(log10(ratio))
+    lead = ratio / 10.0**magnitude
+    digit = next((d for d, from_ in ((10.0, 50), (5.0, 10), (2.0, 2)) if lead >= sqrt(from_)), 1.0)
+    return (10.0**-magnitude / digit, True) if magnitude < 0 else (digit * 10.0**magnitude, False)
+
+
+def histogram(rows: DataFrame, x: str, count: int | None = None) -> DataFrame:
     """x0, x1, n of equal round bins over the extent, empty bins kept: left-closed, and one bin more where the largest value is the last edge.
 
-    The edges come from one row of aggregates; each row finds its bin by division, and only counts are shuffled.
+    The extent is widened to round numbers first; bins are about `count`, or as many as Sturges' rule gives. Equal values
+    make one bin. One row of aggregates sets the edges; each row finds its bin by division, and only counts are shuffled.
     """
     v = rows.select(valid(F.col(x)).alias("v")).where("v is not null")
-    ends = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
-    count = F.greatest(F.lit(1.0), F.ceil(F.log("n") / F.log(F.lit(2.0))) + 1) if count is None else count
-    ends = ends.withColumn("step", tick_step(F.col("lo"), F.col("hi"), count))
-    ends = ends.select("step", F.floor(F.col("lo") / F.col("step")).cast("long").alias("first"), F.floor(F.col("hi") / F.col("step")).cast("long").alias("last"))
-    counts = v.crossJoin(F.broadcast(ends)).groupBy(F.floor(F.col("v") / F.col("step")).cast("long").alias("k")).agg(F.count("*").alias("n"))
-    edges = ends.select("step", F.explode(F.sequence("first", "last")).alias("k"))
-    return edges.join(counts, "k", "left").select((F.col("k") * F.col("step")).alias("x0"), ((F.col("k") + 1) * F.col("step")).alias("x1"), F.coalesce("n", F.lit(0)).alias("n"))
+    lo, hi, n = v.agg(F.min("v"), F.max("v"), F.count("*")).first()
+    if not n or lo == hi:
+        return v.groupBy().agg(F.min("v").cast("double").alias("x0"), F.max("v").cast("double").alias("x1"), F.count("*").alias("n")).where("n > 0")
+    count = count or max(1, ceil(log2(n)) + 1)
+    a, b, before = lo, hi, None
+    scale, inverse = tick_scale(a, b, count)
+    for _ in range(10):
+        # The step of the widened extent may be a larger one.
+        if (scale, inverse) == before:
+            break
+        a, b = (floor(a * scale) / scale, ceil(b * scale) / scale) if inverse else (floor(a / scale) * scale, ceil(b / scale) * scale)
+        before, (scale, inverse) = (scale, inverse), tick_scale(a, b, count)
+    t = Ticks(F.lit(float(scale)), F.lit(-1 if inverse else 1))
+
+    def place(x: Column) -> Column:
+        """The bin of a value; division may fall one short of it."""
+        return F.when(t.at(t.below(x) + 1) <= x, t.below(x) + 1).otherwise(t.below(x))
+
+    counts = v.groupBy(place(F.col("v")).alias("k")).agg(F.count("*").alias("n"))
+    ends = counts.agg(F.min("k").alias("first"), F.max("k").alias("last"))
+    edges = ends.select(F.explode(F.sequence("first", "last")).alias("k"))
+    return edges.join(counts, "k", "left").select(t.at(F.col("k")).alias("x0"), t.at(F.col("k") + 1).alias("x1"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def grouped_quantiles(rows: DataFrame, keys: list[str], x: str, ps: dict[str, float], cells: int = 4096) -> DataFrame:
+    """keys and a column for each of `ps` (name: p): linear interpolation between order statistics, null and NaN passed over.
+
+    The extent of each group is cut into equal cells and counted; only values of the cells in which a wanted order
+    statistic lies are looked at again, as counts of distinct values. So no task holds a group.
+    """
+    v = rows.select(*keys, valid(F.col(x).cast("double")).alias("v")).where("v is not null")
+    ends = v.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+    cell = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * cells), F.lit(cells - 1))).otherwise(0).cast("long")
+    placed = v.join(ends, keys).select(*keys, "v", cell.alias("cell"))
+    before = lambda by: F.coalesce(F.sum("c").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = placed.groupBy(*keys, "cell").agg(F.count("*").alias("c")).withColumn("before", before(Window.partitionBy(*keys).orderBy("cell")))
+    at = F.array(*(F.struct(F.lit(name).alias("name"), ((F.col("n") - 1) * min(1.0, max(0.0, p))).alias("h")) for name, p in ps.items()))
+    asked = ends.select(*keys, F.explode(at).alias("a")).select(*keys, "a.name", "a.h", F.explode(F.array(F.floor("a.h"), F.ceil("a.h"))).alias("place"))
+    found = asked.join(counts, keys).where((F.col("before") <= F.col("place")) & (F.col("place") < F.col("before") + F.col("c")))
+    found = checkpointed(found.select(*keys, "name", "h", "place", "cell", "before"))
+    values = placed.join(found.select(*keys, "cell").distinct(), [*keys, "cell"], "left_semi").groupBy(*keys, "cell", "v").agg(F.count("*").alias("c"))
+    values = values.withColumn("within", before(Window.partitionBy(*keys, "cell").orderBy("v")))
+    hit = found.join(values, [*keys, "cell"]).where((F.col("before") + F.col("within") <= F.col("place")) & (F.col("place") < F.col("before") + F.col("within") + F.col("c")))
+    # Of both places the values; they are one where h is whole.
+    share = F.col("h") - F.floor("h")
+    value = hit.groupBy(*keys, "name").agg((F.min("v") + (F.max("v") - F.min("v")) * F.first(share)).alias("q"))
+    return value.groupBy(*keys).pivot("name", list(ps)).agg(F.first("q"))
 
 
 def histogram_at(rows: DataFrame, x: str, edges: list[float]) -> DataFrame:

@@ -9,9 +9,13 @@ from pyspark.sql.window import Window
 from larkspur.functions.formatting import percent
 
 
+# Fixed value: forms of device names of whole disks and partitions at the beginning of a device path.
+DEVICE_FORMS = ("disk[0-9]+(?:s[0-9]+)?(?:[sp][0-9]+)?", "nvme[0-9]+n[0-9]+(?:p[0-9]+)?", "mmcblk[0-9]+p[0-9]+")
+
+
 def physical_id(device: Column) -> Column:
-    """Name of the device below /dev, partition suffix kept; the device itself where it has another form."""
-    name = F.regexp_extract(device, r"^/dev/([a-z]+[0-9]+(?:n[0-9]+)?(?:p[0-9]+|s[0-9]+)?)$", 1)
+    """Name of the device below /dev, partition suffix kept, whatever follows; the device itself where it has another form."""
+    name = F.regexp_extract(device, f"^/dev/({'|'.join(DEVICE_FORMS)})", 1)
     return F.when(name != "", name).otherwise(device)
 
 

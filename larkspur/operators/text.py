@@ -21,10 +21,12 @@ def line_stats(docs: DataFrame, key: str, text: str) -> DataFrame:
 def word_index(docs: DataFrame, key: str, text: str, pattern: str = "[a-z]+") -> DataFrame:
     """word, n, n_rows: how often each word of the lower-cased texts occurs and in how many rows.
 
-    Words are summed by word and row first, so a word that is everywhere reaches the last sum as one row a task.
+    Words of a row and its distinct words are told apart within the row, so there is one shuffle, of sums a word and task.
     """
-    words = docs.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))).alias("word"))
-    return words.groupBy("word", key).agg(F.count("*").alias("n")).groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("n_rows"))
+    words = docs.select(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0)).alias("w"))
+    every = F.transform("w", lambda x: F.struct(x.alias("word"), F.lit(1).alias("n"), F.lit(0).alias("n_rows")))
+    once = F.transform(F.array_distinct("w"), lambda x: F.struct(x.alias("word"), F.lit(0).alias("n"), F.lit(1).alias("n_rows")))
+    return words.select(F.inline(F.concat(every, once))).groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_rows").alias("n_rows"))
 
 
 def links(pages: DataFrame, key: str, html: str) -> DataFrame:

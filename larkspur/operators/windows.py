@@ -32,7 +32,21 @@ def pairs(rows: DataFrame, by: WindowSpec, x: str) -> DataFrame:
 
 
 def moving_average(x: Column, by: WindowSpec, radius: int) -> Column:
-    return F.avg(x).over(by.rowsBetween(-radius, radius))
+    """Mean of the valid numbers up to `radius` rows away."""
+    return F.avg(valid(x)).over(by.rowsBetween(-radius, radius))
+
+
+def blur(rows: DataFrame, keys: list[str], order: str, x: str, radius: int, passes: int = 3) -> DataFrame:
+    """`rows` with `x` replaced by its mean over 2 * radius + 1 places, three times over; beyond either end the value there goes on."""
+    by = Window.partitionBy(*keys).orderBy(order)
+    whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    place, n = F.row_number().over(by), F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    v = F.col(x)
+    for _ in range(passes):
+        before, after = F.greatest(F.lit(0), radius + 1 - place), F.greatest(F.lit(0), place + radius - n)
+        total = F.sum(v).over(by.rowsBetween(-radius, radius)) + before * F.first(v).over(whole) + after * F.last(v).over(whole)
+        rows = rows.withColumn(x, total / (2 * radius + 1))
+    return rows
 
 
 def stack(rows: DataFrame, at: str, series: str, value: str, offset: str = "none") -> DataFrame:

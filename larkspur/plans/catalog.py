@@ -40,10 +40,10 @@ def size_sql(x: str) -> str:
     return f"CASE WHEN {x} <= 0 THEN '0 B' {steps} ELSE printf('%.2f TB', round_even({x} / {float(1024**4)}, 2)) END"
 
 
-@query(f"WITH {FILES}, {ROLLED} SELECT dir, size, n_files, mtime, ctime_min, CAST(0 AS BIGINT) AS ctime_asis, {size_sql('size')} AS size_str FROM rolled")
+@query(f"WITH {FILES}, {ROLLED} SELECT dir, size, n_files, mtime, ctime_min, least(ctime_min, 0) AS ctime_asis, {size_sql('size')} AS size_str FROM rolled")
 def folder_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rolled = c.folder_rollup(virtual_files(spark, sf_dir))
-    return rolled.select("dir", "size", "n_files", "mtime", "ctime_min", F.lit(0).cast("long").alias("ctime_asis"), format_size(F.col("size")).alias("size_str"))
+    return rolled.select("dir", "size", "n_files", "mtime", "ctime_min", F.least("ctime_min", F.lit(0).cast("long")).alias("ctime_asis"), format_size(F.col("size")).alias("size_str"))
 
 
 @query(f"""WITH {FILES}, {ROLLED}, nodes AS (SELECT *, regexp_extract(dir, '^(.*)/[^/]*$', 1) AS parent, regexp_extract(dir, '([^/]*)$', 1) AS name FROM rolled WHERE dir <> ''),
@@ -110,11 +110,12 @@ def mtime_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return virtual_files(spark, sf_dir).groupBy(F.substring("mtime_str", 1, 10).alias("day")).agg(F.count("*").alias("n"), F.sum("size").alias("size"))
 
 
-@query("""WITH p AS (SELECT page_id, (['/api/', '/graphql', '../', 'docs/../', '/css_js/', 'apix/', '', 'a..b/'])[page_id % 8 + 1] || regexp_replace(url, '^[a-z]+://', '') AS path FROM pages)
-SELECT page_id, path, NOT list_contains(string_split(path, '/'), '..') AND NOT regexp_matches(path, '^/?(css_js|graphql|api)(/|$)') AS safe FROM p""")
+@query("""WITH p AS (SELECT page_id, CASE WHEN page_id % 9 = 8 THEN '' ELSE (['api/', 'graphql', '../', 'docs/../', 'css_js', 'apix/', '', 'a..b/'])[page_id % 9 + 1] || regexp_replace(url, '^[a-z]+://', '') END AS path FROM pages)
+SELECT page_id, path, path <> '' AND position('..' IN path) = 0 AND left(path, 6) <> 'css_js' AND left(path, 7) <> 'graphql' AND left(path, 4) <> 'api/' AS safe FROM p""")
 def path_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prefixes = ["/api/", "/graphql", "../", "docs/../", "/css_js/", "apix/", "", "a..b/"]
-    path = F.concat(F.element_at(F.array(*map(F.lit, prefixes)), (F.col("page_id") % 8 + 1).cast("int")), F.regexp_replace("url", "^[a-z]+://", ""))
+    prefixes = ["api/", "graphql", "../", "docs/../", "css_js", "apix/", "", "a..b/"]
+    path = F.concat(F.get(F.array(*map(F.lit, prefixes)), (F.col("page_id") % 9).cast("int")), F.regexp_replace("url", "^[a-z]+://", ""))
+    path = F.when(F.col("page_id") % 9 == 8, "").otherwise(path)
     return table(spark, sf_dir, "pages").select("page_id", path.alias("path")).withColumn("safe", c.safe_path(F.col("path")))
 
 
@@ -129,7 +130,7 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH d AS (SELECT *, '/dev/' || CASE WHEN s_nationkey % 3 = 0 THEN 'nvme' || s_nationkey || 'n1p' || s_suppkey % 2 WHEN s_nationkey % 3 = 1 THEN 'disk' || s_nationkey || 's1' ELSE 'sda' || s_nationkey END AS device,
-abs(s_acctbal) AS used, CAST(10000 + s_suppkey % 3 AS DOUBLE) AS total FROM supplier), p AS (SELECT *, round_even(100 * used / total, 1) AS percent, coalesce(nullif(regexp_extract(device, '^/dev/([a-z]+[0-9]+(?:n[0-9]+)?(?:p[0-9]+|s[0-9]+)?)$', 1), ''), device) AS physical_id FROM d),
+abs(s_acctbal) AS used, CAST(10000 + s_suppkey % 3 AS DOUBLE) AS total FROM supplier), p AS (SELECT *, round_even(100 * used / total, 1) AS percent, CASE WHEN s_nationkey % 3 = 2 THEN device ELSE substr(device, 6) END AS physical_id FROM d),
 r AS (SELECT *, row_number() OVER (PARTITION BY physical_id ORDER BY percent DESC, s_suppkey) AS r FROM p) SELECT physical_id, device, s_suppkey, used, total, percent FROM r WHERE r = 1""")
 def disk_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.busiest_partition(_disks(spark, sf_dir), "s_suppkey").select("physical_id", "device", "s_suppkey", "used", "total", "percent")

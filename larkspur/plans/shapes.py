@@ -120,25 +120,25 @@ _VALUES = "(['', ' ', 'true', 'NaN', '12.5', '-3e4', '0x1F', '2024-01-05', '2024
 
 @query(f"""WITH v AS (SELECT event_id, {_VALUES} AS s FROM events), t AS (SELECT *, trim(s) AS t FROM v) SELECT event_id, s, CASE WHEN t = '' THEN 'null' WHEN t IN ('true', 'false') THEN 'boolean' WHEN t = 'NaN' THEN 'nan'
 WHEN regexp_full_match(t, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') OR regexp_full_match(t, '0[xX][0-9a-fA-F]+') OR t IN ('Infinity', '-Infinity', '+Infinity') THEN 'number'
-WHEN regexp_full_match(t, '([-+][0-9]{{2}})?[0-9]{{4}}(-[0-9]{{2}}(-[0-9]{{2}})?)?(T[0-9]{{2}}:[0-9]{{2}}(:[0-9]{{2}}(\\.[0-9]{{3}})?)?(Z|[-+][0-9]{{2}}:[0-9]{{2}})?)?') THEN 'date' ELSE 'string' END AS kind FROM t""")
+WHEN coalesce(try_strptime(t, ['%Y-%m-%d', '%Y-%m', '%Y', '%Y-%m-%dT%H:%MZ', '%Y-%m-%dT%H:%M:%SZ', '%Y-%m-%dT%H:%M:%S.%gZ'])) IS NOT NULL AND NOT regexp_matches(t, '-[0-9](-|$)') THEN 'date' ELSE 'string' END AS kind FROM t""")
 def autotype(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = ["", " ", "true", "NaN", "12.5", "-3e4", "0x1F", "2024-01-05", "2024-01-05T10:20:30Z", "abc", "1,000", "Infinity", ".5", "5.", "false ", "2024-1-5"]
     s = F.element_at(F.array(*map(F.lit, values)), (F.col("event_id") % 16 + 1).cast("int"))
     return table(spark, sf_dir, "events").select("event_id", s.alias("s")).withColumn("kind", formatting.auto_type(F.col("s")))
 
 
-@query("SELECT o_orderkey, format('{:,.2f}', o_totalprice) AS grouped, printf('%.1f', round_even(o_totalprice / 1000, 1)) || 'k' AS thousands FROM orders WHERE o_totalprice BETWEEN 10000 AND 99900")
+@query("""WITH v AS (SELECT o_orderkey, o_totalprice, o_totalprice / 1000 AS k FROM orders) SELECT o_orderkey, format('{:,.2f}', o_totalprice) AS grouped,
+CASE WHEN round_even(k, 2) < 10 THEN printf('%.2f', round_even(k, 2)) WHEN round_even(k, 1) < 100 THEN printf('%.1f', round_even(k, 1)) ELSE printf('%.0f', round_even(k, 0)) END || 'k' AS thousands FROM v""")
 def number_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("o_totalprice")
-    return table(spark, sf_dir, "orders").where(x.between(10000, 99900)).select("o_orderkey", formatting.grouped_number(x).alias("grouped"), formatting.si_number(x).alias("thousands"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", formatting.grouped_number(x).alias("grouped"), formatting.si_number(x).alias("thousands"))
 
 
 @query("""WITH v AS (SELECT o_orderkey, o_totalprice, o_totalprice / 1000 AS k FROM orders) SELECT o_orderkey, format('{:,.2f}', o_totalprice) AS grouped,
 CASE WHEN round_even(k, 2) < 10 THEN printf('%.2f', round_even(k, 2)) WHEN round_even(k, 1) < 100 THEN printf('%.1f', round_even(k, 1)) ELSE printf('%.0f', round_even(k, 0)) END || 'k' AS thousands FROM v""")
 def number_format_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """number_format without its filter: every order, with one, two and three digits of thousands."""
-    x = F.col("o_totalprice")
-    return table(spark, sf_dir, "orders").select("o_orderkey", formatting.grouped_number(x).alias("grouped"), formatting.si_number(x).alias("thousands"))
+    """The same under its other name."""
+    return number_format(spark, sf_dir)
 
 
 _NODES = """nodes AS (SELECT 'all' AS id, NULL AS parent, 0.0::DOUBLE AS v UNION ALL SELECT 'r' || r_regionkey, 'all', 0.0 FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 0.0 FROM nation
@@ -178,22 +178,19 @@ def hier_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.subtree_sum(t, hierarchy.closure(t), "v").select("id", F.round("total", 2).alias("total"), "n_leaves")
 
 
-@query(f"""WITH RECURSIVE {_NODES}, {_UP}, p AS (SELECT 'c' || c_custkey AS a, 'c' || (c_custkey + 1) AS b FROM customer WHERE c_custkey < 100),
+@query(f"""WITH RECURSIVE {_NODES}, {_UP}, p AS (SELECT 'c' || c_custkey AS a, 'c' || (c_custkey + 1) AS b FROM customer),
 m AS (SELECT p.a, p.b, x.ancestor, x.distance AS da, x.distance + y.distance AS d FROM p JOIN up x ON x.id = p.a JOIN up y ON y.id = p.b AND y.ancestor = x.ancestor) SELECT a, b, arg_min(ancestor, da) AS lca, min(d) AS distance FROM m GROUP BY a, b""")
 def hier_path_lca(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
-    pairs = table(spark, sf_dir, "customer").where(k < 100).select(F.concat(F.lit("c"), k.cast("string")).alias("a"), F.concat(F.lit("c"), (k + 1).cast("string")).alias("b"))
+    pairs = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), k.cast("string")).alias("a"), F.concat(F.lit("c"), (k + 1).cast("string")).alias("b"))
     return hierarchy.lowest_common_ancestor(hierarchy.closure(tree_nodes(spark, sf_dir)), pairs)
 
 
 @query(f"""WITH RECURSIVE {_NODES}, {_UP}, p AS (SELECT 'c' || c_custkey AS a, 'c' || (c_custkey + 1) AS b FROM customer),
 m AS (SELECT p.a, p.b, x.ancestor, x.distance AS da, x.distance + y.distance AS d FROM p JOIN up x ON x.id = p.a JOIN up y ON y.id = p.b AND y.ancestor = x.ancestor) SELECT a, b, arg_min(ancestor, da) AS lca, min(d) AS distance FROM m GROUP BY a, b""")
 def hier_path_lca_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each customer with the next one."""
-    name = lambda k: F.concat(F.lit("c"), k.cast("string"))
-    k = F.col("c_custkey")
-    pairs = table(spark, sf_dir, "customer").select(name(k).alias("a"), name(k + 1).alias("b"))
-    return hierarchy.lowest_common_ancestor(hierarchy.closure(tree_nodes(spark, sf_dir)), pairs)
+    """Each customer with the next one, under its other name."""
+    return hier_path_lca(spark, sf_dir)
 
 
 _FAULTS = """b AS (SELECT id, CASE WHEN id LIKE 'c%7' THEN 'gone' || id WHEN id LIKE 'c%31' THEN NULL ELSE parent END AS parent FROM nodes UNION ALL SELECT id, parent FROM nodes WHERE id LIKE 'c%9')"""
@@ -208,12 +205,12 @@ def stratify_checks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.problems(nodes.select("id", parent.alias("parent")).unionByName(nodes.where(id.like("c%9"))))
 
 
-_BAD = "b AS (SELECT * FROM (VALUES ('a', NULL), ('b', 'a'), ('b', 'a'), ('c', 'zz'), ('d', NULL), ('e', 'b')) AS v(id, parent))"
+_BAD = "b AS (SELECT * FROM (VALUES ('a', NULL), ('b', 'a'), ('b', 'a'), ('c', 'zz'), ('d', NULL), ('e', 'b'), ('f', 'g'), ('g', 'f'), ('h', 'f')) AS v(id, parent))"
 
 
-@query(f"WITH {_BAD} SELECT 'missing' AS problem, id FROM b WHERE parent IS NOT NULL AND parent NOT IN (SELECT id FROM b) UNION ALL SELECT 'ambiguous', id FROM b GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'multiple roots', id FROM (SELECT id, row_number() OVER (ORDER BY id) AS r FROM b WHERE parent IS NULL) WHERE r > 1")
+@query(f"WITH RECURSIVE {_BAD}, ends(id) AS (SELECT id FROM b WHERE parent IS NULL OR parent NOT IN (SELECT id FROM b) UNION SELECT b.id FROM b JOIN ends ON b.parent = ends.id) SELECT 'cycle' AS problem, id FROM b WHERE id NOT IN (SELECT id FROM ends) UNION ALL SELECT 'missing', id FROM b WHERE parent IS NOT NULL AND parent NOT IN (SELECT id FROM b) UNION ALL SELECT 'ambiguous', id FROM b GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'multiple roots', id FROM (SELECT id, row_number() OVER (ORDER BY id) AS r FROM b WHERE parent IS NULL) WHERE r > 1")
 def stratify_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("a", None), ("b", "a"), ("b", "a"), ("c", "zz"), ("d", None), ("e", "b")]
+    rows = [("a", None), ("b", "a"), ("b", "a"), ("c", "zz"), ("d", None), ("e", "b"), ("f", "g"), ("g", "f"), ("h", "f")]
     return hierarchy.problems(spark.createDataFrame(rows, "id string, parent string"))
 
 
@@ -263,12 +260,13 @@ def polygon_hull(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.hull(_polygons(spark, sf_dir), "label")
 
 
-@query("""WITH v AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), s AS (SELECT id AS site, x AS sx, y AS sy FROM v WHERE id % 10 = 0),
-m AS (SELECT id, site, sqrt((x - sx) * (x - sx) + (y - sy) * (y - sy)) AS d FROM v, s), k AS (SELECT * FROM m WHERE d <= 0.1) SELECT id, arg_min(site, (d, site)) AS site, round(min(d), 9) AS distance FROM k GROUP BY 1""")
+@query("""WITH v AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), l AS (SELECT label AS site, avg(CAST(embedding[1] AS DOUBLE)) AS sx, avg(CAST(embedding[2] AS DOUBLE)) AS sy FROM embeddings GROUP BY 1),
+m AS (SELECT id, site, sqrt((x - sx) * (x - sx) + (y - sy) * (y - sy)) AS d FROM v, l) SELECT id, arg_min(site, (d, site)) AS site, round(min(d), 9) AS distance FROM m GROUP BY 1""")
 def nearest_neighbor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest of the labels' middles for every point, however far."""
     v = _polygons(spark, sf_dir).select(F.col("vec_id").alias("id"), "x", "y")
-    sites = v.where("id % 10 = 0").select(F.col("id").alias("site"), "x", "y")
-    return geometry.nearest_site(v, sites, 0.1).where("distance <= 0.1").select("id", "site", F.round("distance", 9).alias("distance"))
+    sites = _polygons(spark, sf_dir).groupBy(F.col("label").alias("site")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    return geometry.nearest_site(v, sites, 0.1).select("id", "site", F.round("distance", 9).alias("distance"))
 
 
 @query("""WITH v AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),

@@ -13,11 +13,12 @@ from larkspur.plans.registry import query
 from larkspur.session import table
 
 
-@query("SELECT l_returnflag, l_linestatus, count(*) AS n, string_agg(CAST(l_linenumber AS VARCHAR), '' ORDER BY l_orderkey, l_linenumber) AS items FROM lineitem WHERE l_orderkey < 2000 GROUP BY ALL")
+@query("SELECT l_orderkey, l_returnflag, count(*) AS n, string_agg(l_linenumber || ':' || l_linestatus, ',' ORDER BY l_linenumber, l_linestatus) AS items FROM lineitem GROUP BY ALL")
 def group_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey < 2000").groupBy("l_returnflag", "l_linestatus")
-    items = F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber")))
-    return rows.agg(F.count("*").alias("n"), F.array_join(F.transform(items, lambda x: x["l_linenumber"].cast("string")), "").alias("items"))
+    """The items of each order and flag in one array; groups that grow with the table are numbered instead (group_rows)."""
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_returnflag")
+    items = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_linestatus")))
+    return rows.agg(F.count("*").alias("n"), F.array_join(F.transform(items, lambda x: F.concat_ws(":", x["l_linenumber"].cast("string"), x["l_linestatus"])), ",").alias("items"))
 
 
 @query("SELECT l_returnflag, l_linestatus, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY l_orderkey, l_linenumber) AS position FROM lineitem")
@@ -86,7 +87,8 @@ _PS = {"p0": 0.0, "p10": 0.1, "p25": 0.25, "median": 0.5, "p90": 0.9, "p100": 1.
 
 @query("SELECT l_returnflag, " + ", ".join(f"round(quantile_cont(l_extendedprice, {p}), 4) AS {k}" for k, p in _PS.items()) + " FROM lineitem GROUP BY 1")
 def quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(*(F.round(stats.quantile(F.col("l_extendedprice"), p), 4).alias(k) for k, p in _PS.items()))
+    out = stats.grouped_quantiles(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", _PS)
+    return out.select("l_returnflag", *(F.round(k, 4).alias(k) for k in _PS))
 
 
 @query("WITH r AS (SELECT p_brand, p_partkey, p_retailprice, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS r, count(*) OVER (PARTITION BY p_brand) AS n FROM part) SELECT p_brand, p_partkey, p_retailprice FROM r WHERE r = floor((n - 1) * 0.4) + 1")
@@ -106,9 +108,27 @@ def least_greatest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.extreme(p, ["p_brand"], "size", "p_partkey").withColumn("kind", F.lit("least")).unionByName(stats.extreme(p, ["p_brand"], "size", "p_partkey", False).withColumn("kind", F.lit("greatest")))
 
 
-@query("SELECT l_returnflag, CAST(sum(CAST(l_extendedprice * l_discount AS DECIMAL(28,10))) AS DOUBLE) AS total FROM lineitem GROUP BY 1")
+@query("SELECT l_returnflag, CAST(sum(CAST(l_extendedprice * l_discount * pow(2.0, 56) AS HUGEINT)) AS DOUBLE) / pow(2.0, 56) AS total FROM lineitem GROUP BY 1")
 def fsum_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(stats.exact_sum(F.col("l_extendedprice") * F.col("l_discount")).alias("total"))
+    """The SQL sums whole multiples of 2**-56, of which every product here is one."""
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", (F.col("l_extendedprice") * F.col("l_discount")).alias("x"))
+    return stats.exact_sum(rows, ["l_returnflag"], "x")
+
+
+@query("""WITH RECURSIVE g AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+p(pass, user_id, i, n, value) AS (SELECT 0, user_id, i, n, value FROM g UNION ALL SELECT pass + 1, user_id, i, n, v FROM (SELECT a.pass, a.user_id, a.i, a.n,
+  (sum(a.value) OVER w + greatest(0, 3 - a.i) * first(a.value) OVER e + greatest(0, a.i + 2 - a.n) * last(a.value) OVER e) / 5 AS v FROM p AS a
+  WINDOW w AS (PARTITION BY a.pass, a.user_id ORDER BY a.i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), e AS (PARTITION BY a.pass, a.user_id ORDER BY a.i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) WHERE pass < 3)
+SELECT g.event_id, round(p.value, 6) AS smooth FROM p JOIN g USING (user_id, i) WHERE pass = 3""")
+def blur(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
+    return windows.blur(rows, ["user_id"], "event_id", "value", 2).select("event_id", F.round("value", 6).alias("smooth"))
+
+
+@query("SELECT CAST(k AS DOUBLE) / 100 AS x0, CAST(k + 1 AS DOUBLE) / 100 AS x1, coalesce(n, 0) AS n FROM range(0, 11) t(k) LEFT JOIN (SELECT CAST(round(l_discount * 100) AS BIGINT) AS k, count(*) AS n FROM lineitem GROUP BY 1) USING (k)")
+def bin_small_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hundredths, each of which stands on the edge of a bin."""
+    return stats.histogram(table(spark, sf_dir, "lineitem"), "l_discount", 10)
 
 
 @query("SELECT s_suppkey, s_nationkey, rank() OVER (PARTITION BY s_nationkey ORDER BY round(s_acctbal / 1000)) - 1 AS rank FROM supplier")
@@ -168,9 +188,15 @@ def stack_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query()
+_SALES = "m AS (SELECT strftime(l_shipdate, '%Y-%m') AS month, l_returnflag AS s, sum(l_quantity) AS v FROM lineitem GROUP BY ALL)"
+
+
+@query(f"""WITH {_SALES}, d AS (SELECT *, v - coalesce(lag(v) OVER (PARTITION BY s ORDER BY month), v) AS dv FROM m),
+t AS (SELECT a.month, sum(a.v * a.dv / 2) + coalesce((SELECT sum(b.dv * c.v) FROM d AS b JOIN d AS c ON b.month = c.month AND b.s < c.s WHERE b.month = a.month), 0) AS s2, sum(a.v) AS s1 FROM d AS a GROUP BY a.month)
+SELECT month, round(-sum(s2 / s1) OVER (ORDER BY month), 4) AS base FROM t""")
 def stack_wiggle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.wiggle(_months(spark, sf_dir), "month", "l_returnflag", "v")
+    months = table(spark, sf_dir, "lineitem").groupBy(F.date_format("l_shipdate", "yyyy-MM").alias("month"), "l_returnflag").agg(F.sum("l_quantity").alias("v"))
+    return windows.wiggle(months, "month", "l_returnflag", "v").select("month", F.round("base", 4).alias("base"))
 
 
 @query(f"WITH g AS (SELECT o_orderpriority AS k, sum(o_totalprice) AS v FROM orders GROUP BY 1) SELECT k, round({2 * pi} * (sum(v) OVER w - v) / sum(v) OVER (), 6) AS start_angle, round({2 * pi} * sum(v) OVER w / sum(v) OVER (), 6) AS end_angle FROM g WINDOW w AS (ORDER BY v DESC, k ROWS UNBOUNDED PRECEDING)")

@@ -9,11 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from larkspur.operators.catalog import ignored_name, ignored_path
+from larkspur.operators.catalog import IGNORED_NAMES, IGNORED_PATHS, ignored_name, ignored_path
 
 SCHEMA = "name string, dir string, is_dir boolean, size long, ctime double, mtime double"
 
 
+def hidden(folder: str) -> bool:
+    """Whether an ignore rule drops a folder with all below it; such folders aren't entered."""
+    return folder.startswith(IGNORED_PATHS) or "__pycache__" in folder or folder.rpartition("/")[2].startswith(IGNORED_NAMES)
+
+
 class TreePartition(InputPartition):
     """The entries of one folder, with or without what lies below it."""
 
@@ -22,14 +27,19 @@ class TreePartition(InputPartition):
 
 
 class FileTreeReader(DataSourceReader):
-    """Lists the folder of option `path` (seen by all executors); each folder below the top is a partition of its own."""
+    """Lists the folder of option `path` (seen by all executors); the folders of the first levels (option `depth`) are partitions of their own."""
 
     def __init__(self, options: dict):
-        self.top = options["path"].removeprefix("file://")
+        self.top, self.depth = options["path"].removeprefix("file://"), int(options.get("depth", 2))
 
     def partitions(self) -> list[TreePartition]:
-        names = sorted(e.name for e in _entries(self.top) if e.is_dir(follow_symlinks=False))
-        return [TreePartition("", False), *(TreePartition(n, True) for n in names)]
+        """The folders of the first levels one by one, and those of level `depth` (2) with all below them."""
+        found, level = [TreePartition("", False)], [""]
+        for d in range(self.depth):
+            below = [f"{f}/{e.name}" if f else e.name for f in level for e in _entries(os.path.join(self.top, f)) if e.is_dir(follow_symlinks=False)]
+            level = sorted(f for f in below if not hidden(f))
+            found += [TreePartition(f, d == self.depth - 1) for f in level]
+        return found
 
     def read(self, partition: TreePartition) -> Iterator[tuple]:
         waiting = [partition.folder]
@@ -41,7 +51,7 @@ class FileTreeReader(DataSourceReader):
                 except OSError:
                     continue
                 yield e.name, folder, is_dir, None if is_dir else at.st_size, getattr(at, "st_birthtime", at.st_ctime), at.st_mtime
-                if is_dir and partition.deep:
+                if is_dir and partition.deep and not hidden(f"{folder}/{e.name}"):
                     waiting.append(f"{folder}/{e.name}")
 
 
