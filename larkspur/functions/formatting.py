@@ -79,8 +79,16 @@ def auto_type(text: Column) -> Column:
 
 
 def url_encode(text: Column) -> Column:
-    """Percent encoding with spaces as %20."""
-    return F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    """Percent encoding of all but letters, digits and - _ . ! ~ * ' ( )."""
+    out = F.url_encode(text)
+    for a, b in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def url_decode(text: Column) -> Column:
+    """The inverse of url_encode; a plus sign stays one, and null for broken percent codes."""
+    return F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
 
 
 def xml_escape(text: Column) -> Column:
@@ -89,6 +97,12 @@ def xml_escape(text: Column) -> Column:
     return text
 
 
+def xml_unescape(text: Column) -> Column:
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&apos;", "'"), ("&quot;", '"'), ("&amp;", "&")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
 def percent(used: Column, total: Column, digits: int = 1) -> Column:
     """100 * used / total, rounded half to even, and 0 where the total is 0."""
     return F.when(total == 0, F.lit(0.0)).otherwise(F.bround(100 * used / total, digits))

@@ -1,6 +1,6 @@
 """All registered queries of the library."""
 
-from larkspur.plans import catalog, documents, shapes, statistics
+from larkspur.plans import catalog, documents, formats, shapes, statistics
 from larkspur.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "catalog", "documents", "shapes", "statistics"]
+__all__ = ["ORACLES", "QUERIES", "catalog", "documents", "formats", "shapes", "statistics"]
