@@ -58,3 +58,22 @@ def band(index: Column, n: Column, range_: tuple = (0.0, 1.0), padding: float =
     a, b = map(float, range_)
     step = F.lit(b - a) / F.greatest(F.lit(1.0), n + padding)
     return a + (b - a - step * (n - padding)) / 2 + step * index
+
+
+def invert(t: Column, domain: tuple) -> Column:
+    """Value of the domain at a place between 0 and 1."""
+    a, b = (v if isinstance(v, Column) else F.lit(float(v)) for v in domain)
+    return a + t * (b - a)
+
+
+def radial(x: Column, domain: tuple, range_: tuple = (0.0, 1.0)) -> Column:
+    """Linear in the squares of the range, so that areas are."""
+    y = linear(x, domain, tuple((1 if r >= 0 else -1) * r * r for r in range_))
+    return F.signum(y) * F.sqrt(F.abs(y))
+
+
+def point(index: Column, n: Column, range_: tuple = (0.0, 1.0), padding: float = 0.0) -> Column:
+    """Place of a category by its 0-based index among n, the outer ones `padding` steps from the ends."""
+    a, b = map(float, range_)
+    step = F.lit(b - a) / F.greatest(F.lit(1.0), n - 1 + 2 * padding)
+    return a + (b - a - step * (n - 1)) / 2 + step * index

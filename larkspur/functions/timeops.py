@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNITS = ("second", "minute", "hour", "day", "month", "year")
@@ -29,6 +31,69 @@ def ceiling(ts: Column, unit: str) -> Column:
     return F.when(low == ts, low).otherwise(F.date_trunc(unit, F.timestamp_add(unit.upper(), F.lit(1), low)))
 
 
+def nearest(ts: Column, unit: str) -> Column:
+    """The nearer border of the unit, the later one from the middle on."""
+    low, high = floor(ts, unit), ceiling(ts, unit)
+    gap = lambda a, b: F.timestamp_diff("MICROSECOND", a, b)
+    return F.when(gap(low, ts) < gap(ts, high), low).otherwise(high)
+
+
+def offset(ts: Column, unit: str, n: int) -> Column:
+    """The time `n` units later; a day that a month lacks becomes its last one."""
+    return F.timestamp_add(unit.upper(), F.lit(n), ts)
+
+
+def borders(start: Column, end: Column, unit: str) -> Column:
+    """Number of borders of the unit after `start` up to `end`."""
+    return F.timestamp_diff(unit.upper(), floor(start, unit), floor(end, unit))
+
+
+def iso_format(ts: Column) -> Column:
+    """Text of a time in UTC, to thousandths."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def iso_parse(text: Column) -> Column:
+    """Time of a text such as iso_format gives, or with another zone; null for others."""
+    return F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSS]XXX"))
+
+
+# Steps of time axes as (unit, multiple, seconds).
+TICK_STEPS = (
+    ("SECOND", 1, 1), ("SECOND", 5, 5), ("SECOND", 15, 15), ("SECOND", 30, 30), ("MINUTE", 1, 60), ("MINUTE", 5, 300), ("MINUTE", 15, 900), ("MINUTE", 30, 1800),
+    ("HOUR", 1, 3600), ("HOUR", 3, 10800), ("HOUR", 6, 21600), ("HOUR", 12, 43200), ("DAY", 1, 86400), ("DAY", 2, 172800), ("WEEK", 1, 604800),
+    ("MONTH", 1, 2592000), ("MONTH", 3, 7776000), ("YEAR", 1, 31536000),
+)
+
+
+def tick_unit(seconds: float, count: int) -> tuple[str, int]:
+    """Unit and multiple of the step nearest in ratio to a span over `count`."""
+    target = seconds / count
+    return min(TICK_STEPS, key=lambda s: max(s[2] / target, target / s[2]))[:2]
+
+
+def time_ticks(rows: DataFrame, ts: str, count: int = 10) -> DataFrame:
+    """tick: about `count` round times within the extent of a column, days counted anew every month, weeks from Sunday. One row of aggregates sets the step."""
+    ends = rows.agg(F.min(ts).cast("timestamp").alias("a"), F.max(ts).cast("timestamp").alias("b")).where("a is not null")
+    first = ends.select("a", "b", F.timestamp_diff("SECOND", "a", "b").alias("s")).first()
+    unit, k = tick_unit(first.s, count) if first and first.s else ("SECOND", 1)
+    # Days and longer steps don't fit a fixed distance, so single units are made and every k-th is kept.
+    single = ends.select(F.explode(F.sequence(F.date_trunc(unit, "a"), F.col("b"), F.expr(f"INTERVAL 1 {'DAY' if unit == 'WEEK' else unit}"))).alias("tick"), "a")
+    keep = {"SECOND": F.second("tick") % k == 0, "MINUTE": F.minute("tick") % k == 0, "HOUR": F.hour("tick") % k == 0, "DAY": (F.dayofmonth("tick") - 1) % k == 0, "WEEK": F.dayofweek("tick") == 1, "MONTH": (F.month("tick") - 1) % k == 0, "YEAR": F.year("tick") % k == 0}[unit]
+    return single.where(keep & (F.col("tick") >= F.col("a"))).select("tick")
+
+
+_PARSED = {"Y": "yyyy", "m": "MM", "d": "dd", "H": "HH", "M": "mm", "S": "ss", "L": "SSS", "f": "SSSSSS", "j": "DDD", "b": "MMM", "B": "MMMM"}
+
+
+def strptime(text: Column, pattern: str) -> Column:
+    """Time of a text after a % pattern of digits and month names; null where it doesn't fit."""
+    # Odd parts are the letters after a percent sign.
+    parts = re.split("%(.)", pattern)
+    quoted = lambda t: "'" + t.replace("'", "''") + "'" if t else ""
+    return F.try_to_timestamp(text, F.lit("".join(_PARSED[p] if i % 2 else quoted(p) for i, p in enumerate(parts))))
+
+
 def week_of_year(ts: Column, first: int) -> Column:
     """Week of the year by weeks that begin on weekday `first` (0 Sunday: %U, 1 Monday: %W); days before the first such day are in week 0."""
     weekday = F.pmod(F.dayofweek(ts) - 1 - first, F.lit(7))

@@ -34,7 +34,7 @@ def parse_rows(texts: DataFrame, key: str, text: str, separator: str = ",") -> D
 def parse(texts: DataFrame, key: str, text: str, separator: str = ",") -> DataFrame:
     """key, row (from 0), name, value: cells under the names of each text's first record. A cell that a record lacks is null, further ones are left out."""
     parts = texts.select(key, F.transform(records(F.col(text)), lambda r: cells(r, separator)).alias("rows"))
-    body = parts.where(F.size("rows") > 1).select(key, F.col("rows")[0].alias("names"), F.posexplode(F.slice("rows", F.lit(2), F.size("rows"))).alias("row", "cells"))
+    body = parts.where(F.size("rows") > 1).select(key, F.get("rows", F.lit(0)).alias("names"), F.posexplode(F.slice("rows", F.lit(2), F.size("rows"))).alias("row", "cells"))
     out = body.select(key, F.col("row").cast("long").alias("row"), F.posexplode("names").alias("at", "name"), "cells")
     return out.select(key, "row", "name", F.get("cells", F.col("at")).alias("value"))
 

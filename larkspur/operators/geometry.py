@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -100,3 +100,16 @@ def nearest_site(points: DataFrame, sites: DataFrame, cell: float, others: bool
         if cell > span or rest.isEmpty():
             return reduce(DataFrame.unionByName, found)
         cell *= 2
+
+
+def sphere_distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Angle in radians between two places given by longitude and latitude in degrees; exact for near and for opposite ones."""
+    dx, a, b = F.radians(x2 - x1), F.radians(y1), F.radians(y2)
+    across = F.sqrt(F.pow(F.cos(b) * F.sin(dx), F.lit(2.0)) + F.pow(F.cos(a) * F.sin(b) - F.sin(a) * F.cos(b) * F.cos(dx), F.lit(2.0)))
+    return F.atan2(across, F.sin(a) * F.sin(b) + F.cos(a) * F.cos(b) * F.cos(dx))
+
+
+def grid_counts(points: DataFrame, cell: float) -> DataFrame:
+    """i, j, n: points in each square cell of a grid, empty cells left out."""
+    k = lambda c: F.floor(F.col(c) / cell).cast("long")
+    return points.groupBy(k("x").alias("i"), k("y").alias("j")).agg(F.count("*").alias("n"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from larkspur.operators.catalog import ancestors, parent_dir
+from larkspur.operators.stats import numbered
 from larkspur.session import checkpointed
 
 
@@ -98,3 +99,15 @@ def flows(edges: DataFrame) -> DataFrame:
     """node, sent, received, own: totals of a flow table (source, target, value)."""
     both = edges.select(F.explode(F.array(F.struct(F.col("source").alias("node"), F.col("value").alias("s"), F.lit(0.0).alias("r")), F.struct(F.col("target").alias("node"), F.lit(0.0).alias("s"), F.col("value").alias("r")))).alias("x"), (F.col("source") == F.col("target")).alias("loop"))
     return both.groupBy("x.node").agg(F.sum("x.s").alias("sent"), F.sum("x.r").alias("received"), F.sum(F.when(F.col("loop"), F.col("x.s")).otherwise(0.0)).alias("own"))
+
+
+def orders(above: DataFrame) -> DataFrame:
+    """id, breadth, pre, post: positions of each node, siblings by id, level by level, parents first, and children first; from a closure."""
+    path = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), "ancestor"))), lambda p: p["ancestor"])
+    rows = checkpointed(above.groupBy("id").agg(F.max("distance").alias("depth"), path.alias("path")))
+    # A last part beyond all ids puts a node after those below it.
+    rows = rows.withColumn("last", F.array_append("path", F.lit("\U0010ffff")))
+    out = rows.select("id")
+    for name, by in (("breadth", ("depth", "path")), ("pre", ("path",)), ("post", ("last",))):
+        out = out.join(numbered(rows.select("id", *by), *by).select("id", F.col("position").alias(name)), "id")
+    return out

@@ -11,6 +11,7 @@ from larkspur.operators import catalog as c
 from larkspur.operators import telemetry
 from larkspur.plans.registry import query
 from larkspur.session import table
+from larkspur.sources import catalog_scan
 
 EXTENSIONS = ("md", "py", "PNG", "sql", "sh", "zip", "drawio", "ttf", "html", "xyz")
 
@@ -70,6 +71,19 @@ def file_type_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.with_file_type(virtual_files(spark, sf_dir)).groupBy("file_type").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.countDistinct("ext").alias("n_ext"))
 
 
+@query(f"WITH {FILES} SELECT split_part(dir, '/', 1) AS name, CAST(sum(size) AS BIGINT) AS size, count(DISTINCT dir) AS leaves FROM files GROUP BY 1")
+def folder_tree_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each first-level folder as one nested document, from which its size and its folders without others are read back."""
+    trees = c.nested_trees(c.folder_nodes(virtual_files(spark, sf_dir)))
+    return trees.select("name", F.get_json_object("tree", "$.size").cast("long").alias("size"), F.regexp_count("tree", F.lit('"value":')).cast("long").alias("leaves"))
+
+
+@query()
+def scan_dir_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The folder of the tables itself as a catalog: name, dir, size, size_str and file_type of every file."""
+    return catalog_scan.files(spark, sf_dir).select("name", "dir", "size", "size_str", "file_type")
+
+
 @query(f"WITH {FILES} SELECT dir, count(*) AS n, string_agg(name || ':' || size, ',' ORDER BY name) AS files FROM files GROUP BY dir")
 def files_by_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = F.array_sort(F.collect_list(F.struct("name", "size")))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import logging
+import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from larkspur.session import ensure_checkpoint_dir
+
 RATES = "key string, at timestamp, rate double"
 
 
@@ -64,3 +68,41 @@ def distinct_events(samples: DataFrame, keys: list[str], at: str, late: str) ->
 def messages(samples: DataFrame, kind: str) -> DataFrame:
     """message: a JSON envelope {"type", "data"} of each row."""
     return samples.select(F.to_json(F.struct(F.lit(kind).alias("type"), F.struct("*").alias("data"))).alias("message"))
+
+
+def heartbeats(spark: SparkSession, service: str, seconds: int = 30) -> DataFrame:
+    """A stream of status, timestamp and service, a row every `seconds`."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).option("numPartitions", 1).load()
+    return ticks.where(F.col("value") % seconds == 0).select(F.lit("ok").alias("status"), F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), F.lit(service).alias("service"))
+
+
+def fan_out(*sinks: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: hands each batch, computed once, to every sink. A sink that fails is logged and left out from then on."""
+    alive = list(sinks)
+
+    def deliver(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        for sink in list(alive):
+            try:
+                sink(batch)
+            except Exception:
+                logging.getLogger(__name__).exception("sink left out after batch %d", number)
+                alive.remove(sink)
+        batch.unpersist()
+
+    return deliver
+
+
+def collected(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Runs a stream over all that is there now, under a checkpoint in the shared folder, and returns what it has put out.
+
+    mode "complete": each batch replaces the result; "append": each adds to it.
+    """
+    spark = stream.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    schema = stream.schema
+    spark.createDataFrame([], schema).write.parquet(f"{folder}/out")
+    write = lambda batch, _: batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/out")
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{folder}/out")
