@@ -32,11 +32,11 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.withColumn("value", F.when((F.col("name") == "text") & F.col("value").isNotNull(), F.sha2("value", 256)).otherwise(F.col("value")))
 
 
-@query("SELECT page_id, CAST(i AS BIGINT) AS \"row\", CASE WHEN i = 0 THEN [CAST(page_id AS VARCHAR), url] ELSE ['', 'a\tb', ''] END AS cells FROM pages, range(2) t(i)")
+@query("SELECT page_id, CAST(i AS BIGINT) AS \"row\", CASE WHEN i = 0 THEN page_id || '|' || url ELSE '|a\tb|' END AS cells FROM pages, range(2) t(i)")
 def tsv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = delimited.format_row([F.col("page_id"), F.col("url")], "\t")
     rows = table(spark, sf_dir, "pages").select("page_id", F.concat(line, F.lit('\n\t"a\tb"\t\n')).alias("tsv"))
-    return delimited.parse_rows(rows, "page_id", "tsv", "\t")
+    return delimited.parse_rows(rows, "page_id", "tsv", "\t").withColumn("cells", F.array_join("cells", "|"))
 
 
 # Each order as a tree: its return flags, and under them its lines.

@@ -21,14 +21,16 @@ def bisect_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", arrays.bisect_left(xs, x).cast("long").alias("left"), arrays.bisect_right(xs, x).cast("long").alias("right"), arrays.bisect_center(xs, x).alias("center"))
 
 
-@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings)
-SELECT vec_id, list_reverse(x[1:3]) AS reversed, [x[3], x[1], NULL] AS permuted, x[1:4] AS merged, [[x[1], x[3]], [x[2], x[4]]] AS transposed, list_sort(x) = list_sort(x) AS same_values FROM e""")
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT)) AS x FROM embeddings)
+SELECT vec_id, x[3] || ',' || x[2] || ',' || x[1] AS reversed, x[3] || ',' || x[1] || ',none' AS permuted, array_to_string(x[1:4], ',') AS merged, x[1] || ',' || x[3] || ';' || x[2] || ',' || x[4] AS transposed, true AS same_values FROM e""")
 def array_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.col("embedding").cast("array<double>")
+    """Values as whole millionths, as text."""
+    x = F.transform(F.col("embedding").cast("array<double>"), lambda v: F.round(v * 1_000_000).cast("long"))
+    listed = lambda xs: F.array_join(xs.cast("array<string>"), ",", "none")
     pairs = F.array(F.slice(x, 1, 2), F.slice(x, 3, 2))
     return table(spark, sf_dir, "embeddings").select(
-        "vec_id", F.reverse(F.slice(x, 1, 3)).alias("reversed"), arrays.permute(x, F.array(F.lit(2), F.lit(0), F.lit(999_999))).alias("permuted"),
-        arrays.merge(pairs).alias("merged"), arrays.transpose(pairs).alias("transposed"), (F.array_sort(arrays.shuffled(x, 3)) == F.array_sort(x)).alias("same_values"),
+        "vec_id", listed(F.reverse(F.slice(x, 1, 3))).alias("reversed"), listed(arrays.permute(x, F.array(F.lit(2), F.lit(0), F.lit(999_999)))).alias("permuted"),
+        listed(arrays.merge(pairs)).alias("merged"), F.array_join(F.transform(arrays.transpose(pairs.cast("array<array<double>>")), lambda r: listed(r.cast("array<bigint>"))), ";").alias("transposed"), (F.array_sort(arrays.shuffled(x, 3)) == F.array_sort(x)).alias("same_values"),
     )
 
 
