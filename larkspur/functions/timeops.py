@@ -140,3 +140,18 @@ def day_part(ts: Column) -> Column:
     """Names of the parts of a day, by hour and minute."""
     hm = F.hour(ts) * 100 + F.minute(ts)
     return F.when(hm < 600, "凌晨").when(hm < 900, "早上").when(hm < 1130, "上午").when(hm < 1230, "中午").when(hm < 1800, "下午").otherwise("晚上")
+
+
+#: Chinese names of the months, and of the days of the week from Sunday on.
+MONTHS = "一月 二月 三月 四月 五月 六月 七月 八月 九月 十月 十一月 十二月".split()
+WEEKDAYS = "星期日 星期一 星期二 星期三 星期四 星期五 星期六".split()
+
+
+def chinese_month(ts: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, MONTHS)), F.month(ts))
+
+
+def chinese_date(ts: Column) -> Column:
+    """Year, month, day and day of the week, such as 2024年2月29日星期四."""
+    day = F.element_at(F.array(*map(F.lit, WEEKDAYS)), F.dayofweek(ts))
+    return F.concat(F.year(ts), F.lit("年"), F.month(ts), F.lit("月"), F.dayofmonth(ts), F.lit("日"), day)

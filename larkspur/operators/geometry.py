@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import pi
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -113,3 +114,16 @@ def grid_counts(points: DataFrame, cell: float) -> DataFrame:
     """i, j, n: points in each square cell of a grid, empty cells left out."""
     k = lambda c: F.floor(F.col(c) / cell).cast("long")
     return points.groupBy(k("x").alias("i"), k("y").alias("j")).agg(F.count("*").alias("n"))
+
+
+def sphere_area(points: DataFrame, key: str, order: str) -> DataFrame:
+    """key, area (steradians) of polygons on the unit sphere given by points (key, order, x and y in degrees).
+
+    Each edge makes a triangle with the south pole, whose signed excess follows from two sides and the angle between
+    them. A ring run through the other way round has the rest of the sphere.
+    """
+    rings = _edges(points, key, order)
+    half = lambda y: F.tan(F.radians(y) / 2 + pi / 4)
+    turn, both = F.radians(F.col("to.x") - F.col("x")), half(F.col("y")) * half(F.col("to.y"))
+    total = F.sum(2 * F.atan2(both * F.sin(turn), 1 + both * F.cos(turn)))
+    return rings.groupBy(key).agg(F.when(total < 0, total + 4 * pi).otherwise(total).alias("area"))

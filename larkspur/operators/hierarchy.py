@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import pi
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -111,3 +113,22 @@ def orders(above: DataFrame) -> DataFrame:
     for name, by in (("breadth", ("depth", "path")), ("pre", ("path",)), ("post", ("last",))):
         out = out.join(numbered(rows.select("id", *by), *by).select("id", F.col("position").alias(name)), "id")
     return out
+
+
+def arcs(edges: DataFrame, gap: float = 0.0) -> DataFrame:
+    """source, target, value, start_angle, end_angle, group_start, group_end of flows (source, target, value) drawn round a circle.
+
+    Nodes that send follow one another by name with `gap` radians between them, and the flows of each by target; a node
+    that sends nothing has an empty arc, which counts for the gaps but gives no row. Flows of a pair are summed.
+    """
+    cells = edges.where("value > 0").groupBy("source", "target").agg(F.sum("value").cast("double").alias("value"))
+    names = edges.select(F.explode(F.array("source", "target")).alias("source")).where("source is not null").distinct()
+    sums = names.join(cells.groupBy("source").agg(F.sum("value").alias("sent")), "source", "left").select("source", F.coalesce("sent", F.lit(0.0)).alias("sent"))
+    # One row for each node.
+    by = Window.orderBy("source")
+    every = Window.partitionBy()
+    unit = F.greatest(F.lit(0.0), 2 * pi - gap * F.count(F.lit(1)).over(every)) / F.sum("sent").over(every)
+    start = (F.sum("sent").over(by.rowsBetween(Window.unboundedPreceding, 0)) - F.col("sent")) * unit + gap * (F.row_number().over(by) - 1)
+    groups = sums.select("source", unit.alias("unit"), start.alias("group_start"), (start + F.col("sent") * unit).alias("group_end"))
+    end = F.col("group_start") + F.col("unit") * F.sum("value").over(Window.partitionBy("source").orderBy("target").rowsBetween(Window.unboundedPreceding, 0))
+    return cells.join(groups, "source").withColumn("end_angle", end).withColumn("start_angle", F.col("end_angle") - F.col("unit") * F.col("value")).drop("unit")

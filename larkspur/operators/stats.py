@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
-from math import ceil, floor, log2, log10, sqrt
+from math import ceil, floor, isinf, isnan, log2, log10, sqrt
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from larkspur.functions.formatting import valid
@@ -71,6 +73,69 @@ def exact_sum(rows: DataFrame, keys: list[str], x: str) -> DataFrame:
     return sums.select(*keys, F.coalesce("__beyond", _total("__ks", "__ms")).alias("total"))
 
 
+def exact_running(rows: DataFrame, keys: list[str], order: list[str], x: str) -> DataFrame:
+    """`rows` with running: of each group, in order, the sum so far as if added without any rounding and then rounded once.
+
+    Null and NaN count 0; from an infinite value on the sum is infinite, or NaN after both infinities. The rows are sorted
+    by ranges of keys and order, so that no task holds a group. A range passes on one number, the exact sum of its last group.
+    """
+    one = F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256) if keys else F.lit("")
+    ranges = checkpointed(rows.orderBy(*keys, *order)).withColumn("__part", F.spark_partition_id()).withColumn("__group", one).withColumn("__x", F.col(x).cast("double"))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, first, last, total, beyond = None, None, None, 0, 0.0
+        for b in batches:
+            for p, g, v in zip(*(b.column(n).to_pylist() for n in ("__part", "__group", "__x")), strict=True):
+                if part is None:
+                    part, first = p, g
+                if g != last:
+                    last, total, beyond = g, 0, 0.0
+                total, beyond = _added(total, beyond, v)
+        if part is not None:
+            row = {"part": part, "head": first, "tail": last, "total": hex(total), "beyond": beyond}
+            yield pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int32()), ("head", pa.string()), ("tail", pa.string()), ("total", pa.string()), ("beyond", pa.float64())]))
+
+    ends = ranges.select("__part", "__group", "__x").mapInArrow(sums, "part int, head string, tail string, total string, beyond double")
+    carried, group, total, beyond = {}, None, 0, 0.0
+    # One row for each range.
+    for r in sorted(ends.collect()):
+        carried[r.part] = (group, total, beyond)
+        more = r.head == r.tail == group
+        group, total, beyond = r.tail, int(r.total, 16) + (total if more else 0), r.beyond + (beyond if more else 0.0)
+
+    def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, last, total, beyond = False, None, 0, 0.0
+        for b in batches:
+            out = []
+            for p, g, v in zip(*(b.column(n).to_pylist() for n in ("__part", "__group", "__x")), strict=True):
+                if not begun:
+                    begun, (last, total, beyond) = True, carried[p]
+                if g != last:
+                    last, total, beyond = g, 0, 0.0
+                total, beyond = _added(total, beyond, v)
+                out.append(_rounded(total) if beyond == 0 else beyond)
+            own = b.num_columns - 3
+            yield pa.RecordBatch.from_arrays([*b.columns[:own], pa.array(out, pa.float64())], [*b.schema.names[:own], "running"])
+
+    return ranges.mapInArrow(running, StructType([*rows.schema.fields, StructField("running", DoubleType())]))
+
+
+def _added(total: int, beyond: float, v: float) -> tuple[int, float]:
+    """A sum in units of 2**-1074, the least double, and what infinite values make, after one value more."""
+    if v is None or isnan(v):
+        return total, beyond
+    if isinf(v):
+        return total, beyond + v
+    m, e = v.as_integer_ratio()
+    return total + m * ((1 << 1074) // e), beyond
+
+
+def _rounded(total: int) -> float:
+    try:
+        return total / (1 << 1074)
+    except OverflowError:
+        return float("inf") if total > 0 else float("-inf")
+
 def mode(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
     """keys, mode and n: the most frequent value of each group, the one that came first by `order` on ties."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"), F.min(order).alias("first"))

@@ -99,3 +99,23 @@ def wiggle(rows: DataFrame, at: str, series: str, value: str) -> DataFrame:
     s = step.withColumn("term", (below + delta / 2) * F.col(value)).groupBy(at).agg(F.sum("term").alias("s2"), F.sum(value).alias("s1"))
     slope = F.when(F.col("s1") != 0, F.col("s2") / F.col("s1")).otherwise(0.0)
     return s.select(at, (-F.sum(slope).over(running(Window.orderBy(at)))).alias("base"))
+
+
+def inside_out(rows: DataFrame, at: str, series: str, value: str) -> DataFrame:
+    """series and position: early peaks in the middle of the stack and later ones outside, each put on the side that is smaller so far.
+
+    Every choice depends on those before it, so the series (one row of sums each) are gone through in one row.
+    """
+    v = F.coalesce(valid(F.col(value)), F.lit(0.0))
+    sums = rows.groupBy(series).agg(F.sum(v).alias("total"), F.min_by(F.col(at), F.struct(-v, F.col(at))).alias("peak"))
+    listed = sums.agg(F.array_sort(F.collect_list(F.struct("peak", F.col(series).alias("name"), "total"))).alias("s"))
+    start = F.struct(F.lit(0.0).alias("upper"), F.lit(0.0).alias("lower"), F.array().cast("array<int>").alias("sides"))
+
+    def put(was: Column, one: Column) -> Column:
+        above = was["upper"] < was["lower"]
+        grown = lambda side, here: was[side] + F.when(here, one["total"]).otherwise(0.0)
+        return F.struct(grown("upper", above).alias("upper"), grown("lower", ~above).alias("lower"), F.concat(was["sides"], F.array(F.when(above, 1).otherwise(-1))).alias("sides"))
+
+    sides = listed.select("s", F.aggregate("s", start, put)["sides"].alias("sides"))
+    placed = sides.select(F.posexplode(F.arrays_zip("s.name", "sides")).alias("k", "p")).select(F.col("p")["name"].alias(series), ((F.col("k") + 1) * F.col("p")["sides"]).alias("place"))
+    return placed.select(series, F.row_number().over(Window.orderBy("place")).cast("long").alias("position"))

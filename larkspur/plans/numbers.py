@@ -75,6 +75,18 @@ def geo_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "k").select("k", F.round(geometry.sphere_distance(F.col("x"), F.col("y"), F.col("x2"), F.col("y2")), 6).alias("distance"))
 
 
+@query("""WITH c AS (SELECT c_nationkey, c_custkey, radians(c_custkey * 37 % 360 - 180) AS x, radians(c_custkey * 17 % 160 - 80) AS y FROM customer),
+e AS (SELECT c_nationkey, x, y, coalesce(lead(x) OVER w, first(x) OVER a) - x AS dx, coalesce(lead(y) OVER w, first(y) OVER a) AS y2 FROM c
+WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey), a AS (PARTITION BY c_nationkey ORDER BY c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+t AS (SELECT c_nationkey, sum(2 * atan2((1 + sin(y)) * (1 + sin(y2)) * sin(dx), cos(y) * cos(y2) + (1 + sin(y)) * (1 + sin(y2)) * cos(dx))) AS t FROM e GROUP BY 1)
+SELECT c_nationkey, round(CASE WHEN t < 0 THEN t + 4 * pi() ELSE t END, 6) AS area FROM t""")
+def geo_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers of a nation as the corners of one polygon."""
+    k = F.col("c_custkey")
+    corners = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", (k * 37 % 360 - 180).cast("double").alias("x"), (k * 17 % 160 - 80).cast("double").alias("y"))
+    return geometry.sphere_area(corners, "c_nationkey", "c_custkey").select("c_nationkey", F.round("area", 6).alias("area"))
+
+
 @query("SELECT CAST(floor(CAST(embedding[1] AS DOUBLE) / 0.05) AS BIGINT) AS i, CAST(floor(CAST(embedding[2] AS DOUBLE) / 0.05) AS BIGINT) AS j, count(*) AS n FROM embeddings GROUP BY ALL")
 def density_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.grid_counts(_polygons(spark, sf_dir), 0.05)
@@ -92,6 +104,6 @@ def random_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = {
         "uniform": draws.uniform(k, 1), "integer": draws.integer(k, 2, 0, 6), "normal": draws.normal(k, 3), "log_normal": draws.log_normal(k, 5), "irwin_hall": draws.irwin_hall(k, 7, 4), "bates": draws.bates(k, 11, 4),
         "exponential": draws.exponential(k, 15, 2.0), "pareto": draws.pareto(k, 16, 3.0), "bernoulli": draws.bernoulli(k, 17, 0.3), "geometric": draws.geometric(k, 18, 0.25), "binomial": draws.binomial(k, 19, 10, 0.3),
-        "weibull": draws.weibull(k, 20, 2.0), "cauchy": draws.cauchy(k, 21), "logistic": draws.logistic(k, 22),
+        "weibull": draws.weibull(k, 20, 2.0), "cauchy": draws.cauchy(k, 21), "logistic": draws.logistic(k, 22), "poisson": draws.poisson(k, 23, 4.0), "gamma": draws.gamma(k, 24, 2.5), "beta": draws.beta(k, 26, 2.0, 3.0),
     }
     return table(spark, sf_dir, "orders").select("o_orderkey", *(c.alias(n) for n, c in kinds.items()))

@@ -89,6 +89,12 @@ def time_week_sunday(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(timeops.week(F.col("ts")).alias("week")).agg(F.count("*").alias("n"))
 
 
+@query("""SELECT o_orderkey, ['一', '二', '三', '四', '五', '六', '七', '八', '九', '十', '十一', '十二'][month(o_orderdate)] || '月' AS month,
+strftime(o_orderdate, '%Y年%-m月%-d日') || '星期' || substr('日一二三四五六', dayofweek(o_orderdate) + 1, 1) AS day FROM orders""")
+def time_chinese(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", timeops.chinese_month(F.col("o_orderdate")).alias("month"), timeops.chinese_date(F.col("o_orderdate")).alias("day"))
+
+
 @query("SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE (day(ts) - 1) % 3 = 0 GROUP BY 1")
 def time_every(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.to_date("ts")
@@ -228,13 +234,26 @@ def partition_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.slices(v, "v").select("parent", "id", F.round("x0", 6).alias("x0"), F.round("x1", 6).alias("x1"))
 
 
+def _trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l, s, o, c = (table(spark, sf_dir, t) for t in ("lineitem", "supplier", "orders", "customer"))
+    f = l.join(s, l.l_suppkey == s.s_suppkey).join(o, l.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey)
+    return f.groupBy(F.col("s_nationkey").alias("source"), F.col("c_nationkey").alias("target")).agg(F.sum("l_extendedprice").alias("value"))
+
+
 @query("""WITH f AS (SELECT s_nationkey AS source, c_nationkey AS target, sum(l_extendedprice) AS value FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
 b AS (SELECT source AS node, value AS s, 0 AS r, CASE WHEN source = target THEN value ELSE 0 END AS o FROM f UNION ALL SELECT target, 0, value, 0 FROM f) SELECT node, round(sum(s), 2) AS sent, round(sum(r), 2) AS received, round(sum(o), 2) AS own FROM b GROUP BY 1""")
 def chord_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l, s, o, c = (table(spark, sf_dir, t) for t in ("lineitem", "supplier", "orders", "customer"))
-    f = l.join(s, l.l_suppkey == s.s_suppkey).join(o, l.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey)
-    f = f.groupBy(F.col("s_nationkey").alias("source"), F.col("c_nationkey").alias("target")).agg(F.sum("l_extendedprice").alias("value"))
-    return hierarchy.flows(f).select("node", *(F.round(x, 2).alias(x) for x in ("sent", "received", "own")))
+    return hierarchy.flows(_trade(spark, sf_dir)).select("node", *(F.round(x, 2).alias(x) for x in ("sent", "received", "own")))
+
+
+@query("""WITH f AS (SELECT s_nationkey AS source, c_nationkey AS target, sum(l_extendedprice) AS value FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+n AS (SELECT DISTINCT unnest([source, target]) AS node FROM f), g AS (SELECT node, coalesce((SELECT sum(value) FROM f WHERE source = node), 0) AS sent FROM n),
+k AS (SELECT node, sent, (2 * pi() - 0.02 * count(*) OVER ()) / sum(sent) OVER () AS k, sum(sent) OVER (ORDER BY node) - sent AS before, 0.02 * (row_number() OVER (ORDER BY node) - 1) AS gaps FROM g)
+SELECT source, target, round(value, 2) AS value, round(before * k + gaps, 6) AS group_start, round((before + sent) * k + gaps, 6) AS group_end,
+round((before + sum(value) OVER w - value) * k + gaps, 6) AS start_angle, round((before + sum(value) OVER w) * k + gaps, 6) AS end_angle FROM f JOIN k ON source = node WINDOW w AS (PARTITION BY source ORDER BY target)""")
+def chord_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    angles = hierarchy.arcs(_trade(spark, sf_dir), 0.02)
+    return angles.select("source", "target", F.round("value", 2).alias("value"), *(F.round(c, 6).alias(c) for c in ("group_start", "group_end", "start_angle", "end_angle")))
 
 
 def _polygons(spark: SparkSession, sf_dir: str) -> DataFrame:

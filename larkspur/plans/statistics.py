@@ -297,3 +297,23 @@ def bin_fd_scott(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("l_extendedprice")
     e = table(spark, sf_dir, "lineitem").agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n"), (stats.quantile(x, 0.75) - stats.quantile(x, 0.25)).alias("iqr"), F.stddev_samp(x).alias("dev"))
     return e.select(*stats.bin_counts("n", "lo", "hi", "iqr", "dev"))
+
+
+@query("""WITH RECURSIVE m AS (SELECT strftime(l_shipdate, '%Y-%m') AS month, l_partkey % 12 AS s, sum(l_quantity) AS v FROM lineitem GROUP BY ALL),
+g AS (SELECT s, CAST(sum(v) AS DOUBLE) AS t, arg_min(month, (-v, month)) AS peak FROM m GROUP BY 1), n AS (SELECT *, row_number() OVER (ORDER BY peak, s) AS i FROM g),
+w AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS s, CAST(0 AS DOUBLE) AS up, CAST(0 AS DOUBLE) AS low, 0 AS side UNION ALL
+SELECT n.i, n.s, CASE WHEN up < low THEN up + t ELSE up END, CASE WHEN up < low THEN low ELSE low + t END, CASE WHEN up < low THEN 1 ELSE -1 END FROM w JOIN n ON n.i = w.i + 1)
+SELECT s AS series, row_number() OVER (ORDER BY i * side) AS position FROM w WHERE i > 0""")
+def stack_inside_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    months = table(spark, sf_dir, "lineitem").groupBy(F.date_format("l_shipdate", "yyyy-MM").alias("month"), (F.col("l_partkey") % 12).alias("series")).agg(F.sum("l_quantity").alias("v"))
+    return windows.inside_out(months, "month", "series", "v")
+
+
+# Units of 1/1024, as whole numbers.
+@query("""WITH v AS (SELECT o_custkey % 3 AS g, o_orderkey, unnest([0, 1, 2]) AS place, unnest([1180591620717411303424::HUGEINT, CAST(round(o_totalprice * 100) AS HUGEINT), -1180591620717411303424::HUGEINT]) AS u FROM orders)
+SELECT g, o_orderkey, place, CAST(sum(u) OVER (PARTITION BY g ORDER BY o_orderkey, place) AS DOUBLE) / 1024 AS running FROM v""")
+def fcumsum_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order between a huge number and its negative."""
+    v = F.array(F.lit(2.0**60), F.round(F.col("o_totalprice") * 100) / 1024, F.lit(-(2.0**60)))
+    rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 3).alias("g"), "o_orderkey", F.posexplode(v).alias("place", "x"))
+    return stats.exact_running(rows, ["g"], ["o_orderkey", "place"], "x").drop("x")
