@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import ann, bpe, chat_format, license_scan, merkle, prefix_trie, quality, secret_scan, simhash, tokens, toxicity, winnowing
+from larkspur.llm import ann, bpe, chat_format, license_scan, merkle, paragraph_sketch, prefix_trie, quality, secret_scan, simhash, tokens, toxicity, winnowing
 from larkspur.session import table
 
 
@@ -59,12 +59,16 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.op11(table(spark, sf_dir, "conversations"))
 
 
+def op12_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_sketch.op12(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.op13(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_token_counts, op3_bpe, op4_secrets, op5_quality, op6_neighbours, op7_licenses, op8_benchmark_overlap, op9_toxicity, op10_simhash_groups, op11_prefix_trie, op13_merkle_manifest)
+    f.__name__: f for f in (op1_chat_format, op2_token_counts, op3_bpe, op4_secrets, op5_quality, op6_neighbours, op7_licenses, op8_benchmark_overlap, op9_toxicity, op10_simhash_groups, op11_prefix_trie, op12_paragraph_sketch, op13_merkle_manifest)
 }
 ORACLES: dict[str, str] = {
     "op1_chat_format": chat_format.ORACLE_SQL,
