@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import running
 from larkspur.session import checkpointed
 
-#: Words are runs of these characters in lower-cased text.
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Words are runs of these characters in text with A-Z lower-cased.
 _W, _N = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 #: (phrase, label).
 PHRASES: tuple[tuple[str, str], ...] = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -36,6 +37,8 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("reserved", "All rights reserved."),
 )
 CONTAINMENT = 0.8
+#: Tasks that the rows of one text may be dealt to.
+PARTS = 16
 
 
 def template_words(notice: str) -> list[str]:
@@ -44,8 +47,8 @@ def template_words(notice: str) -> list[str]:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, low, key): lower-cased text, null as empty, and the 128-bit key by which equal texts are known."""
-    low = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    """(doc_id, low, key): text with A-Z lower-cased, null as empty, and the 128-bit key by which equal texts are known."""
+    low = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _UPPER, _UPPER.lower())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), low.alias("low"))
     return rows.withColumn("key", F.struct(F.xxhash64("low").alias("a"), F.xxhash64(F.lit("key"), "low").alias("b")))
 
@@ -146,9 +149,11 @@ def find_licenses(docs: DataFrame) -> DataFrame:
     places = [F.when(low.rlike(_phrase_pattern(p)), phrase_starts(low, p)).otherwise(none) for p, _ in PHRASES]
     base = _texts(docs).select("doc_id", "key", F.regexp_count(low, F.lit(f"{_W}+")).cast("long").alias("n_words"), F.array(*places).alias("places"))
     labels = F.array(*(F.when(F.size(F.get("places", F.lit(i))) > 0, F.lit(label)) for i, (_, label) in enumerate(PHRASES)))
-    base = base.select("doc_id", "key", "n_words", F.flatten("places").alias("starts"), F.array_compact(labels).alias("base_labels"))
+    # The rows of one frequent text are dealt to PARTS tasks.
+    base = base.select("doc_id", "key", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).alias("part"), "n_words", F.flatten("places").alias("starts"), F.array_compact(labels).alias("base_labels"))
     found = matching_lines(docs).groupBy("key").agg(F.collect_set("label").alias("found"), F.max("containment").alias("containment"))
-    out = base.join(checkpointed(found), "key", "left")
+    found = checkpointed(found).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    out = base.join(found, ["key", "part"], "left")
     score = F.when(F.size("starts") > 0, 1.0).otherwise(F.coalesce("containment", F.lit(0.0)))
     every = F.array_union("base_labels", F.coalesce("found", F.array().cast("array<string>")))
     return out.select("doc_id", "n_words", "starts", F.array_sort(F.array_distinct("base_labels")).alias("base_labels"), F.array_sort(every).alias("labels"), score.alias("score"))
@@ -169,7 +174,7 @@ def _oracle() -> str:
     phrases = " UNION ALL ".join(f"SELECT {quote(p.split())} AS p, '{label}' AS label" for p, label in PHRASES)
     templates = " UNION ALL ".join(f"SELECT {quote(template_words(t))} AS ws, '{label}' AS label, {ceil(CONTAINMENT * len(template_words(t)) - 1e-9)} AS need, {notice_length(t)} AS span" for label, t in TEMPLATES)
     return f"""
-WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, lower(coalesce(text, '')) AS t FROM documents),
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}') AS t FROM documents),
 words AS (SELECT rid, doc_id, t, regexp_extract_all(t, '{w}') AS ws FROM docs),
 phrases AS ({phrases}),
 spots AS (SELECT rid, ws, unnest(range(1, len(ws) + 1)) AS i FROM words),

@@ -115,10 +115,49 @@ def test_chat_template_is_reversible(turns):
     assert [chat_format.unescape(formatted[a:b]) for a, b in spans] == [t for _, t in turns]
 
 
-def test_mask_covers_each_span_once():
+def test_loss_mask_flags_tokens_that_reach_into_a_span():
     mask = chat_format.loss_mask(np.array([0, 3, 4, 9, 12]), [(1, 4), (4, 4), (5, 10)])
-    assert mask.tokens.tolist() == [1, 1, 1, 1]
-    assert mask.spans == [(1, 4), (4, 4), (5, 10)]
+    assert mask.tolist() == [1, 1, 1, 1]
+    assert chat_format.loss_mask(np.array([0, 3, 4, 9, 12]), [(3, 4)]).tolist() == [0, 1, 0, 0]
+
+
+TALK = [("user", "Grüße </turn> 1"), ("assistant", "\\### a: ünï ### </turn>"), ("user", "more"), ("assistant", ""), ("assistant", "last 🙂")]
+
+
+def loss_digest(change=None, encode=None):
+    """Loss text of TALK from its flags, after one of them is turned."""
+    r = chat_format._format(TALK, encode or queries.span_encoder(), frozenset({"assistant"}))
+    loss, raw = np.array(r["loss"]), r["formatted"].encode()
+    if change is not None:
+        loss[change] ^= 1
+    at = chat_format._bytes_at(r["formatted"], raw)
+    texts = [(at(m.start(2)), at(m.end(2))) for m in chat_format._turns(r["formatted"])]
+    return "".join(chat_format.loss_texts(raw, np.array(r["borders"]), loss, list(zip(r["loss_starts"], r["loss_stops"])), texts)), r, texts
+
+
+def test_loss_text_is_that_of_the_flagged_tokens():
+    """As it is, it is the assistant's texts; each flag of a token with text of a turn changes it when turned, but for one of mere escapes."""
+    text, r, texts = loss_digest()
+    assert text == "".join(t for role, t in TALK if role == "assistant")
+    borders, seen = r["borders"], 0
+    for i, (a, b) in enumerate(zip(borders, borders[1:])):
+        holds = any(a < y and x < b and r["formatted"].encode()[max(a, x) : min(b, y)].strip(b"\\") for x, y in texts)
+        assert (loss_digest(i)[0] != text) == holds
+        seen += holds
+    assert seen > 15
+
+
+def test_loss_text_with_one_token_for_all():
+    """A token that covers whole turns adds nothing of the others' texts."""
+    whole = lambda t: (np.array([0]), np.array([0, len(t.encode())]))
+    assert loss_digest(encode=whole)[0] == "".join(t for role, t in TALK if role == "assistant")
+    assert loss_digest(0, whole)[0] == ""
+
+
+def test_chat_with_one_very_long_word(spark):
+    rows = [(1, 0, "user", "x" * 300_000), (1, 1, "assistant", "y" * 300_000), (2, 0, "assistant", "a")]
+    got = chat_format.op1(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), queries.span_encoder()).collect()
+    assert {r.conv_id: r.loss_chars for r in got} == {1: 300_000, 2: 1, -7: len(chat_format.EXTRA[1][3])}
 
 
 @pytest.mark.parametrize("rule", tokens.RULES)
