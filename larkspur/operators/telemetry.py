@@ -8,15 +8,23 @@ from pyspark.sql.window import Window
 
 from larkspur.functions.formatting import percent
 
+# Names of block devices. After a family's name comes a number, then each part in turn: one of its letters and a number; a part not needed may be missing.
+DEVICES = {"disk": (("s", False), ("sp", False)), "nvme": (("n", True), ("p", False)), "mmcblk": (("p", True),)}
 
-# Fixed value: forms of device names of whole disks and partitions at the beginning of a device path.
-DEVICE_FORMS = ("disk[0-9]+(?:s[0-9]+)?(?:[sp][0-9]+)?", "nvme[0-9]+n[0-9]+(?:p[0-9]+)?", "mmcblk[0-9]+p[0-9]+")
+
+def _named(family: str, parts: tuple[tuple[str, bool], ...]) -> str:
+    digits = "[0-9]+"
+    return family + digits + "".join(f"(?:[{letters}]{digits})" + ("" if needed else "?") for letters, needed in parts)
 
 
 def physical_id(device: Column) -> Column:
-    """Name of the device below /dev, partition suffix kept, whatever follows; the device itself where it has another form."""
-    name = F.regexp_extract(device, f"^/dev/({'|'.join(DEVICE_FORMS)})", 1)
-    return F.when(name != "", name).otherwise(device)
+    """Name of the device below /dev, partition suffix kept, whatever follows; the device itself where it is of no known family."""
+    below = F.when(device.startswith("/dev/"), F.substring(device, F.lit(6), F.length(device)))
+    out = device
+    for family, parts in DEVICES.items():
+        name = F.regexp_extract(below, "^" + _named(family, parts), 0)
+        out = F.when(below.startswith(family) & (name != ""), name).otherwise(out)
+    return out
 
 
 def busiest_partition(disks: DataFrame, order: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from larkspur.functions import formatting, scales, timeops
+from larkspur.functions import formatting, numbers, scales, timeops
 from larkspur.operators import geometry, hierarchy, stats
 from larkspur.plans.registry import query
 from larkspur.plans.statistics import step_sql
@@ -140,11 +140,18 @@ def number_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", formatting.grouped_number(x).alias("grouped"), formatting.si_number(x).alias("thousands"))
 
 
-@query("""WITH v AS (SELECT o_orderkey, o_totalprice, o_totalprice / 1000 AS k FROM orders) SELECT o_orderkey, format('{:,.2f}', o_totalprice) AS grouped,
-CASE WHEN round_even(k, 2) < 10 THEN printf('%.2f', round_even(k, 2)) WHEN round_even(k, 1) < 100 THEN printf('%.1f', round_even(k, 1)) ELSE printf('%.0f', round_even(k, 0)) END || 'k' AS thousands FROM v""")
+@query("""WITH v AS (SELECT o_orderkey, o_custkey, o_totalprice AS x, o_totalprice / 1000 AS k, o_totalprice * (1 + 1e-13) AS y, CAST(floor(log10(o_totalprice)) AS INT) AS e FROM orders)
+SELECT o_orderkey, regexp_replace(printf('%.2f', x), '[.]?0+$', '') AS plain, regexp_replace(format('{:,.2f}', x), '[.]00$|0$', '') AS thousands,
+CAST(CAST(round(y / power(10, e - 2)) AS BIGINT) * CAST(power(10, e - 2) AS BIGINT) AS VARCHAR) AS rounded, CASE WHEN round(y) < 10000 THEN printf('%.' || (3 - e) || 'f', y) ELSE regexp_replace(printf('%.3e', y), 'e[+]0*', 'e+') END AS general,
+right(format('{:,}', 1000000000000000000 + o_custkey), 15) AS zeros, format('{:,.1f}', CASE WHEN x * 4 = floor(x * 4) AND x * 2 <> floor(x * 2) THEN x + 0.001 ELSE x END) AS tick,
+printf('%.2f', CASE WHEN k * 8 = floor(k * 8) AND k * 4 <> floor(k * 4) THEN k + 0.0001 ELSE k END) || 'k' AS in_thousands FROM v""")
 def number_format_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same under its other name."""
-    return number_format(spark, sf_dir)
+    """Every order's price without a type, rounded to digits, in general form, and as ticks; its customer after zeros."""
+    x, f = F.col("o_totalprice"), numbers.format_number
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", f(x, "").alias("plain"), f(x, ",").alias("thousands"), f(x, ".3r").alias("rounded"), f(x, ".4g").alias("general"), f(F.col("o_custkey"), "015,d").alias("zeros"),
+        numbers.tick_format(x, 0.5, 1000).alias("tick"), numbers.format_prefix(x, ".2", 5000.0).alias("in_thousands"),
+    )
 
 
 _NODES = """nodes AS (SELECT 'all' AS id, NULL AS parent, 0.0::DOUBLE AS v UNION ALL SELECT 'r' || r_regionkey, 'all', 0.0 FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 0.0 FROM nation
@@ -192,11 +199,13 @@ def hier_path_lca(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.lowest_common_ancestor(hierarchy.closure(tree_nodes(spark, sf_dir)), pairs)
 
 
-@query(f"""WITH RECURSIVE {_NODES}, {_UP}, p AS (SELECT 'c' || c_custkey AS a, 'c' || (c_custkey + 1) AS b FROM customer),
+@query(f"""WITH RECURSIVE {_NODES}, {_UP}, p AS (SELECT 'c' || c_custkey AS a, 'n' || n_nationkey AS b FROM customer, nation),
 m AS (SELECT p.a, p.b, x.ancestor, x.distance AS da, x.distance + y.distance AS d FROM p JOIN up x ON x.id = p.a JOIN up y ON y.id = p.b AND y.ancestor = x.ancestor) SELECT a, b, arg_min(ancestor, da) AS lca, min(d) AS distance FROM m GROUP BY a, b""")
 def hier_path_lca_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each customer with the next one, under its other name."""
-    return hier_path_lca(spark, sf_dir)
+    """Every customer with each of the 25 nations."""
+    name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    pairs = table(spark, sf_dir, "customer").select(name("c", "c_custkey").alias("a")).crossJoin(F.broadcast(table(spark, sf_dir, "nation").select(name("n", "n_nationkey").alias("b"))))
+    return hierarchy.lowest_common_ancestor(hierarchy.closure(tree_nodes(spark, sf_dir)), pairs)
 
 
 _FAULTS = """b AS (SELECT id, CASE WHEN id LIKE 'c%7' THEN 'gone' || id WHEN id LIKE 'c%31' THEN NULL ELSE parent END AS parent FROM nodes UNION ALL SELECT id, parent FROM nodes WHERE id LIKE 'c%9')"""

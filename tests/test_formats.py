@@ -98,18 +98,57 @@ def test_texts(spark):
     assert one(spark, ["a%20b+c", "%zz"], "string", formatting.url_decode) == ["a b+c", None]
 
 
-@pytest.mark.parametrize(("spec", "x", "want"), [
+NUMBERS = [
     (".2f", 3.14159, "3.14"), (".0f", 2.5, "3"), (".1f", 9107.05, "9107.0"), (".2f", 1.005, "1.00"), (".2f", 1.255, "1.25"), (".1f", 0.25, "0.3"), (".2f", 1e20, "100000000000000000000.00"), (".1f", 0.95, "0.9"), ("+.1f", -0.04, "−0.0"), (".1f", -0.04, "0.0"), ("08.1f", -3.25, "−00003.3"), (",.0f", 1234567.0, "1,234,567"), (",.4f", 1234.5678, "1,234.5678"), (".1%", 0.123, "12.3%"), (".3~f", 1.5, "1.5"), (".2~f", 2.0, "2"),
     ("#x", 255.0, "0xff"), ("b", 5.0, "101"), ("o", 8.0, "10"), (".3e", 12345.0, "1.235e+4"), ("*^9d", 42.0, "***42****"), ("<6d", 7.0, "7     "), ("(.1f", -2.0, "(2.0)"), ("$,.2f", 1000.0, "$1,000.00"), (".3s", 1500.0, "1.50k"), (" d", 5.0, " 5"),
-])
-def test_number_formats(spark, spec, x, want):
-    assert one(spark, [x], "double", lambda c: numbers.format_number(c, spec)) == [want]
+    # No type, and those of significant digits.
+    ("", 1234.5, "1234.5"), (",", 1234.5, "1,234.5"), ("", 0.1 + 0.2, "0.3"), ("", 1e21, "1e+21"), ("", 1e-7, "1e-7"), ("", 0.000001, "0.000001"), ("", 0.0, "0"), ("d", 2.5, "3"), ("d", -2.5, "−3"), ("c", 65.0, "65"), ("c", -1.5, "-1.5"), ("010,d", 1234.0, "00,001,234"), ("08,d", 1234.0, "0,001,234"), ("$010,d", 1234.0, "$00,001,234"), ("09,.1f", 1234.56, "001,234.6"), ("03,d", 123456.0, "123,456"),
+    ("g", 1234567.0, "1.23457e+6"), ("g", 12.0, "12.0000"), (".3g", 0.00001234, "0.0000123"), (".3g", 0.0000001234, "1.23e-7"), (".4~g", 12.5, "12.5"), ("n", 1234.5, "1,234.50"), (".3r", 1234567.0, "1230000"), (".3r", 0.0012345, "0.00123"), (".2r", 0.0, "0.0"), (".3p", 0.12345, "12.3%"), ("p", 0.5, "50.0000%"), ("+,.4r", 123456.0, "+123,500"),
+    (".3r", 1.005, "1.00"), (".2e", 1.005, "1.00e+0"), (".2r", 2.5e10, "25000000000"), (".1r", 25.0, "30"), (".1r", 35.0, "40"), (".1r", 0.25, "0.3"), (".2r", 9.96, "10"), (".3e", 999999.0, "1.000e+6"), (".0e", 12345.0, "1e+4"), (".4r", 1e-300, "0." + "0" * 299 + "1000"),
+    (".3s", 9996.0, "10.0k"), (".2s", 999999.0, "1.0M"), ("s", 1e-26, "0.01000y"), (".3s", 0.00015, "150µ"), (".2s", 3.0e27, "3000Y"), (".3s", 0.0, "0.00"), ("~s", 1500.0, "1.5k"), (".3~s", -1500.0, "−1.5k"), ("#X", 255.0, "0xFF"), ("#o", 8.0, "0o10"), ("$x", 255.0, "$ff"), ("x", -255.0, "−ff"), ("X", -10.0, "−A"),
+    ("_=10,.1f", -1234.5, "−__1,234.5"), ("*<8", 1.5, "1.5*****"), ("^7d", 12.0, "  12   "), ("=8d", -5.0, "−      5"), ("(", -2.5, "(2.5)"), ("+", 0.0, "+0"), ("f", float("nan"), "NaN"), ("f", float("inf"), "Infinity"), (".1f", float("-inf"), "−Infinity"), ("f", None, None), ("+.1f", -0.01, "−0.0"), ("8.1%", 0.5, "   50.0%"),
+]
+
+
+def test_number_formats(spark):
+    """All cases, a dozen columns to a job."""
+    for at in range(0, len(NUMBERS), 12):
+        part = NUMBERS[at : at + 12]
+        rows = spark.createDataFrame([[x for _, x, _ in part]], ", ".join(f"x{i} double" for i in range(len(part))))
+        got = rows.select(*(numbers.format_number(F.col(f"x{i}"), spec).alias(f"c{i}") for i, (spec, _, _) in enumerate(part))).first()
+        assert list(got) == [want for _, _, want in part]
 
 
 def test_precisions():
     assert [numbers.precision_fixed(s) for s in (1.0, 0.5, 0.01, 10.0)] == [0, 1, 2, 0]
     assert numbers.precision_round(0.01, 1.01) == 3
-    assert numbers.precision_prefix(1e5, 1.3e6) == 1
+    assert [numbers.precision_round(s, m) for s, m in ((1, 10), (1, 11), (10, 5), (0.1, 1.1), (5, 5))] == [1, 2, 1, 2, 1]
+    assert [numbers.precision_prefix(s, v) for s, v in ((1e5, 1.3e6), (1e-6, 1e-6), (1e-26, 1e-24), (1e23, 1e27), (1.0, 0.0))] == [1, 0, 2, 1, 0]
+    assert [numbers.parse_spec(s).type for s in ("", ".2", "~", "z", "%")] == ["", "", "", "z", "%"]
+    for bad in (".", ".f", "5..2f", "f,", "12é", "( d"):
+        with pytest.raises(ValueError, match="number format"):
+            numbers.parse_spec(bad)
+
+
+@pytest.mark.parametrize(("spec", "step", "extent", "x", "want"), [
+    (",f", 0.5, 10, 1234.5, "1,234.5"), (",f", 100, 1000, 500.0, "500"), ("%", 0.05, 1, 0.15, "15%"), (".1%", 0.05, 1, 0.15, "15.0%"), ("s", 1e5, 1.5e6, 5e5, "0.5M"), ("s", 1e-6, 5e-6, 2e-6, "2µ"), ("e", 1000, 10000, 5000.0, "5e+3"), ("", 0.01, 1.0, 0.25, "0.25"), ("r", 100, 1200, 300.0, "300"), ("d", 5, 50, 15.0, "15"), (".2s", 1e3, 1e4, 5000.0, "5.00k"), ("$,f", 20, 100, 40.0, "$40"),
+])
+def test_tick_formats(spark, spec, step, extent, x, want):
+    assert one(spark, [x], "double", lambda c: numbers.tick_format(c, step, extent, spec)) == [want]
+
+
+def test_significant_digits_by_decimal_arithmetic(spark):
+    """Random doubles and near ties against exact decimals."""
+    import random
+    from decimal import ROUND_HALF_UP, Context, Decimal
+
+    rng = random.Random(1)
+    xs = [rng.random() * 10 ** rng.randint(-6, 15) for _ in range(600)] + [rng.randrange(10**6) / 200 for _ in range(600)] + [rng.randrange(1, 10**5) * 5.0 for _ in range(200)]
+    for n in (1, 3, 7, 15):
+        exact = [Context(prec=n, rounding=ROUND_HALF_UP).create_decimal(Decimal(x)) for x in xs]
+        want = [(("".join(map(str, d.as_tuple().digits))).ljust(n, "0"), d.adjusted()) for d in exact]
+        got = one(spark, xs, "double", lambda c: numbers.significant(c, n))
+        assert [(g.digits, g.power) if x else None for g, x in zip(got, xs)] == [w if x else None for w, x in zip(want, xs)]
 
 
 def test_draws_follow_their_laws(spark):
