@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.operators import text
+from larkspur.operators import line_diff, text
 from larkspur.plans.registry import query
-from larkspur.session import table
+from larkspur.session import checkpointed, table
 from larkspur.streaming import telemetry
 
 _SUMS = "count(*) AS n, round(sum(value), 4) AS total, min(value) AS least, max(value) AS greatest"
@@ -66,3 +66,26 @@ def page_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, name, json_extract_string(props, '$.' || name) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS name FROM events)")
 def json_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.members(table(spark, sf_dir, "events"), "event_id", "props")
+
+
+_EDIT = """a AS (SELECT doc_id, string_split_regex(coalesce(text, ''), '\r\n|\n|\r') AS l FROM documents),
+b AS (SELECT doc_id, l, list_concat(l[len(l) // 3 + 1:], ['new line', ''], list_filter(l[:len(l) // 3], lambda x, i: i % 4 <> 0)) AS m FROM a)"""
+
+
+@query(
+    f"""WITH {_EDIT}, c AS (SELECT doc_id, line, sum(s) AS x, sum(1 - s) AS y FROM (SELECT doc_id, unnest(l) AS line, 1 AS s FROM b UNION ALL SELECT doc_id, unnest(m), 0 FROM b) GROUP BY 1, 2)
+SELECT b.doc_id, CAST(sum(least(x, y)) AS BIGINT) AS n_same, CAST(any_value(len(l)) - sum(least(x, y)) AS BIGINT) AS n_removed, CAST(any_value(len(m)) - sum(least(x, y)) AS BIGINT) AS n_added,
+sha256(any_value(array_to_string(m, chr(10)))) AS replayed FROM b JOIN c USING (doc_id) GROUP BY b.doc_id"""
+)
+def line_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document against an edit of it, whose first third comes last and lost every fourth line: lines kept or moved, removed and added, and the replayed text."""
+    old = table(spark, sf_dir, "documents").select("doc_id", "text")
+    own = text.lines(F.col("text"))
+    third = F.floor(F.size(own) / 3).cast("int")
+    first = F.filter(F.slice(own, F.lit(1), third), lambda x, i: (i + 1) % 4 != 0)
+    new = old.select("doc_id", F.array_join(F.concat(F.slice(own, third + 1, F.size(own)), F.array(F.lit("new line"), F.lit("")), first), "\n").alias("text"))
+    script = checkpointed(line_diff.line_script(old, new, "doc_id", "text"))
+    count = lambda *ops: F.count_if(F.col("op").isin(*ops))
+    sums = script.groupBy("doc_id").agg(count("kept", "moved").alias("n_same"), count("removed").alias("n_removed"), count("added").alias("n_added"))
+    done = line_diff.replayed(old, script, "doc_id", "text").select("doc_id", F.sha2("text", 256).alias("replayed"))
+    return sums.join(done, "doc_id")
