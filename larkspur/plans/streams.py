@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import timeops
 from larkspur.plans.documents import _SUMS
 from larkspur.plans.registry import query
-from larkspur.session import table
-from larkspur.streaming import telemetry
+from larkspur.session import ensure_checkpoint_dir, table
+from larkspur.streaming import late, telemetry
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,3 +83,23 @@ def time_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def time_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A month of events in about ten ticks: every second day."""
     return timeops.time_ticks(table(spark, sf_dir, "events"), "ts").select(F.col("tick").cast("timestamp_ntz").alias("tick"))
+
+
+@query("""WITH e AS (SELECT event_type AS key, ts, value, time_bucket(INTERVAL 6 HOUR, ts) AS a, date_diff('day', TIMESTAMP '2024-01-01', ts) // 8 + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END AS f FROM events),
+m AS (SELECT key, f, max(max(ts)) OVER (PARTITION BY key ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, max(max(ts)) OVER (PARTITION BY key) AS latest FROM e GROUP BY key, f),
+r AS (SELECT *, coalesce(a + INTERVAL 6 HOUR <= before - INTERVAL 12 HOUR, false) AS late, a + INTERVAL 6 HOUR <= latest - INTERVAL 12 HOUR AS closed FROM e JOIN m USING (key, f))
+SELECT key, late, a AS window_start, count(*) AS n, round(sum(value), 4) AS total, min(value) AS least, max(value) AS greatest FROM r WHERE late OR closed GROUP BY 1, 2, 3""")
+def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in files of eight days, one in ten a file too late: closed windows, and the late rows by their window."""
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    events = events.withColumn("f", F.floor(F.datediff("ts", F.lit("2024-01-01")) / 8) + (F.col("event_id") % 10 == 0).cast("int"))
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/late-in-{uuid.uuid4().hex}"
+    for f in sorted(r.f for r in events.select("f").distinct().collect()):
+        events.where(F.col("f") == f).coalesce(1).write.mode("append").parquet(folder)
+    arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    hour = 3600 * 10**6
+    done, missed = late.run_apart(late.closed_windows(arriving, "event_type", "ts", "value", 6 * hour, 12 * hour, "25 days"))
+    missed = missed.groupBy("key", "window_start").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("least").alias("least"), F.max("greatest").alias("greatest"))
+    both = done.withColumn("late", F.lit(False)).unionByName(missed.withColumn("late", F.lit(True)))
+    return both.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")).withColumn("total", F.round("total", 4))

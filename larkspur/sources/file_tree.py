@@ -36,26 +36,31 @@ class FileTreeReader(DataSourceReader):
         """The folders of the first levels one by one, and those of level `depth` (2) with all below them."""
         found, level = [TreePartition("", False)], [""]
         for d in range(self.depth):
-            below = [f"{f}/{e.name}" if f else e.name for f in level for e in _entries(os.path.join(self.top, f)) if e.is_dir(follow_symlinks=False)]
+            below = [f"{f}/{e.name}" if f else e.name for f in level for e in entries(os.path.join(self.top, f)) if e.is_dir(follow_symlinks=False)]
             level = sorted(f for f in below if not hidden(f))
             found += [TreePartition(f, d == self.depth - 1) for f in level]
         return found
 
     def read(self, partition: TreePartition) -> Iterator[tuple]:
-        waiting = [partition.folder]
-        while waiting:
-            folder = waiting.pop()
-            for e in _entries(os.path.join(self.top, folder)):
-                try:
-                    at, is_dir = e.stat(follow_symlinks=False), e.is_dir(follow_symlinks=False)
-                except OSError:
-                    continue
-                yield e.name, folder, is_dir, None if is_dir else at.st_size, getattr(at, "st_birthtime", at.st_ctime), at.st_mtime
-                if is_dir and partition.deep and not hidden(f"{folder}/{e.name}"):
-                    waiting.append(f"{folder}/{e.name}")
-
-
-def _entries(folder: str) -> list[os.DirEntry]:
+        return listed(self.top, partition)
+
+
+def listed(top: str, partition: TreePartition) -> Iterator[tuple]:
+    """name, dir, is_dir, size, ctime and mtime of the entries of a partition."""
+    waiting = [partition.folder]
+    while waiting:
+        folder = waiting.pop()
+        for e in entries(os.path.join(top, folder)):
+            try:
+                at, is_dir = e.stat(follow_symlinks=False), e.is_dir(follow_symlinks=False)
+            except OSError:
+                continue
+            yield e.name, folder, is_dir, None if is_dir else at.st_size, getattr(at, "st_birthtime", at.st_ctime), at.st_mtime
+            if is_dir and partition.deep and not hidden(f"{folder}/{e.name}"):
+                waiting.append(f"{folder}/{e.name}")
+
+
+def entries(folder: str) -> list[os.DirEntry]:
     """Entries of a folder; none of one that can't be read."""
     try:
         with os.scandir(folder) as found:
