@@ -126,15 +126,15 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str, *state: str) -> Data
     return a.join(b, "key", "full_outer").select(F.col("key").alias(key), status.alias("status"))
 
 
-def nested_trees(nodes: DataFrame, deepest: int = 64) -> DataFrame:
+def nested_trees(nodes: DataFrame) -> DataFrame:
     """name, tree: each directory of the first level with all below it as one nested JSON document, children in order of name.
 
-    Built from the deepest level upwards, one grouped join a level, so that a document is gathered only under its own root.
+    Built from the deepest level upwards, one grouped join a level, however many, so that a document is gathered only under its own root.
     """
     # JSON of a node up to its children.
     numbers = F.to_json(F.struct("name", "file_num", "size", "size_str", "value"))
     rows = checkpointed(nodes.select("dir", "parent", "name", "depth", numbers.alias("own")))
-    depth = min(rows.agg(F.max("depth")).first()[0] or 0, deepest)
+    depth = rows.agg(F.max("depth")).first()[0] or 0
     below = None
     for d in range(depth, 0, -1):
         level = rows.where(F.col("depth") == d)

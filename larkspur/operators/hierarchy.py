@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from itertools import count
 from math import pi
 
 from pyspark.sql import DataFrame
@@ -45,21 +46,23 @@ def endless(nodes: DataFrame) -> DataFrame:
     return at.select("id")
 
 
-def closure(nodes: DataFrame, deepest: int = 64) -> DataFrame:
-    """id, ancestor, distance for each node and all above it, itself at 0: one join a level, until no row goes higher.
+#: Levels after which a hierarchy is looked through for cycles; a tree may have any number of levels.
+LOOKED_AT = 64
 
-    Raises for a tree deeper than `deepest`, and so for a cycle.
-    """
+
+def closure(nodes: DataFrame) -> DataFrame:
+    """id, ancestor, distance for each node and all above it, itself at 0: one join a level, until no row goes higher. Raises for a cycle."""
     up = nodes.select(F.col("id").alias("above"), F.col("parent").alias("next"))
     level = nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).cast("long").alias("distance"))
     out = level
-    for k in range(1, deepest + 1):
+    for k in count(1):
+        if k == LOOKED_AT and not endless(nodes).isEmpty():
+            raise ValueError("the hierarchy has a cycle")
         level = level.join(up, level.ancestor == up.above).where("next is not null").select("id", F.col("next").alias("ancestor"), F.lit(k).cast("long").alias("distance"))
         level = checkpointed(level)
         if level.isEmpty():
             return out
         out = out.unionByName(level)
-    raise ValueError(f"cycle, or deeper than {deepest}")
 
 
 def leaves(nodes: DataFrame) -> DataFrame:

@@ -5,6 +5,10 @@ Trees are rows (key, position, depth, topic, ...) in preorder within each key: a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -116,7 +120,7 @@ def json_kind(value: Column) -> Column:
     return F.when(value.isNull(), "null").otherwise(out)
 
 
-def flatten_json(docs: DataFrame, key: str, text: str, deepest: int = 64) -> DataFrame:
+def flatten_json(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, path, depth, kind, value for every value within each JSON document, itself at "$".
 
     Members are addressed as .name, or ["name"] where the name is no plain word, and entries as [i]. value: text of what
@@ -125,26 +129,106 @@ def flatten_json(docs: DataFrame, key: str, text: str, deepest: int = 64) -> Dat
     spark = docs.sparkSession
     level = docs.select(F.col(key).alias("__id"), F.lit("$").alias("path"), F.try_parse_json(text).alias("v")).where("v is not null")
     out = []
-    for depth in range(deepest):
+    for depth in count():
         level = checkpointed(level.withColumn("kind", json_kind(F.col("v"))))
         scalar = ~F.col("kind").isin("object", "array", "null")
         out.append(level.select(F.col("__id").alias(key), "path", F.lit(depth).cast("long").alias("depth"), "kind", F.when(scalar, F.try_variant_get("v", "$", "string")).alias("value")))
         inner = level.where(F.col("kind").isin("object", "array"))
         if inner.isEmpty():
-            break
+            return reduce(DataFrame.unionByName, out)
         parts = inner.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("__id", "path", "pos", F.col("key").alias("name"), "value")
         plain = F.col("name").rlike("^[A-Za-z_$][A-Za-z0-9_$]*$")
         step = F.when(F.col("name").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).when(plain, F.concat(F.lit("."), "name"))
         step = step.otherwise(F.concat(F.lit('["'), F.replace(F.replace("name", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"]')))
         level = parts.select("__id", F.concat("path", step).alias("path"), F.col("value").alias("v"))
-    else:
-        raise ValueError(f"deeper than {deepest}")
-    found = out[0]
-    for part in out[1:]:
-        found = found.unionByName(part)
-    return found
 
 
 def json_root(text: Column) -> Column:
     """Whether a text is a JSON object or array."""
     return F.coalesce(json_kind(F.try_parse_json(text)).isin("object", "array") & F.try_parse_json(text).isNotNull(), F.lit(False))
+
+
+_QUOTED = r'\["(?:[^"\\]|\\.)*"\]'
+
+
+def _quote(text: Column) -> Column:
+    """A text as a JSON string."""
+    return F.regexp_replace(F.to_json(F.array(text)), r"(?s)^\[(.*)\]$", "$1")
+
+
+def _gather(children: DataFrame, by: list[str], name: Column, order: Column) -> DataFrame:
+    """`by`, n, object, array: the JSON of an object and of an array of the rows of each parent; the text of one document's part is gathered, as the document is one text."""
+    parts = F.array_sort(F.collect_list(F.struct(order.alias("at"), name.alias("name"), F.col("json"))))
+    both = children.groupBy(*by).agg(parts.alias("p"))
+    member = lambda c: F.concat(_quote(c["name"]), F.lit(":"), c["json"])
+    return both.select(*by, F.concat(F.lit("{"), F.array_join(F.transform("p", member), ","), F.lit("}")).alias("object"), F.concat(F.lit("["), F.array_join("p.json", ","), F.lit("]")).alias("array"))
+
+
+def unflatten_json(rows: DataFrame, key: str) -> DataFrame:
+    """key, text: the JSON documents whose values are rows as those of flatten_json (key, path, depth, kind, value); one step a level, deepest first.
+
+    Members stand in order of their names. A document without a row of path "$" has no text.
+    """
+    quoted = F.regexp_extract("path", f"({_QUOTED})$", 1)
+    step = F.when(quoted != "", quoted).otherwise(F.regexp_extract("path", r"(\.[A-Za-z_$][A-Za-z0-9_$]*|\[[0-9]+\])$", 1))
+    inside = F.regexp_replace(F.regexp_replace(step, r'^\["|"\]$', ""), r"\\(.)", "$1")
+    name = F.when(step.startswith("."), F.substring(step, F.lit(2), F.length(step))).when(step.startswith('["'), inside)
+    index = F.when(step.rlike(r"^\[[0-9]+\]$"), F.regexp_extract(step, "([0-9]+)", 1).cast("long"))
+    plain = F.when(F.col("kind") == "null", "null").when(F.col("kind") == "string", _quote(F.col("value"))).otherwise(F.col("value"))
+    parent = F.when(F.col("depth") > 0, F.substring(F.col("path"), F.lit(1), F.length("path") - F.length(step)))
+    rows = checkpointed(rows.select(F.col(key).alias("__id"), "path", "depth", "kind", parent.alias("parent"), name.alias("name"), index.alias("index"), plain.alias("plain")))
+    below = None
+    for depth in range(rows.agg(F.max("depth")).first()[0] or 0, -1, -1):
+        level = rows.where(F.col("depth") == depth)
+        empty = F.when(F.col("kind") == "object", "{}").when(F.col("kind") == "array", "[]")
+        if below is None:
+            level = level.withColumn("json", F.coalesce(empty, "plain"))
+        else:
+            there = below.select(F.col("__id").alias("__its"), F.col("parent").alias("__up"), "object", "array")
+            level = level.join(there, level["__id"].eqNullSafe(there["__its"]) & (level.path == there["__up"]), "left")
+            level = level.withColumn("json", F.coalesce(F.when(F.col("kind") == "object", F.col("object")).when(F.col("kind") == "array", F.col("array")), empty, F.col("plain")))
+        if depth == 0:
+            return level.select(F.col("__id").alias(key), F.col("json").alias("text"))
+        below = checkpointed(_gather(level.select("__id", "parent", "name", "index", "json"), ["__id", "parent"], F.col("name"), F.struct("index", "name")))
+    return rows.select(F.col("__id").alias(key), F.col("plain").alias("text")).limit(0)
+
+
+def find_json(flat: DataFrame, matches: Callable[[DataFrame], Column], handle: Callable[[DataFrame], dict[str, Column]] | None = None) -> DataFrame:
+    """The rows of flatten_json that `matches` holds for, with the columns that `handle` makes of them: matcher and handler are columns, so both run where the rows are."""
+    found = flat.where(matches(flat))
+    return found.withColumns(handle(found)) if handle else found
+
+
+def merge_json(target: DataFrame, source: DataFrame, key: str, text: str) -> DataFrame:
+    """key, text: each document of `target` with that of `source` merged into it: members of both that are objects are merged in turn, of others the source's counts, arrays too, and null is a value.
+
+    A document of one side only stays as it is, as does one whose other side is no JSON; with none on either side the text
+    is null. Members stand in order of their names. Only where both have objects is anything taken apart, one full outer
+    join a level, so what one side has alone goes along whole. Keys must not repeat on a side.
+    """
+    spark = target.sparkSession
+    a, b = (rows.select(F.col(key).alias("__id"), F.try_parse_json(text).alias(v)) for rows, v in ((target, "a"), (source, "b")))
+    b = b.withColumnRenamed("__id", "__its")
+    both = a.join(b, F.col("__id").eqNullSafe(F.col("__its")), "full_outer")
+    # A key that is null on both sides is told from one that the other side lacks by what it holds.
+    level = both.select(F.coalesce("__id", "__its").alias("__id"), F.array().cast("array<string>").alias("at"), "a", "b")
+    is_object = lambda v: F.coalesce(json_kind(F.col(v)) == "object", F.lit(False)) & F.col(v).isNotNull()
+    done, opened = [], []
+    for depth in count():
+        level = checkpointed(level.withColumn("open", is_object("a") & is_object("b")))
+        done.append(level.where("NOT open").select("__id", "at", F.to_json(F.coalesce("b", "a")).alias("json")))
+        inner = level.where("open")
+        opened.append(inner.select("__id", "at"))
+        if inner.isEmpty():
+            break
+        sides = [inner.select("__id", "at", v).lateralJoin(spark.tvf.variant_explode(F.col(v).outer())).select("__id", "at", F.col("key").alias("name"), F.col("value").alias(v)) for v in "ab"]
+        mine, its = sides[0], sides[1].select(F.col("__id").alias("__its"), F.col("at").alias("its_at"), F.col("name").alias("its_name"), "b")
+        met = mine.join(its, mine["__id"].eqNullSafe(its["__its"]) & (mine["at"] == its.its_at) & (mine.name == its.its_name), "full_outer")
+        level = met.select(F.coalesce("__id", "__its").alias("__id"), F.array_append(F.coalesce("at", "its_at"), F.coalesce("name", "its_name")).alias("at"), "a", "b")
+    for k in range(depth - 1, -1, -1):
+        up = F.slice("at", F.lit(1), F.size("at") - 1)
+        parts = done[k + 1].select("__id", up.alias("up"), F.element_at("at", -1).alias("name"), "json")
+        made = _gather(parts, ["__id", "up"], F.col("name"), F.col("name")).select(F.col("__id").alias("__its"), "up", "object")
+        own = opened[k].join(made, opened[k]["__id"].eqNullSafe(made["__its"]) & (opened[k]["at"] == made.up), "left")
+        done[k] = checkpointed(done[k].unionByName(own.select("__id", "at", F.coalesce("object", F.lit("{}")).alias("json"))))
+    return done[0].select(F.col("__id").alias(key), F.col("json").alias("text"))

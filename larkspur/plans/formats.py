@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from larkspur.functions import formatting
-from larkspur.operators import delimited, text, trees
+from larkspur.operators import delimited, map_table, text, trees
 from larkspur.plans.registry import query
 from larkspur.session import table
 
@@ -137,3 +137,31 @@ def line_diff_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def url_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = formatting.url_encode(F.concat("url", F.lit(" ä+*~!")))
     return table(spark, sf_dir, "pages").select("page_id", encoded.alias("encoded")).withColumn("decoded", formatting.url_decode(F.col("encoded")))
+
+
+@query(f"WITH {_TREES} SELECT tree, position, depth, topic, parent FROM up")
+def freemind_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's map, read by the table function in SQL."""
+    map_table.register(spark)
+    trees.to_xml(order_trees(spark, sf_dir), "tree").createOrReplaceTempView("order_maps")
+    return spark.sql("SELECT tree, position, depth, topic, parent FROM freemind_nodes(TABLE(SELECT tree, text FROM order_maps) PARTITION BY tree)")
+
+
+def _inner(c, name: str):
+    return F.get_json_object(c, f"$.inner.{name}")
+
+
+@query(f"""WITH {_JSON}, m AS (SELECT event_id, json_merge_patch(js, '{{"inner":{{"v":[' || event_id || '],"w":{{"x":true}}}},"tags":"none"}}') AS t FROM j)
+SELECT event_id, json_extract_string(t, '$.type') AS type, json_extract_string(t, '$.tags') AS tags, json_extract_string(t, '$.inner.props.k') AS k, json_extract_string(t, '$.inner.v[0]') AS v, json_extract_string(t, '$.inner.w.x') AS x FROM m""")
+def json_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event's document with another merged into it, whose members lie at two levels."""
+    e = _json_events(spark, sf_dir)
+    other = e.select("event_id", F.concat(F.lit('{"inner":{"v":['), F.col("event_id").cast("string"), F.lit('],"w":{"x":true}},"tags":"none"}')).alias("js"))
+    t = F.col("text")
+    return trees.merge_json(e, other, "event_id", "js").select("event_id", F.get_json_object(t, "$.type").alias("type"), F.get_json_object(t, "$.tags").alias("tags"), _inner(t, "props.k").alias("k"), _inner(t, "v[0]").alias("v"), _inner(t, "w.x").alias("x"))
+
+
+@query(f"""WITH {_JSON} SELECT event_id, '{{"id":' || event_id || ',"inner":{{"none":{{}},"props":' || replace(props, ': ', ':') || ',"v":' || user_id || '}},"tags":["x",null,' || (event_id % 2 = 0) || '],"type":"' || event_type || '"}}' AS text FROM j JOIN events USING (event_id)""")
+def json_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event's document taken apart into rows and built again, members in order of their names."""
+    return trees.unflatten_json(trees.flatten_json(_json_events(spark, sf_dir), "event_id", "js"), "event_id")
