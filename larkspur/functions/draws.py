@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import ceil, exp, pi, sqrt
+from math import ceil, exp, log, pi, sqrt
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -80,7 +80,9 @@ def logistic(key: Column, seed: int, middle: float = 0.0, scale: float = 1.0) ->
 
 
 def poisson(key: Column, seed: int, mean: float) -> Column:
-    """Number of events of a Poisson process, by inversion: how many cumulative probabilities lie at or below one uniform number."""
+    """Number of events of a Poisson process, by inversion: how many cumulative probabilities lie at or below one uniform number; for large means by rejection."""
+    if mean > LARGE:
+        return _poisson_large(key, seed, mean)
     u = uniform(key, seed)
     bound = ceil(mean + 12 * sqrt(mean) + 30)
     odds = exp(-mean)
@@ -93,6 +95,29 @@ def poisson(key: Column, seed: int, mean: float) -> Column:
     return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda n, p: n + F.when(u >= p, 1).otherwise(0))
 
 
+#: Means from which the least probabilities are too small for inversion.
+LARGE = 500
+
+
+def _poisson_large(key: Column, seed: int, mean: float) -> Column:
+    """By transformed rejection with a hat over the ratio of two uniform numbers (Hoermann, 1993); log factorials by Stirling's series."""
+    b = 0.931 + 2.53 * sqrt(mean)
+    a, most, scale = -0.059 + 0.02483 * b, 0.9277 - 3.6224 / (b - 2), 1.1239 + 1.1328 / (b - 3.4)
+    own = lambda k, n: (F.shiftrightunsigned(F.xxhash64(key, F.lit(seed), k, F.lit(n)), 11) + 0.5) / float(1 << 53)
+
+    def tried(was: Column, k: Column) -> Column:
+        u, v = own(k, 0) - 0.5, own(k, 1)
+        side = 0.5 - F.abs(u)
+        n = F.floor((2 * a / side + b) * u + mean + 0.43).cast("double")
+        x = n + 1
+        factorial = (x - 0.5) * F.log(x) - x + 0.5 * log(2 * pi) + 1 / (12 * x) - 1 / (360 * x * x * x)
+        inside = F.log(v) + log(scale) - F.log(a / (side * side) + b) <= n * log(mean) - mean - factorial
+        taken = (side >= 0.07) & (v <= most) | (n >= 0) & ~((side < 0.013) & (v > side)) & inside
+        return F.when(was.isNotNull(), was).when(taken, n)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(TRIES)), F.lit(None).cast("double"), tried).cast("long")
+
+
 #: Tries of a gamma draw. One fails in less than one of 20 cases, so all of them in less than one of 1e41.
 TRIES = 32
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,8 +50,14 @@ def borders(start: Column, end: Column, unit: str) -> Column:
 
 
 def iso_format(ts: Column) -> Column:
-    """Text of a time in UTC, to thousandths."""
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    """Text of a time in UTC, to thousandths, whatever the session's zone; a time without zone is one of that zone."""
+    return F.date_format(in_utc(ts), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def in_utc(ts: Column) -> Column:
+    """The calendar time in UTC, without zone: counted from the epoch, so the hour that a zone has twice is told apart."""
+    seconds = F.unix_micros(ts.cast("timestamp")).cast("decimal(18,0)") / F.lit(1_000_000)
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
 
 
 def iso_parse(text: Column) -> Column:
@@ -83,13 +90,15 @@ def time_ticks(rows: DataFrame, ts: str, count: int = 10) -> DataFrame:
     return single.where(keep & (F.col("tick") >= F.col("a"))).select("tick")
 
 
-_PARSED = {"Y": "yyyy", "m": "MM", "d": "dd", "H": "HH", "M": "mm", "S": "ss", "L": "SSS", "f": "SSSSSS", "j": "DDD", "b": "MMM", "B": "MMMM"}
+_PARSED = {"Y": "yyyy", "m": "MM", "d": "dd", "H": "HH", "M": "mm", "S": "ss", "L": "SSS", "f": "SSSSSS", "j": "DDD", "b": "MMM", "B": "MMMM", "y": "yy", "I": "hh", "p": "a", "a": "EEE", "A": "EEEE", "e": "d", "Z": "[XXX][XX][X]"}
 
 
 def strptime(text: Column, pattern: str) -> Column:
-    """Time of a text after a % pattern of digits and month names; null where it doesn't fit."""
+    """Time of a text after a % pattern of digits, names of months and days, half days and zones; null where it doesn't fit."""
     # Odd parts are the letters after a percent sign.
     parts = re.split("%(.)", pattern)
+    if unknown := [p for p in parts[1::2] if p not in _PARSED]:
+        raise ValueError(f"unknown directive %{unknown[0]}")
     quoted = lambda t: "'" + t.replace("'", "''") + "'" if t else ""
     return F.try_to_timestamp(text, F.lit("".join(_PARSED[p] if i % 2 else quoted(p) for i, p in enumerate(parts))))
 
@@ -105,6 +114,20 @@ _DIRECTIVES = {
 }
 
 
+#: What %c, %x and %X stand for.
+_WHOLE = {"c": "%x, %X", "x": "%-m/%-d/%Y", "X": "%-I:%M:%S %p"}
+#: Digits and value of the directives that a fill may be named for.
+_NUMBERS: dict[str, tuple[int, Callable[[Column], Column]]] = {
+    "m": (2, F.month), "d": (2, F.dayofmonth), "e": (2, F.dayofmonth), "H": (2, F.hour), "I": (2, lambda t: F.pmod(F.hour(t) + 11, F.lit(12)) + 1), "M": (2, F.minute), "S": (2, F.second), "j": (3, F.dayofyear),
+    "U": (2, lambda t: week_of_year(t, 0)), "W": (2, lambda t: week_of_year(t, 1)), "V": (2, F.weekofyear), "Y": (4, F.year), "y": (2, lambda t: F.year(t) % 100),
+}
+#: Years by weeks, and counts from the epoch.
+_COUNTED: dict[str, Callable[[Column], Column]] = {
+    "G": lambda t: F.lpad(F.extract(F.lit("YEAROFWEEK"), t).cast("string"), 4, "0"), "g": lambda t: F.lpad((F.extract(F.lit("YEAROFWEEK"), t) % 100).cast("string"), 2, "0"),
+    "Q": lambda t: F.unix_millis(t.cast("timestamp")).cast("string"), "s": lambda t: F.unix_seconds(t.cast("timestamp")).cast("string"), "Z": lambda t: F.date_format(t.cast("timestamp"), "xx"),
+}
+
+
 def strftime(ts: Column, pattern: str) -> Column:
     """Text of a time after a % pattern."""
     parts: list[Column] = []
@@ -112,7 +135,19 @@ def strftime(ts: Column, pattern: str) -> Column:
     while k < len(pattern):
         if pattern[k] == "%" and k + 1 < len(pattern):
             d, k = pattern[k + 1], k + 2
-            if d in _DIRECTIVES:
+            # A sign before the letter says what fills a number: nothing, spaces or zeros.
+            fill = None
+            if d in "-_0" and k < len(pattern):
+                fill, d, k = {"-": "", "_": " ", "0": "0"}[d], pattern[k], k + 1
+            if fill is not None and d in _NUMBERS:
+                width, value = _NUMBERS[d]
+                text = value(ts).cast("string")
+                parts.append(F.lpad(text, F.greatest(F.lit(width), F.length(text)), F.lit(fill)) if fill else text)
+            elif d in _WHOLE:
+                parts.append(strftime(ts, _WHOLE[d]))
+            elif d in _COUNTED:
+                parts.append(_COUNTED[d](ts))
+            elif d in _DIRECTIVES:
                 parts.append(F.date_format(ts, _DIRECTIVES[d]))
             elif d == "e":
                 parts.append(F.lpad(F.dayofmonth(ts).cast("string"), 2, " "))

@@ -139,7 +139,7 @@ def _rounded(total: int) -> float:
 def mode(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
     """keys, mode and n: the most frequent value of each group, the one that came first by `order` on ties."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"), F.min(order).alias("first"))
-    best = F.max_by(F.struct(F.col(value).alias("mode"), "n"), F.struct("n", -F.col("first")))
+    best = F.min_by(F.struct(F.col(value).alias("mode"), "n"), F.struct(-F.col("n"), "first"))
     return counts.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.mode", "b.n")
 
 
@@ -230,9 +230,9 @@ def histogram(rows: DataFrame, x: str, count: int | None = None) -> DataFrame:
     """x0, x1, n of equal round bins over the extent, empty bins kept: left-closed, and one bin more where the largest value is the last edge.
 
     The extent is widened to round numbers first; bins are about `count`, or as many as Sturges' rule gives. Equal values
-    make one bin. One row of aggregates sets the edges; each row finds its bin by division, and only counts are shuffled.
+    make one bin, and infinite ones lie in none. One row of aggregates sets the edges; each row finds its bin by division, and only counts are shuffled.
     """
-    v = rows.select(valid(F.col(x)).alias("v")).where("v is not null")
+    v = rows.select(valid(F.col(x)).alias("v")).where(F.abs("v") < float("inf"))
     lo, hi, n = v.agg(F.min("v"), F.max("v"), F.count("*")).first()
     if not n or lo == hi:
         return v.groupBy().agg(F.min("v").cast("double").alias("x0"), F.max("v").cast("double").alias("x1"), F.count("*").alias("n")).where("n > 0")
@@ -278,7 +278,8 @@ def grouped_quantiles(rows: DataFrame, keys: list[str], x: str, ps: dict[str, fl
     hit = found.join(values, [*keys, "cell"]).where((F.col("before") + F.col("within") <= F.col("place")) & (F.col("place") < F.col("before") + F.col("within") + F.col("c")))
     # Of both places the values; they are one where h is whole.
     share = F.col("h") - F.floor("h")
-    value = hit.groupBy(*keys, "name").agg((F.min("v") + (F.max("v") - F.min("v")) * F.first(share)).alias("q"))
+    between = F.min("v") + (F.max("v") - F.min("v")) * F.first(share)
+    value = hit.groupBy(*keys, "name").agg(F.when(F.min("v") == F.max("v"), F.min("v")).otherwise(between).alias("q"))
     return value.groupBy(*keys).pivot("name", list(ps)).agg(F.first("q"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.operators import line_diff, text
+from larkspur.operators import line_diff, text, word_places
 from larkspur.plans.registry import query
 from larkspur.session import checkpointed, table
 from larkspur.streaming import telemetry
@@ -89,3 +89,33 @@ def line_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = script.groupBy("doc_id").agg(count("kept", "moved").alias("n_same"), count("removed").alias("n_removed"), count("added").alias("n_added"))
     done = line_diff.replayed(old, script, "doc_id", "text").select("doc_id", F.sha2("text", 256).alias("replayed"))
     return sums.join(done, "doc_id")
+
+
+_WORDS = """low AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+lists AS (SELECT doc_id, regexp_extract_all(t, '[a-z]+') AS ws, string_split_regex(t, '[a-z]+') AS gs FROM low),
+parts AS (SELECT doc_id, unnest(ws) AS word, unnest(gs[:len(ws)]) AS gap, unnest(range(len(ws))) AS i FROM lists),
+places AS (SELECT doc_id, word, i, CAST(sum(length(gap) + length(word)) OVER (PARTITION BY doc_id ORDER BY i) - length(word) AS BIGINT) AS start FROM parts)"""
+_PHRASES = ("the of", "of the and", "in", "to the", "is that in")
+
+
+@query(f"WITH {_WORDS} SELECT doc_id, word, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS numbers, string_agg(CAST(start AS VARCHAR), ',' ORDER BY i) AS starts FROM places GROUP BY doc_id, word")
+def word_places_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of every document with its places."""
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return word_places.places(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "word", joined("numbers"), joined("starts"))
+
+
+@query(f"""WITH {_WORDS}, p AS (SELECT unnest({list(_PHRASES)}) AS phrase), q AS (SELECT phrase, string_split(phrase, ' ') AS ps FROM p), s AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM lists)
+SELECT phrase, doc_id, CAST(i - 1 AS BIGINT) AS number FROM s JOIN q ON ws[i] = ps[1] AND ws[i:i + len(ps) - 1] = ps""")
+def phrase_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of five phrases, found in the posting blocks of their words."""
+    index = word_places.postings(word_places.places(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+    return word_places.phrase_places(index, [p.split() for p in _PHRASES]).withColumnRenamed("key", "doc_id")
+
+
+@query(f"""WITH {_WORDS}, n AS (SELECT word, count(*) AS n FROM places GROUP BY word), t AS (SELECT word, n, unnest(range(1, length(word))) AS k FROM n),
+r AS (SELECT left(word, k) AS typed, word, n, row_number() OVER (PARTITION BY left(word, k) ORDER BY n DESC, word) AS rank FROM t) SELECT typed, CAST(rank AS INT) AS rank, word, n FROM r WHERE rank <= 5""")
+def word_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most frequent words for every beginning of a word."""
+    found = word_places.places(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return word_places.completions(found.groupBy("word").agg(F.sum(F.size("numbers")).cast("long").alias("n")), 5)

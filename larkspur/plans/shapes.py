@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from larkspur.functions import formatting, numbers, scales, timeops
-from larkspur.operators import geometry, hierarchy, stats
+from larkspur.operators import geometry, hierarchy, quadtree, stats
 from larkspur.plans.registry import query
 from larkspur.plans.statistics import step_sql
 from larkspur.session import table
@@ -220,13 +220,16 @@ def stratify_checks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.problems(nodes.select("id", parent.alias("parent")).unionByName(nodes.where(id.like("c%9"))))
 
 
-_BAD = "b AS (SELECT * FROM (VALUES ('a', NULL), ('b', 'a'), ('b', 'a'), ('c', 'zz'), ('d', NULL), ('e', 'b'), ('f', 'g'), ('g', 'f'), ('h', 'f')) AS v(id, parent))"
+_BAD = """b AS (SELECT id, CASE WHEN id LIKE 'c%3' THEN 'c' || (CAST(substr(id, 2) AS BIGINT) + 1) WHEN id LIKE 'c%4' OR id LIKE 'c%5' THEN 'c' || (CAST(substr(id, 2) AS BIGINT) - 1) ELSE parent END AS parent FROM nodes)"""
 
 
-@query(f"WITH RECURSIVE {_BAD}, ends(id) AS (SELECT id FROM b WHERE parent IS NULL OR parent NOT IN (SELECT id FROM b) UNION SELECT b.id FROM b JOIN ends ON b.parent = ends.id) SELECT 'cycle' AS problem, id FROM b WHERE id NOT IN (SELECT id FROM ends) UNION ALL SELECT 'missing', id FROM b WHERE parent IS NOT NULL AND parent NOT IN (SELECT id FROM b) UNION ALL SELECT 'ambiguous', id FROM b GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'multiple roots', id FROM (SELECT id, row_number() OVER (ORDER BY id) AS r FROM b WHERE parent IS NULL) WHERE r > 1")
+@query(f"WITH RECURSIVE {_NODES}, {_BAD}, ends(id) AS (SELECT id FROM b WHERE parent IS NULL OR parent NOT IN (SELECT id FROM b) UNION SELECT b.id FROM b JOIN ends ON b.parent = ends.id) SELECT 'cycle' AS problem, id FROM b WHERE id NOT IN (SELECT id FROM ends) UNION ALL SELECT 'missing', id FROM b WHERE parent IS NOT NULL AND parent NOT IN (SELECT id FROM b)")
 def stratify_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("a", None), ("b", "a"), ("b", "a"), ("c", "zz"), ("d", None), ("e", "b"), ("f", "g"), ("g", "f"), ("h", "f")]
-    return hierarchy.problems(spark.createDataFrame(rows, "id string, parent string"))
+    """The customer tree, in which customers are one another's parents two by two, and a third hangs below each pair."""
+    id = F.col("id")
+    other = lambda n: F.concat(F.lit("c"), (F.substring(id, F.lit(2), F.length(id)).cast("long") + n).cast("string"))
+    parent = F.when(id.like("c%3"), other(1)).when(id.like("c%4") | id.like("c%5"), other(-1)).otherwise(F.col("parent"))
+    return hierarchy.problems(tree_nodes(spark, sf_dir).select("id", parent.alias("parent")))
 
 
 @query("""WITH p AS (SELECT regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '/$', '') AS path FROM pages), c AS (SELECT path AS id, count(*) AS n FROM p GROUP BY 1), s AS (SELECT id, string_split(id, '/') AS parts FROM c),
@@ -303,3 +306,11 @@ def nearest_other(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest of all other rows, however far."""
     v = _polygons(spark, sf_dir).select(F.col("vec_id").alias("id"), "x", "y")
     return geometry.nearest_site(v, v.withColumnRenamed("id", "site"), 0.01, others=True).select("id", "site", F.round("distance", 9).alias("distance"))
+
+
+@query("""WITH v AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
+m AS (SELECT v.id, s.id AS site, sqrt((v.x - s.x) * (v.x - s.x) + (v.y - s.y) * (v.y - s.y)) AS d FROM v JOIN v AS s ON v.id <> s.id) SELECT id, arg_min(site, (d, site)) AS site, round(min(d), 9) AS distance FROM m GROUP BY 1""")
+def quadtree_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, by cells that split where the points crowd."""
+    v = _polygons(spark, sf_dir).select(F.col("vec_id").alias("id"), "x", "y")
+    return quadtree.Quadtree(v.withColumnRenamed("id", "site"), others=True).nearest(v).select("id", "site", F.round("distance", 9).alias("distance"))

@@ -102,7 +102,9 @@ def collected(stream: DataFrame, mode: str = "append") -> DataFrame:
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
     schema = stream.schema
-    spark.createDataFrame([], schema).write.parquet(f"{folder}/out")
-    write = lambda batch, _: batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/out")
+    spark.createDataFrame([], schema).write.parquet(f"{folder}/out/none")
+    # A batch that is run again after a failure replaces its own files.
+    part = lambda number: "whole" if mode == "complete" else f"{number:09d}"
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/out/{part(number)}")
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    return spark.read.schema(schema).parquet(f"{folder}/out")
+    return spark.read.schema(schema).parquet(f"{folder}/out/*")

@@ -8,8 +8,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.functions import formatting
-from larkspur.operators import catalog, hierarchy, stats, telemetry, windows
+from larkspur.functions import draws, formatting, timeops
+from larkspur.operators import catalog, delimited, hierarchy, stats, telemetry, windows
 from larkspur.plans import shapes
 
 
@@ -153,3 +153,57 @@ def test_hulls_of_the_embeddings(spark):
         groups.setdefault(r.label, []).append((r.x, r.y))
     got = {r.label: (r.n_hull, r.area) for r in shapes.polygon_hull(spark, "/root/testdata/sf0.001").collect()}
     assert got == {k: (n, pytest.approx(area)) for k, (n, area) in ((k, plain_hull(p)) for k, p in groups.items())}
+
+
+def test_quotes_that_are_never_closed(spark):
+    """Such a quote holds the rest of the text; a quote within a cell is a character as any other."""
+    texts = ['a,"b\nc\n1,2', '"x', 'a"b\nc"d,e', '"a""b\n', 'p,""\n"q', '"r\ns",t\nu', "", '"', "a,\n,b"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got: dict[int, list] = {}
+    for r in sorted(delimited.parse_rows(frame, "k", "t").collect()):
+        got.setdefault(r.k, []).append(r.cells)
+    assert [got.get(k, []) for k in range(len(texts))] == [[["a", "b\nc\n1,2"]], [["x"]], [['a"b'], ['c"d', "e"]], [['a"b\n']], [["p", ""], ["q"]], [["r\ns", "t"], ["u"]], [], [[""]], [["a", ""], ["", "b"]]]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_times_in_any_zone(spark, zone):
+    """ISO texts are in UTC wherever the session is; local directives follow the zone."""
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        # Twice half past one in New York on the day when its clocks go back.
+        seconds = [0.0, 1730611800.25, 1730615400.25, -1.5]
+        rows = spark.createDataFrame([(s,) for s in seconds], "s double").select(F.col("s").cast("timestamp").alias("t"))
+        assert [r[0] for r in rows.select(timeops.iso_format(F.col("t"))).collect()] == ["1970-01-01T00:00:00.000Z", "2024-11-03T05:30:00.250Z", "2024-11-03T06:30:00.250Z", "1969-12-31T23:59:58.500Z"]
+        assert rows.where(timeops.iso_parse(timeops.iso_format(F.col("t"))) != F.col("t")).count() == 0
+        local = {"UTC": "1/1/1970, 12:00:00 AM +0000", "America/New_York": "12/31/1969, 7:00:00 PM -0500", "Asia/Kolkata": "1/1/1970, 5:30:00 AM +0530"}[zone]
+        assert rows.select(timeops.strftime(F.col("t"), "%c %Z")).first()[0] == local
+        assert rows.select(timeops.strftime(F.col("t"), "%s %Q")).first()[0] == "0 0"
+        assert spark.range(1).select(timeops.strptime(F.lit("03/04/24 05:06 PM"), "%m/%d/%y %I:%M %p")).first()[0] is not None
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_further_directives(spark):
+    day = lambda p: spark.range(1).select(timeops.strftime(F.lit("2024-12-30 05:07:09").cast("timestamp"), p)).first()[0]
+    assert day("%G %g %V %-d %_H %-m %0e %-j %-I%p") == "2025 25 01 30  5 12 30 365 5AM"
+    for f in (lambda: timeops.strptime(F.lit(""), "%k"), lambda: timeops.strftime(F.lit(""), "%k")):
+        with pytest.raises(ValueError, match="unknown directive %k"):
+            f()
+
+
+def test_infinite_values(spark):
+    inf = float("inf")
+    rows = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", inf), ("b", -inf), ("b", 5.0)], "k string, x double")
+    got = {r.k: (r.top, r.low, r.mid) for r in stats.grouped_quantiles(rows, ["k"], "x", {"top": 1.0, "low": 0.0, "mid": 0.5}).collect()}
+    assert got["a"] == (inf, 1.0, 2.0) and got["b"][:2] == (5.0, -inf)
+    assert sum(r.n for r in stats.histogram(rows, "x", 3).collect()) == 3
+    words = spark.createDataFrame([("g", "x", "2024-02-01"), ("g", "y", "2024-01-01"), ("g", "z", "2024-01-02"), ("g", "z", "2024-03-01"), ("h", "x", "b"), ("h", "y", "a")], "g string, v string, at string")
+    assert {r.g: (r["mode"], r.n) for r in stats.mode(words, ["g"], "v", "at").collect()} == {"g": ("z", 2), "h": ("y", 1)}
+
+
+@pytest.mark.parametrize("mean", [800.0, 50_000.0])
+def test_poisson_of_large_means(spark, mean):
+    rows = spark.range(20_000).select(draws.poisson(F.col("id"), 5, mean).alias("n"))
+    m, s, d = rows.agg(F.avg("n"), F.stddev("n"), F.count_distinct("n")).first()
+    assert abs(m - mean) < 5 * (mean / 20_000) ** 0.5 and abs(s / mean**0.5 - 1) < 0.03 and d > 100
