@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from larkspur.llm.common import chunks, text_column
+from larkspur.llm.common import chunks, released, text_column
 
 #: Words and pair tests that a worker remembers; both are emptied when full, so memory is bounded.
 MEMO_WORDS, MEMO_PAIRS = 800_000, 1_000_000
@@ -231,7 +231,7 @@ def encode_decode(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     with open(vocabulary_path, encoding="utf-8") as f:
         source = docs.sparkSession.sparkContext.broadcast(f.read())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _encoder(source)
         for batch in batches:
             column = text_column(batch, "text")
@@ -239,6 +239,11 @@ def encode_decode(docs: DataFrame, vocabulary_path: str) -> DataFrame:
                 ids = [bpe.encode(t) for t in column.slice(a, b - a).to_pylist()]
                 texts = pa.array([bpe.decode(x) for x in ids], pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ids, pa.list_(pa.int32())), texts], ["doc_id", "ids", "decoded"])
+        # The worker may serve other stages next; its tables are made again for a further task.
+        _loaded.clear()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return released(encoded(batches))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded string")

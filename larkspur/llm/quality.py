@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from larkspur.llm.common import LOWER, SOLID_BYTE, chunks, raw_bytes, text_column, word_hashes, word_spans
+from larkspur.llm.common import LOWER, SOLID_BYTE, chunks, raw_bytes, released, text_column, word_hashes, word_spans
 from larkspur.llm.training import held_out, labelled_docs
 from larkspur.session import checkpointed
 
@@ -73,7 +73,7 @@ def _column(name: str) -> str:
 def with_statistics(rows: DataFrame) -> DataFrame:
     """`rows` with a column for each statistic of `text` (null: empty)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = text_column(batch, "text")
             for a, b in chunks(column):
@@ -82,6 +82,9 @@ def with_statistics(rows: DataFrame) -> DataFrame:
                 names = [*part.schema.names, *map(_column, STATISTICS)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(np.ascontiguousarray(x)) for x in found.T)], names)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return released(measured(batches))
+
     schema = StructType([*rows.schema.fields, *(StructField(_column(s), DoubleType()) for s in STATISTICS)])
     return rows.mapInArrow(run, schema)
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from larkspur.llm.common import LOWER, chunks, mix, raw_bytes, text_column, without, word_hashes, word_spans
+from larkspur.llm.common import LOWER, chunks, mix, raw_bytes, released, text_column, without, word_hashes, word_spans
 from larkspur.session import checkpointed
 
 #: Words of a window. A k-gram of GRAM words is kept if it has the least hash of WINNOW in a row, and
@@ -89,6 +89,10 @@ def _prints(data: np.ndarray, offsets: np.ndarray, short: list[int], present: np
 
 
 def _scan(batches: Iterator[pa.RecordBatch], short: list[int], bits) -> Iterator[pa.RecordBatch]:
+    return released(_scanned(batches, short, bits))
+
+
+def _scanned(batches: Iterator[pa.RecordBatch], short: list[int], bits) -> Iterator[pa.RecordBatch]:
     """Columns before `text` as they are, then n_words and hits. bits: broadcast presence filter, or none."""
     present = None if bits is None else np.frombuffer(bits.value, np.uint8)
     kind = pa.list_(pa.struct([("kind", pa.int32()), ("hash", pa.int64()), ("pos", pa.int64()), ("words", pa.list_(pa.string()))]))
