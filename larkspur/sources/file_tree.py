@@ -5,11 +5,13 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.functions import pandas_udf
 
-from larkspur.operators.catalog import IGNORED_NAMES, IGNORED_PATHS, ignored_name, ignored_path
+from larkspur.operators.catalog import IGNORED_NAMES, IGNORED_PATHS, ignored_name, ignored_path, safe_path
 
 SCHEMA = "name string, dir string, is_dir boolean, size long, ctime double, mtime double"
 
@@ -97,3 +99,27 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
     kept = rows.where(~hidden & ~F.exists(above, ignored_path))
     return kept.select("name", "dir", "is_dir", "size", F.col("ctime").cast("long").alias("ctime"), F.col("mtime").cast("long").alias("mtime"))
+
+
+def served(spark: SparkSession, path: str, requests: DataFrame) -> DataFrame:
+    """`requests` (path) with status and size: what a server of the folder `path` would answer.
+
+    "missing": an empty or reserved path, or one with two dots in a row, or no file; "denied": the path, links followed,
+    leads out of the folder; "found": a file, with its size. Null paths are missing. Executors see the folder.
+    """
+    top = os.path.realpath(path.removeprefix("file://"))
+
+    @pandas_udf("status string, size long")
+    def look(paths: pd.Series) -> pd.DataFrame:
+        def one(p: str | None) -> tuple[str, int | None]:
+            if not p or "\0" in p:
+                return "missing", None
+            real = os.path.realpath(os.path.join(top, p))
+            if real != top and not real.startswith(top.rstrip(os.sep) + os.sep):
+                return "denied", None
+            return ("found", os.path.getsize(real)) if os.path.isfile(real) else ("missing", None)
+
+        return pd.DataFrame([one(p) for p in paths], columns=["status", "size"]).astype({"size": "Int64"})
+
+    seen = requests.withColumn("__seen", look(F.when(safe_path(F.col("path")), F.col("path"))))
+    return seen.withColumns({"status": F.col("__seen.status"), "size": F.col("__seen.size")}).drop("__seen")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from larkspur.sources import file_tree
+from larkspur.sources import catalog_scan, file_tree
 from larkspur.streaming import telemetry
 
 
@@ -39,3 +39,35 @@ def test_counter_rates_as_a_stream(spark, tmp_path):
 def test_messages_are_typed_envelopes(spark):
     rows = spark.createDataFrame([(1, "x")], "a int, b string")
     assert [r.message for r in telemetry.messages(rows, "metrics").collect()] == ['{"type":"metrics","data":{"a":1,"b":"x"}}']
+
+
+def test_served_files_stay_within_the_folder(spark, tmp_path):
+    """Links that lead out are denied, those that stay within are followed; folders and reserved paths aren't files."""
+    (tmp_path / "out.txt").write_text("secret")
+    top = tmp_path / "top"
+    (top / "sub").mkdir(parents=True)
+    (top / "sub/a.txt").write_text("12345")
+    (top / "inner").symlink_to(top / "sub/a.txt")
+    (top / "leak").symlink_to(tmp_path / "out.txt")
+    (top / "up").symlink_to(tmp_path)
+    paths = ["sub/a.txt", "inner", "leak", "up/out.txt", "up/top/sub/a.txt", "sub", "", "../out.txt", "api/x", "sub/none", str(tmp_path / "out.txt"), None]
+    got = {r.path: (r.status, r.size) for r in file_tree.served(spark, str(top), spark.createDataFrame([(p,) for p in paths], "path string")).collect()}
+    assert got == {
+        "sub/a.txt": ("found", 5), "inner": ("found", 5), "leak": ("denied", None), "up/out.txt": ("denied", None), "up/top/sub/a.txt": ("found", 5), "sub": ("missing", None), "": ("missing", None),
+        "../out.txt": ("missing", None), "api/x": ("missing", None), "sub/none": ("missing", None), str(tmp_path / "out.txt"): ("denied", None), None: ("missing", None),
+    }
+
+
+def test_a_scan_is_kept_until_something_changes(spark, tmp_path):
+    top, out = tmp_path / "top", str(tmp_path / "out")
+    (top / "sub").mkdir(parents=True)
+    (top / "sub/a.txt").write_text("1")
+    assert catalog_scan.write(spark, str(top), out) is None
+    written = lambda: max(p.stat().st_mtime_ns for p in (tmp_path / "out").rglob("part-*"))
+    first = written()
+    assert catalog_scan.write(spark, str(top), out) == 0 and written() == first
+    assert catalog_scan.write(spark, str(top), out, force=True) == 0 and written() > first
+    (top / "sub/b.txt").write_text("22")
+    (top / "empty").mkdir()
+    assert catalog_scan.write(spark, str(top), out) == 2  # the file and the empty folder
+    assert spark.read.json(f"{out}/files").count() == 2
