@@ -49,6 +49,20 @@ def blur(rows: DataFrame, keys: list[str], order: str, x: str, radius: int, pass
     return rows
 
 
+def full_grid(cells: DataFrame, keys: list[str], shape: tuple[int, int], x: str) -> DataFrame:
+    """keys, i, j, `x` of every place of a grid of shape (rows, columns) for each key: 0 where `cells` (keys, i, j, x) has none. What lies outside is left out."""
+    rows, columns = shape
+    each = (cells.select(*keys).distinct() if keys else cells.sparkSession.range(1).select()).select(*keys, F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("i"))
+    every = each.select(*keys, "i", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("j"))
+    return every.join(cells, [*keys, "i", "j"], "left").withColumn(x, F.coalesce(F.col(x), F.lit(0.0)))
+
+
+def blur_grid(cells: DataFrame, keys: list[str], x: str, across: int, down: int, passes: int = 3) -> DataFrame:
+    """A full grid (keys, i, j, x) blurred along its rows and then along its columns, each as blur() does; a radius of 0 leaves that way alone. A task holds one row or column."""
+    out = blur(cells, [*keys, "i"], "j", x, across, passes) if across else cells
+    return blur(out, [*keys, "j"], "i", x, down, passes) if down else out
+
+
 def stack(rows: DataFrame, at: str, series: str, value: str, offset: str = "none") -> DataFrame:
     """`rows` with y0 and y1: each series on top of those before it (by name) at the same place.
 
@@ -78,12 +92,20 @@ def stack_order(rows: DataFrame, at: str, series: str, value: str, order: str) -
     return sums.select(series, F.row_number().over(Window.orderBy(*by)).cast("long").alias("position"))
 
 
-def pie(groups: DataFrame, key: str, value: str) -> DataFrame:
-    """`groups` with start and end angle, largest value first, ties by key."""
+def pie(groups: DataFrame, key: str, value: str, start: float = 0.0, end: float = 2 * pi, gap: float = 0.0) -> DataFrame:
+    """`groups` with start and end angle between `start` and `end`, largest value first, ties by key.
+
+    Each arc is followed by `gap` radians, which belong to it, or by its even share of the whole where that is less. Values
+    below 0 have no arc but the gap; if nothing is above 0, all arcs are that.
+    """
     by = Window.orderBy(F.desc(value), key)
-    total = F.sum(value).over(Window.partitionBy())
-    end = F.sum(value).over(running(by))
-    return groups.withColumn("start_angle", 2 * pi * (end - F.col(value)) / total).withColumn("end_angle", 2 * pi * end / total)
+    every = Window.partitionBy()
+    n, own = F.count(F.lit(1)).over(every), F.greatest(F.col(value).cast("double"), F.lit(0.0))
+    pad = F.least(F.lit(abs(gap)), abs(end - start) / n) * (1 if end >= start else -1)
+    total = F.sum(own).over(every)
+    unit = F.when(total > 0, (F.lit(end - start) - n * pad) / total).otherwise(0.0)
+    last = F.sum(own).over(running(by)) * unit + F.row_number().over(by) * pad + start
+    return groups.withColumn("end_angle", last).withColumn("start_angle", F.col("end_angle") - own * unit - pad)
 
 
 def wiggle(rows: DataFrame, at: str, series: str, value: str) -> DataFrame:

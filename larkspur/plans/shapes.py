@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from larkspur.functions import formatting, numbers, scales, timeops
-from larkspur.operators import geometry, hierarchy, quadtree, stats
+from larkspur.operators import geometry, hierarchy, quadtree, siblings, stats
 from larkspur.plans.registry import query
 from larkspur.plans.statistics import step_sql
 from larkspur.session import table
@@ -47,8 +47,9 @@ def scale_diverging(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH q AS (SELECT quantile_cont(p_retailprice, 0.25) AS a, quantile_cont(p_retailprice, 0.5) AS b, quantile_cont(p_retailprice, 0.75) AS c FROM part) SELECT p_partkey, CAST((p_retailprice >= a) AS INT) + CAST((p_retailprice >= b) AS INT) + CAST((p_retailprice >= c) AS INT) AS bucket FROM part, q")
 def scale_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
-    cuts = p.agg(F.percentile("p_retailprice", F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("cuts"))
-    return p.crossJoin(F.broadcast(cuts)).select("p_partkey", scales.threshold(F.col("p_retailprice"), [F.col("cuts")[i] for i in range(3)]).alias("bucket"))
+    # One row of cuts.
+    cuts = stats.grouped_quantiles(p.withColumn("all", F.lit(1)), ["all"], "p_retailprice", {"a": 0.25, "b": 0.5, "c": 0.75})
+    return p.crossJoin(F.broadcast(cuts)).select("p_partkey", scales.threshold(F.col("p_retailprice"), [F.col(c) for c in "abc"]).alias("bucket"))
 
 
 @query(f"WITH {_E} SELECT p_partkey, CAST(least(greatest(floor((x - lo) / (hi - lo) * 7), 0), 6) AS INT) AS bucket FROM p")
@@ -314,3 +315,19 @@ def quadtree_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same, by cells that split where the points crowd."""
     v = _polygons(spark, sf_dir).select(F.col("vec_id").alias("id"), "x", "y")
     return quadtree.Quadtree(v.withColumnRenamed("id", "site"), others=True).nearest(v).select("id", "site", F.round("distance", 9).alias("distance"))
+
+
+@query("""WITH c AS (SELECT 'c' || c_custkey AS id, 'n' || c_nationkey AS parent, c_custkey AS k FROM customer), e AS (SELECT id, parent, k, 1.0 AS s FROM c
+UNION ALL SELECT 'b' || k || '.' || i, parent, k, i / 10.0 FROM c, range(1, 3) t(i) WHERE k % 5 = 0 UNION ALL SELECT 'a' || k, parent, k, 1.5 FROM c WHERE k % 3 = 0)
+SELECT id, parent, row_number() OVER (PARTITION BY parent ORDER BY k, s) AS position FROM e""")
+def sibling_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two new nodes before every fifth customer and one after every third, in two batches."""
+    k = F.col("c_custkey")
+    name = lambda letter, c: F.concat(F.lit(letter), c.cast("string"))
+    customers = table(spark, sf_dir, "customer").select(name("c", k).alias("id"), name("n", F.col("c_nationkey")).alias("parent"), "c_custkey")
+    nodes = siblings.placed(customers, ["c_custkey"]).select("id", "parent", "place")
+    edit = lambda rows, id, side, n: rows.select(id.alias("id"), F.lit(side).alias("side"), name("c", k).alias("anchor"), n.cast("long").alias("n"))
+    fifth = customers.where(k % 5 == 0).select("c_custkey", F.explode(F.array(F.lit(1), F.lit(2))).alias("i"))
+    nodes = siblings.insert(nodes, edit(fifth, F.concat(name("b", k), F.lit("."), F.col("i").cast("string")), "before", F.col("i")))
+    nodes = siblings.insert(nodes, edit(customers.where(k % 3 == 0), name("a", k), "after", F.lit(1)))
+    return nodes.select("id", "parent", F.row_number().over(Window.partitionBy("parent").orderBy("place")).cast("long").alias("position"))

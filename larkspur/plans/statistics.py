@@ -125,6 +125,23 @@ def blur(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.blur(rows, ["user_id"], "event_id", "value", 2).select("event_id", F.round("value", 6).alias("smooth"))
 
 
+_MEANS = "(sum(a.v) OVER w + greatest(0, 1 - a.{i}) * first(a.v) OVER e + greatest(0, a.{i} + 1 - 9) * last(a.v) OVER e) / 3"
+_PASS = """(SELECT a.pass, a.i, a.j, {mean} AS v FROM {t} AS a WINDOW w AS (PARTITION BY a.pass, a.{other} ORDER BY a.{i} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), e AS (PARTITION BY a.pass, a.{other} ORDER BY a.{i} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
+
+
+def _passes(i: str, other: str, t: str) -> str:
+    return _PASS.format(mean=_MEANS.format(i=i), i=i, other=other, t=t)
+
+
+@query(f"""WITH RECURSIVE n AS (SELECT p_size % 10 AS i, p_partkey % 10 AS j, count(*) AS n FROM part GROUP BY 1, 2), g AS (SELECT CAST(a AS INT) AS i, CAST(b AS INT) AS j, CAST(coalesce(n, 0) AS DOUBLE) AS v FROM range(10) x(a), range(10) y(b) LEFT JOIN n ON n.i = a AND n.j = b),
+p(pass, i, j, v) AS (SELECT 0, i, j, v FROM g UNION ALL SELECT pass + 1, i, j, v FROM {_passes("j", "i", "p")} WHERE pass < 3),
+q(pass, i, j, v) AS (SELECT 0, i, j, v FROM p WHERE pass = 3 UNION ALL SELECT pass + 1, i, j, v FROM {_passes("i", "j", "q")} WHERE pass < 3) SELECT i, j, round(v, 6) AS v FROM q WHERE pass = 3""")
+def blur_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts counted on a grid of ten by ten, blurred along its rows and then its columns."""
+    cells = table(spark, sf_dir, "part").groupBy((F.col("p_size") % 10).cast("int").alias("i"), (F.col("p_partkey") % 10).cast("int").alias("j")).agg(F.count("*").cast("double").alias("v"))
+    return windows.blur_grid(windows.full_grid(cells, [], (10, 10), "v"), [], "v", 1, 1).select("i", "j", F.round("v", 6).alias("v"))
+
+
 @query("SELECT CAST(k AS DOUBLE) / 100 AS x0, CAST(k + 1 AS DOUBLE) / 100 AS x1, coalesce(n, 0) AS n FROM range(0, 11) t(k) LEFT JOIN (SELECT CAST(round(l_discount * 100) AS BIGINT) AS k, count(*) AS n FROM lineitem GROUP BY 1) USING (k)")
 def bin_small_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hundredths, each of which stands on the edge of a bin."""
@@ -295,7 +312,9 @@ def bin_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH v AS (SELECT l_extendedprice AS x FROM lineitem), {_ENDS} SELECT CAST({_STURGES} AS BIGINT) AS sturges, CAST(ceil((hi - lo) / (2 * iqr * pow(n, -1 / 3.0))) AS BIGINT) AS freedman_diaconis, CAST(ceil((hi - lo) * cbrt(n) / (3.49 * dev)) AS BIGINT) AS scott FROM e")
 def bin_fd_scott(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("l_extendedprice")
-    e = table(spark, sf_dir, "lineitem").agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n"), (stats.quantile(x, 0.75) - stats.quantile(x, 0.25)).alias("iqr"), F.stddev_samp(x).alias("dev"))
+    lines = table(spark, sf_dir, "lineitem").select("l_extendedprice", F.lit(1).alias("all"))
+    e = lines.groupBy("all").agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n"), F.stddev_samp(x).alias("dev"))
+    e = e.join(stats.grouped_quantiles(lines, ["all"], "l_extendedprice", {"low": 0.25, "high": 0.75}), "all").withColumn("iqr", F.col("high") - F.col("low"))
     return e.select(*stats.bin_counts("n", "lo", "hi", "iqr", "dev"))
 
 

@@ -7,8 +7,9 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from larkspur.operators import quadtree, word_places
+from larkspur.operators import quadtree, siblings, windows, word_places
 
 TEXTS = [(1, "The cat, the CAT and the cat"), (2, None), (3, ""), (4, "cat the cat"), (5, "İthe 12 the the cat ünd"), (5, "the cat"), (6, "x" * 10_000 + " the cat " * 300)]
 
@@ -71,3 +72,37 @@ def test_others_and_few_sites(spark):
     assert {r.id: (r.site, r.distance) for r in own(frame(rows)).collect()} == {0: (1, 0.0), 1: (0, 0.0), 2: (0, 0.0), 3: (0, 1.0), 4: (5, 0.0), 5: (4, 0.0)}
     assert own(frame(rows[:1])).count() == 0 and own(frame([])).count() == 0
     assert Counter(r.site for r in quadtree.Quadtree(frame(rows[3:4]).withColumnRenamed("id", "site")).nearest(frame(rows)).collect()) == {3: 6}
+
+
+def test_inserts_among_siblings_equal_a_plain_list(spark):
+    """1,000 edits in four batches, most of them in one narrow gap, so that places are used up."""
+    rng = random.Random(9)
+    plain = {"p": [f"p{i}" for i in range(10)], "q": ["q0"]}
+    nodes = siblings.placed(spark.createDataFrame([(x, p, i) for p, xs in plain.items() for i, x in enumerate(xs)] + [("p", None, 0), ("q", None, 1)], "id string, parent string, i int"), ["i"]).select("id", "parent", "place")
+    nodes = nodes.withColumn("place", F.col("place") / (1 << 14)).withColumn("place", F.col("place").cast("long"))
+    for batch in range(4):
+        there, edits = [x for xs in plain.values() for x in xs], []
+        for n in range(250):
+            side = rng.choice(["before", "after", "under"])
+            anchor = rng.choice("pq") if side == "under" else rng.choice(["p3", "q0", rng.choice(there)])
+            edits.append((f"n{batch}.{n}", side, anchor, n))
+        edits.append(("lost", "after", "unknown", 1))
+        nodes = siblings.insert(nodes, spark.createDataFrame(edits, "id string, side string, anchor string, n long")).checkpoint()
+        for id, side, anchor, _ in edits[:-1]:
+            if side == "under":
+                continue
+            xs = next(xs for xs in plain.values() if anchor in xs)
+            xs.insert(xs.index(anchor) + (side == "after"), id)
+        for id, side, anchor, _ in edits[:-1]:
+            if side == "under":
+                plain[anchor].append(id)
+    got = {}
+    for r in nodes.where("parent IS NOT NULL").orderBy("place").collect():
+        got.setdefault(r.parent, []).append(r.id)
+    assert got == plain
+
+
+def test_pies_between_angles(spark):
+    rows = spark.createDataFrame([("a", 3.0), ("b", 1.0), ("c", -5.0)], "k string, v double")
+    got = {r.k: (round(r.start_angle, 9), round(r.end_angle, 9)) for r in windows.pie(rows, "k", "v", 1.0, 3.0, 0.1).collect()}
+    assert got == {"a": (1.0, 2.375), "b": (2.375, 2.9), "c": (2.9, 3.0)}
