@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ UNITS = ("B", "KB", "MB", "GB", "TB")
 SI_PREFIXES = ("y", "z", "a", "f", "p", "n", "µ", "m", "", "k", "M", "G", "T", "P", "E", "Z", "Y")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with `value` computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def fixed(x: Column, digits: int) -> Column:
     """Decimal text with `digits` places, exact ties to even."""
     return F.format_string(f"%.{digits}f", F.bround(x, digits))
@@ -75,7 +82,24 @@ def auto_type(text: Column) -> Column:
     """Name of the type that a trimmed text stands for: null, boolean, nan, number, date or string."""
     t = F.trim(text)
     number = t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$") | t.rlike(r"^0[xX][0-9a-fA-F]+$") | t.isin("Infinity", "-Infinity", "+Infinity")
-    return F.when(text.isNull() | (t == ""), "null").when(t.isin("true", "false"), "boolean").when(t == "NaN", "nan").when(number, "number").when(is_date(t), "date").otherwise("string")
+    return F.when(text.isNull() | (t == ""), "null").when(t.isin("true", "false"), "boolean").when(t == "NaN", "nan").when(number, "number").when(t.rlike("^[+-]?[0-9]{4}") & is_date(t), "date").otherwise("string")
+
+
+def auto_value(text: Column) -> Column:
+    """kind, flag, number, at: the type that auto_type names and the value, in the field of its type; text stays where it is.
+
+    NaN is a number here. A date without a time of day is midnight in UTC, one with a time but no zone is in the session's zone.
+    """
+    def read(t: Column, kind: Column) -> Column:
+        hexadecimal = F.conv(F.substring(t, F.lit(3), F.length(t)), 16, 10).cast("double")
+        infinite = F.when(t.startswith("-"), float("-inf")).otherwise(float("inf"))
+        plain = F.when(t.rlike("^0[xX]"), hexadecimal).when(t.endswith("Infinity"), infinite).otherwise(t.try_cast("double"))
+        number = F.when(kind == "nan", float("nan")).when(kind == "number", plain)
+        day = F.when(F.length(t) == 4, F.concat(t, F.lit("-01-01"))).when(F.length(t) == 7, F.concat(t, F.lit("-01"))).otherwise(t)
+        at = F.try_to_timestamp(F.when(t.contains("T"), F.regexp_replace(t, "T([0-9]{2}:[0-9]{2})(?=$|[Z+-])", "T$1:00")).otherwise(F.concat(day, F.lit("T00:00:00Z"))))
+        return F.struct(kind.alias("kind"), F.when(kind == "boolean", t == "true").alias("flag"), number.alias("number"), F.when(kind == "date", at).alias("at"))
+
+    return let(F.trim(text), lambda t: let(auto_type(text), lambda kind: read(t, kind)))
 
 
 def url_encode(text: Column) -> Column:

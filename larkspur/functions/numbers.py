@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, replace
 from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from larkspur.functions.formatting import SI_PREFIXES
+from larkspur.functions.formatting import SI_PREFIXES, let
 
 MINUS = "−"
 #: Digits that a double holds exactly; numbers are written with more by the JVM's own formatter.
@@ -103,11 +102,6 @@ def _rounded(p: Column, error: Column) -> Column:
     return (F.floor(p) + F.when((rest > 0.5) | (rest == 0.5) & (error >= 0), 1).otherwise(0)).cast("long")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with `value` computed once, however often the body names it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _fixed(x: Column, digits: int) -> Column:
     """Decimals of a number that is not negative, rounded by the exact value of the double, ties upwards."""
     c = 10.0**digits

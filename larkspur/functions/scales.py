@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.operators.stats import numbered
+from larkspur.session import checkpointed
+
 
 def linear(x: Column, domain: tuple, range_: tuple = (0.0, 1.0), clamp: bool = False) -> Column:
     """Linear map of a domain (numbers or columns) to a range; the middle of the range where the domain is one point."""
@@ -34,9 +39,59 @@ def symlog(x: Column, domain: tuple, constant: float = 1.0, range_: tuple = (0.0
     return _mapped(lambda v: F.signum(v) * F.log1p(F.abs(v / constant)), x, domain, range_)
 
 
-def diverging(x: Column, low: float, middle: float, high: float) -> Column:
-    """0 at low, 0.5 at the middle, 1 at high, linear on both sides."""
-    return F.when(x < middle, (x - low) / (middle - low) * 0.5).otherwise(0.5 + (x - middle) / (high - middle) * 0.5)
+#: Ways to bend a domain: each maps a column to one on which the scale is linear.
+BENDS: dict[str, Callable[[Column], Column]] = {
+    "linear": lambda v: v,
+    "log": lambda v: F.when(v < 0, -F.log(-v)).otherwise(F.log(v)),
+    "sqrt": lambda v: F.signum(v) * F.sqrt(F.abs(v)),
+    "square": lambda v: F.signum(v) * v * v,
+    "symlog": lambda v: F.signum(v) * F.log1p(F.abs(v)),
+}
+
+
+def through(x: Column, domain: list[float], range_: list[float], bend: str = "linear", clamp: bool = False) -> Column:
+    """A scale through several points: between two of them, and beyond the outer ones, on the line of the nearest two. The domain ascends or descends; what one of both lists has more is left out."""
+    stops, outs = [float(v) for v in domain[: len(range_)]], [float(v) for v in range_[: len(domain)]]
+    if len(stops) < 2:
+        raise ValueError("a scale needs two points at least")
+    if stops[0] > stops[-1]:
+        stops, outs = stops[::-1], outs[::-1]
+    f = BENDS[bend]
+    y = F.greatest(F.lit(stops[0]), F.least(F.lit(stops[-1]), x)) if clamp else x
+    piece = lambda i: linear(f(y), (f(F.lit(stops[i])), f(F.lit(stops[i + 1]))), (outs[i], outs[i + 1]))
+    out = piece(len(stops) - 2)
+    for i in range(len(stops) - 3, -1, -1):
+        out = F.when(x < stops[i + 1], piece(i)).otherwise(out)
+    return F.when(x.isNotNull() & ~F.isnan(x), out)
+
+
+def sequential(x: Column, domain: tuple, bend: str = "linear", clamp: bool = False) -> Column:
+    """Place between 0 and 1 of a value within a domain (ascending or descending), bent; 0.5 where the domain is one point."""
+    f = BENDS[bend]
+    a, b = (v if isinstance(v, Column) else F.lit(float(v)) for v in domain)
+    return linear(f(x.cast("double")), (f(a), f(b)), clamp=clamp)
+
+
+def diverging(x: Column, low: float, middle: float, high: float, bend: str = "linear", clamp: bool = False) -> Column:
+    """0 at low, 0.5 at the middle, 1 at high, on both sides linear on the bent domain, which ascends or descends; a side of no extent is at 0.5."""
+    f, up = BENDS[bend], -1 if _descends(low, middle, high) else 1
+    side = lambda a, b: F.when(f(F.lit(float(b))) != f(F.lit(float(a))), (f(x) - f(F.lit(float(middle)))) / (f(F.lit(float(b))) - f(F.lit(float(a)))) * 0.5).otherwise(0.0)
+    t = 0.5 + F.when(up * x < up * middle, side(low, middle)).otherwise(side(middle, high))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)) if clamp else t
+
+
+def _descends(low: float, middle: float, high: float) -> bool:
+    """Whether a domain of three points goes down."""
+    return (middle < low) if middle != low else high < middle
+
+
+def by_rank(rows: DataFrame, x: str, out: str = "t") -> DataFrame:
+    """`rows` with `out`: the share of the other valid values that lie at or below that of the row, from 0 to 1; null for null and NaN, NaN where there is one value. Ranks are counted by ranges, in no single task."""
+    values = rows.select(F.col(x).alias("__v")).where(F.col(x).isNotNull() & ~F.isnan(x))
+    ranked = checkpointed(numbered(values, "__v").groupBy("__v").agg(F.max("position").alias("__last")))
+    n = F.broadcast(values.agg(F.count("*").alias("__n")))
+    share = F.when(F.col("__n") > 1, (F.col("__last") - 1) / (F.col("__n") - 1)).otherwise(float("nan"))
+    return rows.join(ranked, rows[x] == ranked["__v"], "left").crossJoin(n).withColumn(out, F.when(F.col("__last").isNotNull(), share)).drop("__v", "__last", "__n")
 
 
 def threshold(x: Column, cuts: list) -> Column:

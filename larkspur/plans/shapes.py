@@ -331,3 +331,16 @@ def sibling_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = siblings.insert(nodes, edit(fifth, F.concat(name("b", k), F.lit("."), F.col("i").cast("string")), "before", F.col("i")))
     nodes = siblings.insert(nodes, edit(customers.where(k % 3 == 0), name("a", k), "after", F.lit(1)))
     return nodes.select("id", "parent", F.row_number().over(Window.partitionBy("parent").orderBy("place")).cast("long").alias("position"))
+
+
+@query("""WITH r AS (SELECT p_partkey, p_size AS s, p_retailprice AS x, rank() OVER (ORDER BY p_retailprice DESC) AS d, count(*) OVER () AS n FROM part)
+SELECT p_partkey, round(CASE WHEN s < 10 THEN s / 10.0 * 100 WHEN s < 30 THEN 100 - (s - 10) / 20.0 * 50 ELSE 50 + (s - 30) / 20.0 * 150 END, 6) AS through, round((ln(x) - ln(900)) / (ln(2000) - ln(900)), 6) AS log, round(least(greatest((sqrt(x) - sqrt(2000)) / (sqrt(1000) - sqrt(2000)), 0), 1), 6) AS down,
+round(0.5 + CASE WHEN x > 1400 THEN (x - 1400) / (1400 - 2000) * 0.5 ELSE (x - 1400) / (900 - 1400) * 0.5 END, 6) AS diverging, round((n - d) / (n - 1), 6) AS rank FROM r""")
+def scale_sequential(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scales through four points, bent, descending and clamped, diverging downwards, and by rank."""
+    x = F.col("x")
+    p = scales.by_rank(table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("s"), F.col("p_retailprice").alias("x")), "x", "rank")
+    return p.select(
+        "p_partkey", F.round(scales.through(F.col("s"), [0, 10, 30, 50], [0, 100, 50, 200]), 6).alias("through"), F.round(scales.sequential(x, (900, 2000), "log"), 6).alias("log"),
+        F.round(scales.sequential(x, (2000, 1000), "sqrt", clamp=True), 6).alias("down"), F.round(scales.diverging(x, 2000, 1400, 900), 6).alias("diverging"), F.round("rank", 6).alias("rank"),
+    )

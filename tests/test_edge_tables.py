@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.functions import draws, formatting, timeops
+from larkspur.functions import draws, formatting, scales, timeops
 from larkspur.operators import catalog, delimited, hierarchy, stats, telemetry, windows
 from larkspur.plans import shapes
 
@@ -207,3 +207,24 @@ def test_poisson_of_large_means(spark, mean):
     rows = spark.range(20_000).select(draws.poisson(F.col("id"), 5, mean).alias("n"))
     m, s, d = rows.agg(F.avg("n"), F.stddev("n"), F.count_distinct("n")).first()
     assert abs(m - mean) < 5 * (mean / 20_000) ** 0.5 and abs(s / mean**0.5 - 1) < 0.03 and d > 100
+
+
+def test_typed_values(spark):
+    texts = [" 12.5 ", "0x1F", "-Infinity", "true", "NaN", "2024-01-05", "2024", "2024-01-05T10:20Z", "2024-01-05T10:20:30.5", "abc", "", None]
+    got = values(spark, texts, "string", lambda x: formatting.auto_value(x))
+    assert [g.kind for g in got] == ["number", "number", "number", "boolean", "nan", "date", "number", "date", "string", "string", "null", "null"]
+    assert [g.number for g in got[:3]] == [12.5, 31.0, -math.inf] and got[3].flag is True and math.isnan(got[4].number) and got[6].number == 2024
+    assert [str(g["at"]) for g in (got[5], got[7])] == [str(x) for x in spark.sql("SELECT TIMESTAMP '2024-01-05 00:00:00Z' AS a, TIMESTAMP '2024-01-05 10:20:00Z' AS b").first()]
+    assert all(g.number is None and g["at"] is None and g.flag is None for g in got[9:])
+
+
+def test_scales_through_points(spark):
+    at = lambda xs, column: values(spark, xs, "double", column)
+    assert at([-1.0, 0.0, 5.0, 10.0, 15.0, None, math.nan], lambda x: scales.through(x, [0, 10, 20], [0, 1, 3])) == [-0.1, 0.0, 0.5, 1.0, 2.0, None, None]
+    assert at([25.0, 5.0, -5.0], lambda x: scales.through(x, [20, 10, 0], [0, 1, 3], clamp=True)) == [0.0, 2.0, 3.0]
+    assert at([1.0, 10.0, 100.0], lambda x: F.round(scales.through(x, [1, 100], [0, 1], "log"), 9)) == [0.0, 0.5, 1.0]
+    assert at([4.0, 9.0], lambda x: scales.sequential(x, (4, 4))) == [0.5, 0.5]
+    assert at([-10.0, -5.0, 0.0, 5.0, 10.0], lambda x: scales.diverging(x, 10, 0, -10)) == [1.0, 0.75, 0.5, 0.25, 0.0]
+    assert at([-20.0, 20.0], lambda x: scales.diverging(x, -10, 0, 10, clamp=True)) == [0.0, 1.0]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate([5.0, 1.0, 5.0, 9.0, None, math.nan])], "i int, x double")
+    assert [r.t for r in scales.by_rank(rows, "x").orderBy("i").collect()] == [2 / 3, 0.0, 2 / 3, 1.0, None, None]
