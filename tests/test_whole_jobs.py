@@ -45,4 +45,12 @@ def test_repeated_roots_are_all_but_one(spark):
 
 
 def test_every_customer_is_in_a_pair(spark):
-    assert QUERIES["hier_path_lca_all"](spark, FOLDER).count() == spark.read.parquet(f"{FOLDER}/customer.parquet").count() - 1
+    assert QUERIES["hier_path_lca"](spark, FOLDER).count() == spark.read.parquet(f"{FOLDER}/customer.parquet").count() - 1
+
+
+def test_every_customer_meets_every_nation(spark):
+    """The lowest common ancestor with one's own nation is that nation."""
+    got = QUERIES["hier_path_lca_all"](spark, FOLDER)
+    assert got.count() == spark.read.parquet(f"{FOLDER}/customer.parquet").count() * 25
+    own = spark.read.parquet(f"{FOLDER}/customer.parquet").selectExpr("concat('c', c_custkey) AS a", "concat('n', c_nationkey) AS b")
+    assert got.join(own, ["a", "b"]).where("lca <> b OR distance <> 1").count() == 0
