@@ -127,3 +127,29 @@ def sphere_area(points: DataFrame, key: str, order: str) -> DataFrame:
     turn, both = F.radians(F.col("to.x") - F.col("x")), half(F.col("y")) * half(F.col("to.y"))
     total = F.sum(2 * F.atan2(both * F.sin(turn), 1 + both * F.cos(turn)))
     return rings.groupBy(key).agg(F.when(total < 0, total + 4 * pi).otherwise(total).alias("area"))
+
+
+def sphere_centroid(points: DataFrame, key: str) -> DataFrame:
+    """key, x, y, n: the middle (degrees) of each key's places on the sphere, that of the sum of their unit vectors; null where they cancel out. Places without finite coordinates don't count."""
+    at = points.where((F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))).select(key, F.radians("x").alias("lon"), F.radians("y").alias("lat"))
+    sums = at.groupBy(key).agg(F.sum(F.cos("lat") * F.cos("lon")).alias("u"), F.sum(F.cos("lat") * F.sin("lon")).alias("v"), F.sum(F.sin("lat")).alias("w"), F.count("*").alias("n"))
+    known = F.col("u") * F.col("u") + F.col("v") * F.col("v") + F.col("w") * F.col("w") > F.col("n") * F.col("n") * 1e-24
+    level = F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v"))
+    return sums.select(key, F.when(known, F.degrees(F.atan2("v", "u"))).alias("x"), F.when(known, F.degrees(F.atan2(F.col("w"), level))).alias("y"), "n")
+
+
+def sphere_bounds(points: DataFrame, key: str) -> DataFrame:
+    """key, x0, y0, x1, y1: the box (degrees) round each key's places that is narrowest in longitude; x0 > x1 where it crosses the date line.
+
+    The box leaves out the widest gap between neighbouring longitudes, the one over the date line on ties. Longitudes are
+    taken between -180 and 180; each counts once, and Spark sorts those of a key.
+    """
+    lon = F.pmod(F.col("x") + 180, F.lit(360.0)) - 180
+    at = points.where((F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))).select(key, lon.alias("lon"), "y")
+    lat = at.groupBy(key).agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("lon").alias("west"), F.max("lon").alias("east"))
+    by = Window.partitionBy(key).orderBy("lon")
+    gaps = at.select(key, "lon").distinct().withColumn("after", F.lead("lon").over(by)).where("after IS NOT NULL")
+    widest = gaps.groupBy(key).agg(F.max(F.struct((F.col("after") - F.col("lon")).alias("gap"), (-F.col("lon")).alias("first"), "after")).alias("g"))
+    out = lat.join(widest.select(F.col(key).alias("its"), "g"), F.col(key).eqNullSafe(F.col("its")), "left")
+    crossing = F.coalesce(F.col("g.gap") > F.col("west") + 360 - F.col("east"), F.lit(False))
+    return out.select(key, F.when(crossing, F.col("g.after")).otherwise(F.col("west")).alias("x0"), "y0", F.when(crossing, -F.col("g.first")).otherwise(F.col("east")).alias("x1"), "y1")

@@ -107,3 +107,25 @@ def random_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
         "weibull": draws.weibull(k, 20, 2.0), "cauchy": draws.cauchy(k, 21), "logistic": draws.logistic(k, 22), "poisson": draws.poisson(k, 23, 4.0), "gamma": draws.gamma(k, 24, 2.5), "beta": draws.beta(k, 26, 2.0, 3.0),
     }
     return table(spark, sf_dir, "orders").select("o_orderkey", *(c.alias(n) for n, c in kinds.items()))
+
+
+_PLACES = "c AS (SELECT c_nationkey AS k, CAST((c_custkey * 37 + c_nationkey * 91) % 60 + 150 + c_nationkey AS DOUBLE) AS x, CAST(c_custkey * 17 % 100 - 40 AS DOUBLE) AS y FROM customer)"
+
+
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers on the sphere, most nations over the date line."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    return table(spark, sf_dir, "customer").select(n.alias("k"), ((k * 37 + n * 91) % 60 + 150 + n).cast("double").alias("x"), (k * 17 % 100 - 40).cast("double").alias("y"))
+
+
+@query(f"""WITH {_PLACES}, s AS (SELECT k, sum(cos(radians(y)) * cos(radians(x))) AS u, sum(cos(radians(y)) * sin(radians(x))) AS v, sum(sin(radians(y))) AS w, count(*) AS n FROM c GROUP BY k)
+SELECT k, round(degrees(atan2(v, u)), 6) AS x, round(degrees(atan2(w, sqrt(u * u + v * v))), 6) AS y, n FROM s""")
+def geo_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.sphere_centroid(_places(spark, sf_dir), "k").select("k", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "n")
+
+
+@query(f"""WITH {_PLACES}, p AS (SELECT k, CASE WHEN x >= 180 THEN x - 360 ELSE x END AS x, y FROM c), l AS (SELECT DISTINCT k, x FROM p), g AS (SELECT k, x, coalesce(lead(x) OVER (PARTITION BY k ORDER BY x), min(x) OVER (PARTITION BY k) + 360) AS b FROM l),
+w AS (SELECT k, arg_max({{'a': x, 'b': b}}, (b - x, b > 180, -x)) AS g FROM g GROUP BY k), e AS (SELECT k, min(y) AS y0, max(y) AS y1 FROM p GROUP BY k)
+SELECT k, CASE WHEN g.b >= 180 THEN g.b - 360 ELSE g.b END AS x0, y0, g.a AS x1, y1 FROM w JOIN e USING (k)""")
+def geo_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.sphere_bounds(_places(spark, sf_dir), "k")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import draws, formatting, scales, timeops
-from larkspur.operators import catalog, delimited, hierarchy, stats, telemetry, windows
+from larkspur.operators import catalog, delimited, geometry, hierarchy, stats, telemetry, windows
 from larkspur.plans import shapes
 
 
@@ -228,3 +228,13 @@ def test_scales_through_points(spark):
     assert at([-20.0, 20.0], lambda x: scales.diverging(x, -10, 0, 10, clamp=True)) == [0.0, 1.0]
     rows = spark.createDataFrame([(i, x) for i, x in enumerate([5.0, 1.0, 5.0, 9.0, None, math.nan])], "i int, x double")
     assert [r.t for r in scales.by_rank(rows, "x").orderBy("i").collect()] == [2 / 3, 0.0, 2 / 3, 1.0, None, None]
+
+
+def test_places_on_the_sphere(spark):
+    rows = [("line", 170.0, 1.0), ("line", -175.0, -3.0), ("line", 185.0, 0.0), ("one", 10.0, 20.0), ("pole", 0.0, 80.0), ("pole", 180.0, 80.0), ("cancel", 0.0, 0.0), ("cancel", 180.0, 0.0), ("wide", -170.0, 0.0), ("wide", -60.0, 0.0), ("wide", 60.0, 0.0), ("wide", 170.0, 0.0), ("one", None, 1.0), ("one", math.nan, 1.0)]
+    frame = spark.createDataFrame(rows, "k string, x double, y double")
+    box = {r.k: tuple(r)[1:] for r in geometry.sphere_bounds(frame, "k").collect()}
+    assert box["line"] == (170.0, -3.0, -175.0, 1.0) and box["one"] == (10.0, 20.0, 10.0, 20.0) and box["wide"] == (60.0, 0.0, -60.0, 0.0)
+    middle = {r.k: r for r in geometry.sphere_centroid(frame, "k").collect()}
+    assert middle["cancel"].x is None and middle["cancel"].y is None and middle["pole"].y == pytest.approx(90) and middle["one"].n == 1
+    assert (middle["one"].x, middle["one"].y) == pytest.approx((10, 20)) and abs(middle["line"].x) == pytest.approx(180, abs=0.1)
