@@ -153,3 +153,41 @@ def sphere_bounds(points: DataFrame, key: str) -> DataFrame:
     out = lat.join(widest.select(F.col(key).alias("its"), "g"), F.col(key).eqNullSafe(F.col("its")), "left")
     crossing = F.coalesce(F.col("g.gap") > F.col("west") + 360 - F.col("east"), F.lit(False))
     return out.select(key, F.when(crossing, F.col("g.after")).otherwise(F.col("west")).alias("x0"), "y0", F.when(crossing, -F.col("g.first")).otherwise(F.col("east")).alias("x1"), "y1")
+
+
+def sphere_length(points: DataFrame, key: str, order: str, closed: bool = False) -> DataFrame:
+    """key, length (radians): of the great arcs from each place (key, order, x and y in degrees) to the next, and from the last back to the first if `closed`. A single place has length 0."""
+    step = F.when(F.col("to").isNotNull(), sphere_distance(F.col("x"), F.col("y"), F.col("to.x"), F.col("to.y"))).otherwise(0.0)
+    rows = _edges(points, key, order) if closed else points.withColumn("to", F.lead(F.struct("x", "y")).over(Window.partitionBy(key).orderBy(order)))
+    return rows.groupBy(key).agg(F.sum(step).alias("length"))
+
+
+def sphere_between(x1: Column, y1: Column, x2: Column, y2: Column, t: Column) -> tuple[Column, Column]:
+    """Longitude and latitude (degrees) of the place that divides the shorter great arc between two places in the ratio t to 1 - t. The first place if they are the same; some arc's if they are opposite."""
+    far = sphere_distance(x1, y1, x2, y2)
+    a, b = (F.when(far > 0, F.sin(s * far) / F.sin(far)).otherwise(o) for s, o in ((1 - t, 1.0), (t, 0.0)))
+    part = lambda f, g: a * F.cos(F.radians(y1)) * f(F.radians(x1)) + b * F.cos(F.radians(y2)) * g(F.radians(x2))
+    u, v = part(F.cos, F.cos), part(F.sin, F.sin)
+    w = a * F.sin(F.radians(y1)) + b * F.sin(F.radians(y2))
+    return F.degrees(F.atan2(v, u)), F.degrees(F.atan2(w, F.sqrt(u * u + v * v)))
+
+
+def sphere_contains(points: DataFrame, key: str, order: str, x: float, y: float) -> DataFrame:
+    """key, inside: whether a place (degrees) lies in each ring (key, order, x and y in degrees) of great arcs that don't cross one another.
+
+    The inside is that of sphere_area(): a ring run through the other way round has the rest of the sphere. Whether the south
+    pole is inside follows from the ring's turns and signed area; from there each edge met on the meridian to the place
+    changes sides. Every edge is looked at once, and sums before the shuffle.
+    """
+    turn = lambda a: F.pmod(a + pi, F.lit(2 * pi)) - pi
+    half = lambda d: F.tan(F.radians(d) / 2 + pi / 4)
+    step, both = turn(F.radians(F.col("to.x") - F.col("x"))), half(F.col("y")) * half(F.col("to.y"))
+    excess = 2 * F.atan2(both * F.sin(step), 1 + both * F.cos(step))
+    # The place's meridian lies between the ends of an edge, which meets it below the place.
+    here, there = turn(F.radians(F.col("x") - x)), turn(F.radians(F.col("to.x") - x))
+    spans = ((here < 0) != (there < 0)) & (F.abs(here - there) < pi)
+    level = (F.tan(F.radians(F.col("y"))) * F.sin(there) - F.tan(F.radians(F.col("to.y"))) * F.sin(here)) / F.sin(there - here)
+    met = F.coalesce(spans & (F.atan(level) < F.radians(F.lit(float(y)))), F.lit(False))
+    sums = _edges(points, key, order).groupBy(key).agg(F.sum(step).alias("turns"), F.sum(excess).alias("area"), F.sum(met.cast("long")).alias("crossed"))
+    pole = (F.abs("turns") > pi) != (F.col("area") < 0)
+    return sums.select(key, (pole != (F.col("crossed") % 2 == 1)).alias("inside"))

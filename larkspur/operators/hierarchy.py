@@ -135,3 +135,79 @@ def arcs(edges: DataFrame, gap: float = 0.0) -> DataFrame:
     groups = sums.select("source", unit.alias("unit"), start.alias("group_start"), (start + F.col("sent") * unit).alias("group_end"))
     end = F.col("group_start") + F.col("unit") * F.sum("value").over(Window.partitionBy("source").orderBy("target").rowsBetween(Window.unboundedPreceding, 0))
     return cells.join(groups, "source").withColumn("end_angle", end).withColumn("start_angle", F.col("end_angle") - F.col("unit") * F.col("value")).drop("unit")
+
+
+def chords(edges: DataFrame, gap: float = 0.0, directed: bool = False, transposed: bool = False) -> DataFrame:
+    """source, target, value, back, source_start, source_end, target_start, target_end of flows (source, target, value) drawn as ribbons round a circle.
+
+    Undirected, a pair of nodes is one ribbon: it starts at the node that sends more (the lesser name on ties) with `value`
+    and ends at the other with `back`, what that one sends; a node's arc is what it sends, by the other's name. Directed,
+    each flow is a ribbon of its own, as wide at both ends, and `back` is null; a node's arc is first what it receives, by
+    falling names, then what it sends, by rising ones. Nodes follow by name with `gap` radians between them, and nodes
+    without flows count for the gaps. `transposed` turns all flows over. Flows of a pair are summed; only those above 0 count.
+    """
+    ends = ("target", "source") if transposed else ("source", "target")
+    flows = edges.select(*(F.col(e).alias(n) for e, n in zip(ends, ("source", "target"), strict=True)), "value")
+    names = flows.select(F.explode(F.array("source", "target")).alias("node")).where("node is not null").distinct()
+    cells = flows.where("value > 0 and source is not null and target is not null").groupBy("source", "target").agg(F.sum("value").cast("double").alias("value"))
+    sent = cells.select(F.col("source").alias("node"), F.col("target").alias("other"), F.lit(True).alias("out"), "value")
+    there = cells.select(F.col("target").alias("node"), F.col("source").alias("other"), F.lit(directed is False).alias("out"), (F.col("value") if directed else F.lit(0.0)).alias("value"))
+    # Undirected, the way back has a place even where nothing goes.
+    parts = sent.unionByName(there).groupBy("node", "other", "out").agg(F.sum("value").alias("value"))
+    sums = names.join(parts.groupBy("node").agg(F.sum("value").alias("all")), "node", "left").select("node", F.coalesce("all", F.lit(0.0)).alias("all"))
+    # One row for each node.
+    by, every = Window.orderBy("node"), Window.partitionBy()
+    n, total = F.count(F.lit(1)).over(every), F.sum("all").over(every)
+    unit = F.greatest(F.lit(0.0), 2 * pi - gap * n) / F.nullif(total, F.lit(0.0))
+    space = F.when(unit > 0, F.lit(float(gap))).otherwise(2 * pi / n)
+    begin = (F.sum("all").over(by.rowsBetween(Window.unboundedPreceding, 0)) - F.col("all")) * F.coalesce(unit, F.lit(0.0)) + space * (F.row_number().over(by) - 1)
+    groups = sums.select("node", unit.alias("unit"), begin.alias("begin"))
+    along = Window.partitionBy("node").orderBy("out", F.when(~F.col("out"), F.col("other")).desc(), "other").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.col("begin") + F.col("unit") * F.sum("value").over(along)
+    arcs_ = parts.join(groups, "node").withColumn("end", end).withColumn("start", F.col("end") - F.col("unit") * F.col("value"))
+    one = F.struct("value", "start", "end")
+    if directed:
+        pair = F.when(F.col("out"), F.struct("node", "other")).otherwise(F.struct(F.col("other").alias("node"), F.col("node").alias("other")))
+        met = arcs_.groupBy(pair.alias("pair")).agg(F.max(F.when(F.col("out"), one)).alias("a"), F.max(F.when(~F.col("out"), one)).alias("b"))
+        ways = (F.col("pair.node"), F.col("pair.other"), F.col("a.value"), F.lit(None).cast("double"))
+        source, target = F.col("a"), F.col("b")
+    else:
+        lesser = F.col("node") <= F.col("other")
+        met = arcs_.groupBy(F.least("node", "other").alias("low"), F.greatest("node", "other").alias("high")).agg(F.max(F.when(lesser, one)).alias("a"), F.max(F.when(F.col("node") >= F.col("other"), one)).alias("b"))
+        kept = F.col("a.value") >= F.col("b.value")
+        source, target = F.when(kept, F.col("a")).otherwise(F.col("b")), F.when(kept, F.col("b")).otherwise(F.col("a"))
+        ways = (F.when(kept, F.col("low")).otherwise(F.col("high")), F.when(kept, F.col("high")).otherwise(F.col("low")), source["value"], target["value"])
+    angles = [x[e].alias(f"{name}_{e}") for name, x in (("source", source), ("target", target)) for e in ("start", "end")]
+    return met.select(*(w.alias(name) for w, name in zip(ways, ("source", "target", "value", "back"), strict=True)), *angles)
+
+
+def links(nodes: DataFrame) -> DataFrame:
+    """source, target: every node but the roots with its parent as source."""
+    return nodes.where("parent is not null").select(F.col("parent").alias("source"), F.col("id").alias("target"))
+
+
+def subtrees(nodes: DataFrame, above: DataFrame, tops: DataFrame) -> DataFrame:
+    """top and the columns of `nodes` with depth: for each id of `tops`, itself as a root of depth 0 and all below it; `above` is a closure."""
+    under = above.join(tops.select(F.col("id").alias("ancestor")).distinct(), "ancestor").select("id", F.col("ancestor").alias("top"), F.col("distance").alias("depth"))
+    rest = [c for c in nodes.columns if c not in ("id", "parent")]
+    return nodes.join(under, "id").select("top", "id", F.when(F.col("depth") > 0, F.col("parent")).alias("parent"), "depth", *rest)
+
+
+def without_imputed_top(tree: DataFrame) -> DataFrame:
+    """from_paths() without the made-up nodes at its top that have one child only: the first node that was given, or branches, is the root, at depth 0."""
+    children = tree.where("parent is not null").groupBy(F.col("parent").alias("its")).agg(F.count("*").alias("children"))
+    own = tree.join(children, F.col("id") == F.col("its"), "left")
+    # Down to that node every level has one node; one number tells how many there are.
+    root = own.where(~(F.col("imputed") & (F.coalesce("children", F.lit(0)) == 1))).agg(F.min("depth").alias("top"))
+    below = tree.crossJoin(F.broadcast(root)).where("depth >= top")
+    return below.select("id", F.when(F.col("depth") > F.col("top"), F.col("parent")).alias("parent"), (F.col("depth") - F.col("top")).alias("depth"), "imputed", "n")
+
+
+def next_side(children: DataFrame) -> DataFrame:
+    """parent, side: where the next child of each parent of a two-sided map goes, from its children (parent, side).
+
+    Left if it has more than one child and fewer of them are on the left than elsewhere, otherwise right; a child without a side is on the right.
+    """
+    left = F.sum(F.when(F.col("side") == "left", 1).otherwise(0))
+    n = F.count(F.lit(1))
+    return children.groupBy("parent").agg(F.when((n > 1) & (left < n - left), "left").otherwise("right").alias("side"))

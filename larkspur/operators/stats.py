@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from math import ceil, floor, isinf, isnan, log2, log10, sqrt
+from operator import and_
 
 import pandas as pd
 import pyarrow as pa
@@ -32,12 +34,20 @@ def quantile(x: Column, p: float) -> Column:
 
 
 def quantile_index(rows: DataFrame, keys: list[str], x: str, order: str, p: float) -> DataFrame:
-    """The row of each group at sorted position floor((n - 1) * p), null and NaN last, ties by `order`."""
-    v = valid(F.col(x))
-    by = Window.partitionBy(*keys)
-    place = F.row_number().over(by.orderBy(v.asc_nulls_last(), order))
-    n = F.count(v).over(by)
-    return rows.withColumn("__place", place).withColumn("__n", n).where(F.col("__place") == F.floor((F.col("__n") - 1) * p) + 1).drop("__place", "__n")
+    """The row of each group at sorted position floor((n - 1) * p), null and NaN last, ties by `order`. Groups are sorted by ranges."""
+    placed = numbered_within(rows.withColumn("__v", valid(F.col(x))), keys, F.col("__v").asc_nulls_last(), order)
+    counts = rows.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(F.count(valid(F.col(x))).alias("__n"))
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys), F.lit(True))
+    return placed.join(counts, same).where(F.col("position") == F.floor((F.col("__n") - 1) * p) + 1).select(*rows.columns)
+
+
+def ranked(rows: DataFrame, keys: list[str], x: str) -> DataFrame:
+    """`rows` with rank: 0-based within each group, ties sharing the least; null for null and NaN. Groups are sorted by ranges."""
+    own = rows.withColumn("__v", valid(F.col(x)))
+    first = numbered_within(own.where("__v is not null").select(*keys, "__v"), keys, "__v").groupBy(*keys, "__v").agg((F.min("position") - 1).alias("rank"))
+    first = first.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__v").alias("__w"), "rank")
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys), F.col("__v") == F.col("__w"))
+    return own.join(first, same, "left").select(*rows.columns, "rank")
 
 
 @F.pandas_udf(DoubleType())
@@ -166,6 +176,20 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
     return out.withColumn("position", F.col("__before") + F.col("__at") - F.shiftleft("__part", 33) + 1).drop("__part", "__before", "__at")
 
 
+def numbered_within(rows: DataFrame, keys: list[str], *order: str | Column) -> DataFrame:
+    """`rows` with position, from 1 within each group (a null key is one) in the given order.
+
+    The rows are sorted by ranges of keys and order, so that no task holds a group; each stretch of a group counts on from
+    its stretches in the ranges before. There is one such stretch more than groups for each border of ranges at most.
+    """
+    by_range = checkpointed(rows.orderBy(*keys, *order)).withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33))
+    stretches = by_range.groupBy(*keys, "__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = stretches.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__part").alias("__in"), (F.coalesce(before, F.lit(0)) - F.col("__first") + 1).alias("__shift"))
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys), F.col("__part") == F.col("__in"))
+    return by_range.join(starts, same).select(*rows.columns, (F.col("__at") + F.col("__shift")).alias("position"))
+
+
 def unique_index(rows: DataFrame, *keys: str) -> DataFrame:
     """`rows`, once it is known that no key repeats; otherwise the job fails with "duplicate key"."""
     n = F.count("*").over(Window.partitionBy(*keys))

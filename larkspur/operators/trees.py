@@ -232,3 +232,30 @@ def merge_json(target: DataFrame, source: DataFrame, key: str, text: str) -> Dat
         own = opened[k].join(made, opened[k]["__id"].eqNullSafe(made["__its"]) & (opened[k]["at"] == made.up), "left")
         done[k] = checkpointed(done[k].unionByName(own.select("__id", "at", F.coalesce("object", F.lit("{}")).alias("json"))))
     return done[0].select(F.col("__id").alias(key), F.col("json").alias("text"))
+
+
+#: Names of the tree formats that read_trees and write_trees know.
+FORMATS = ("indented", "xml", "node_array")
+
+
+def _known(rows: DataFrame, form: str) -> DataFrame:
+    """`rows` with __form, what the column `form` names; a name that is unknown or null fails the job."""
+    kind = F.col(form)
+    wrong = F.raise_error(F.concat(F.lit("unknown tree format: "), F.coalesce(kind, F.lit("null")))).cast("string")
+    return rows.withColumn("__form", F.when(kind.isin(*FORMATS), kind).otherwise(wrong))
+
+
+def read_trees(texts: DataFrame, key: str, text: str, form: str) -> DataFrame:
+    """key, id, parent, topic of texts, each in the format its column `form` names; an unknown name fails the job. The texts are read once for each format."""
+    known = _known(texts, form)
+    rows = [from_indented(known.where(F.col("__form") == "indented"), key, text), from_xml(known.where(F.col("__form") == "xml"), key, text)]
+    rows = [r.withColumnRenamed("position", "id") for r in rows] + [from_node_array(known.where(F.col("__form") == "node_array"), key, text)]
+    return reduce(DataFrame.unionByName, [r.select(key, "id", "parent", "topic") for r in rows])
+
+
+def write_trees(nodes: DataFrame, key: str, form: str) -> DataFrame:
+    """key, `form`, text: each tree in the format that its rows name in `form`, from preorder rows with parent; an unknown name fails the job."""
+    known, made = _known(nodes, form), []
+    for name, write in zip(FORMATS, (to_indented, to_xml, to_node_array), strict=True):
+        made.append(write(known.where(F.col("__form") == name).drop("__form"), key).select(key, F.lit(name).alias(form), "text"))
+    return reduce(DataFrame.unionByName, made)

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from larkspur.functions.formatting import extension, format_size, percent
 from larkspur.operators import catalog as c
-from larkspur.operators import telemetry
+from larkspur.operators import stats, telemetry
 from larkspur.plans.registry import query
 from larkspur.session import table
 from larkspur.sources import catalog_scan
@@ -93,9 +93,8 @@ def files_by_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {FILES} SELECT dir, name, size, row_number() OVER (PARTITION BY dir ORDER BY name, size) AS position FROM files")
 def files_in_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each file with its place in its folder: rows instead of one array a folder."""
-    place = F.row_number().over(Window.partitionBy("dir").orderBy("name", "size"))
-    return virtual_files(spark, sf_dir).select("dir", "name", "size", place.alias("position"))
+    """Each file with its place in its folder: rows instead of one array a folder, and no task that holds a folder."""
+    return stats.numbered_within(virtual_files(spark, sf_dir).select("dir", "name", "size"), ["dir"], "name", "size")
 
 
 @query(f"WITH s AS (SELECT o_orderkey, CAST(round(o_totalprice * pow(1024, o_orderkey % 5 - 1)) AS BIGINT) - 2000 AS size FROM orders) SELECT o_orderkey, size, {size_sql('size')} AS size_str FROM s")

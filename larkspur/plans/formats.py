@@ -80,6 +80,16 @@ def tree_node_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.from_node_array(trees.to_node_array(nodes, "tree"), "tree", "text")
 
 
+@query(f"WITH {_TREES} SELECT a.tree, (['indented', 'xml', 'node_array'])[a.tree % 3 + 1] AS form, a.topic, b.topic AS under, count(*) AS n FROM up a LEFT JOIN up b ON b.tree = a.tree AND b.position = a.parent GROUP BY ALL")
+def tree_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's tree written in one of three formats and read back by the format's name."""
+    form = F.element_at(F.array(*map(F.lit, trees.FORMATS)), (F.col("tree") % 3 + 1).cast("int"))
+    texts = trees.write_trees(trees.with_parents(order_trees(spark, sf_dir).withColumn("form", form), "tree"), "tree", "form")
+    back = trees.read_trees(texts, "tree", "text", "form")
+    above = back.select("tree", F.col("id").alias("parent"), F.col("topic").alias("under"))
+    return back.join(above, ["tree", "parent"], "left").groupBy("tree", form.alias("form"), "topic", "under").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {_TREES} SELECT tree, count(*) FILTER (depth <= 1) AS shown, max(depth) AS deepest FROM nodes GROUP BY 1")
 def tree_expand_to_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_trees(spark, sf_dir).groupBy("tree").agg(F.count_if(F.col("depth") <= 1).alias("shown"), F.max("depth").alias("deepest"))

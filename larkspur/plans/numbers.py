@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import pi
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,3 +131,36 @@ w AS (SELECT k, arg_max({{'a': x, 'b': b}}, (b - x, b > 180, -x)) AS g FROM g GR
 SELECT k, CASE WHEN g.b >= 180 THEN g.b - 360 ELSE g.b END AS x0, y0, g.a AS x1, y1 FROM w JOIN e USING (k)""")
 def geo_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.sphere_bounds(_places(spark, sf_dir), "k")
+
+
+# A ring for each nation, round a middle near the date line; those of odd nations run the other way.
+_RINGS = """c AS (SELECT c_nationkey AS k, c_custkey AS i, 2 * pi() * c_custkey / (SELECT count(*) + 1.0 FROM customer) * CASE WHEN c_nationkey % 2 = 0 THEN 1 ELSE -1 END AS t, 0.6 + c_custkey * 37 % 100 / 250.0 AS r FROM customer),
+p AS (SELECT k, i, 170 + k + 30 * r * cos(t) AS x, 10 + 20 * r * sin(t) AS y FROM c), w AS (SELECT k, i, radians(x) AS x, radians(y) AS y FROM p)"""
+
+
+def _rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    # One row: the number of customers.
+    c = c.crossJoin(F.broadcast(c.agg((F.count("*") + 1.0).alias("n"))))
+    k, i = F.col("c_nationkey"), F.col("c_custkey")
+    t, r = 2 * pi * i / F.col("n") * F.when(k % 2 == 0, 1).otherwise(-1), F.lit(0.6) + i * 37 % 100 / 250.0
+    return c.select(k.alias("k"), i.alias("i"), (k + 170 + 30 * r * F.cos(t)).alias("x"), (10 + 20 * r * F.sin(t)).alias("y"))
+
+
+@query(f"""WITH {_RINGS}, u AS (SELECT k, i, cos(y) * cos(x) AS a, cos(y) * sin(x) AS b, sin(y) AS c, radians(196.0) AS px, radians(18.0) AS py FROM w),
+f AS (SELECT k, i, -(cos(py) * cos(px) * a + cos(py) * sin(px) * b + sin(py) * c) AS s, atan2(sin(py) * cos(px) * a + sin(py) * sin(px) * b - cos(py) * c, -sin(px) * a + cos(px) * b) AS l FROM u),
+e AS (SELECT k, s, l, coalesce(lead(s) OVER o, first(s) OVER o2) AS s2, coalesce(lead(l) OVER o, first(l) OVER o2) - l AS d FROM f WINDOW o AS (PARTITION BY k ORDER BY i), o2 AS (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+g AS (SELECT k, sum(atan2(sin(d), cos(d))) AS turns, sum(2 * atan2((1 + s) * (1 + s2) * sin(d), sqrt(1 - s * s) * sqrt(1 - s2 * s2) + (1 + s) * (1 + s2) * cos(d))) AS area FROM e GROUP BY k)
+SELECT k, (abs(turns) > pi()) <> (area < 0) AS inside FROM g""")
+def geo_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each ring holds one place; the SQL turns the sphere until that place is a pole."""
+    return geometry.sphere_contains(_rings(spark, sf_dir), "k", "i", 196, 18)
+
+
+@query(f"""WITH {_RINGS}, e AS (SELECT k, i, x, y, lead(x) OVER o AS x2, lead(y) OVER o AS y2, first(x) OVER o2 AS x3, first(y) OVER o2 AS y3 FROM w WINDOW o AS (PARTITION BY k ORDER BY i), o2 AS (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+d AS (SELECT k, 2 * asin(sqrt(sin((y2 - y) / 2) ** 2 + cos(y) * cos(y2) * sin((x2 - x) / 2) ** 2)) AS open, 2 * asin(sqrt(sin((coalesce(y2, y3) - y) / 2) ** 2 + cos(y) * cos(coalesce(y2, y3)) * sin((coalesce(x2, x3) - x) / 2) ** 2)) AS closed FROM e)
+SELECT k, round(sum(open), 6) AS line, round(sum(closed), 6) AS ring FROM d GROUP BY k""")
+def geo_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rings = _rings(spark, sf_dir)
+    line, ring = (geometry.sphere_length(rings, "k", "i", closed).select("k", F.round("length", 6).alias(name)) for name, closed in (("line", False), ("ring", True)))
+    return line.join(ring, "k")

@@ -269,6 +269,57 @@ def chord_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return angles.select("source", "target", F.round("value", 2).alias("value"), *(F.round(c, 6).alias(c) for c in ("group_start", "group_end", "start_angle", "end_angle")))
 
 
+_FLOWS = "f AS (SELECT s_nationkey AS source, c_nationkey AS target, sum(l_extendedprice) AS value FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"
+_ARCS = """n AS (SELECT DISTINCT unnest([source, target]) AS node FROM f), g AS (SELECT node, coalesce((SELECT sum(value) FROM parts WHERE parts.node = n.node), 0) AS own FROM n),
+k AS (SELECT node, (2 * pi() - 0.01 * count(*) OVER ()) / sum(own) OVER () AS k, sum(own) OVER (ORDER BY node) - own AS before, 0.01 * (row_number() OVER (ORDER BY node) - 1) AS gaps FROM g),
+a AS (SELECT node, other, way, value, before * k + gaps + k * (sum(value) OVER w - value) AS s, before * k + gaps + k * sum(value) OVER w AS e FROM parts JOIN k USING (node) WINDOW w AS (PARTITION BY node ORDER BY way, CASE WHEN way = 0 THEN -other END, other))"""
+
+
+def _ribbons(rows: DataFrame) -> DataFrame:
+    angles = (F.round(f"{end}_{side}", 6).alias(f"{end}_{side}") for end in ("source", "target") for side in ("start", "end"))
+    return rows.select("source", "target", F.round("value", 2).alias("value"), F.round("back", 2).alias("back"), *angles)
+
+
+@query(f"""WITH {_FLOWS}, parts AS (SELECT node, other, 1 AS way, sum(value) AS value FROM (SELECT source AS node, target AS other, value FROM f UNION ALL SELECT target, source, 0 FROM f) GROUP BY ALL), {_ARCS},
+m AS (SELECT x.*, y.value AS back, y.s AS s2, y.e AS e2 FROM a x JOIN a y ON y.node = x.other AND y.other = x.node WHERE x.value > y.value OR (x.value = y.value AND x.node <= y.node))
+SELECT node AS source, other AS target, round(value, 2) AS value, round(back, 2) AS back, round(s, 6) AS source_start, round(e, 6) AS source_end, round(s2, 6) AS target_start, round(e2, 6) AS target_end FROM m""")
+def chord_ribbons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ribbons(hierarchy.chords(_trade(spark, sf_dir), 0.01))
+
+
+@query(f"""WITH raw AS (WITH {_FLOWS} SELECT * FROM f), f AS (SELECT target AS source, source AS target, value FROM raw), parts AS (SELECT source AS node, target AS other, 1 AS way, value FROM f UNION ALL SELECT target, source, 0, value FROM f), {_ARCS}
+SELECT x.node AS source, x.other AS target, round(x.value, 2) AS value, CAST(NULL AS DOUBLE) AS back, round(x.s, 6) AS source_start, round(x.e, 6) AS source_end, round(y.s, 6) AS target_start, round(y.e, 6) AS target_end
+FROM a x JOIN a y ON y.node = x.other AND y.other = x.node WHERE x.way = 1 AND y.way = 0""")
+def chord_directed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flows turned over, each a ribbon of its own."""
+    return _ribbons(hierarchy.chords(_trade(spark, sf_dir), 0.01, directed=True, transposed=True))
+
+
+@query(f"WITH RECURSIVE {_NODES}, {_UP} SELECT ancestor AS top, id, CASE WHEN distance > 0 THEN parent END AS parent, distance AS depth, v FROM up JOIN nodes USING (id) WHERE ancestor LIKE 'r%'")
+def hier_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each region with all below it as a tree of its own."""
+    t = tree_nodes(spark, sf_dir)
+    return hierarchy.subtrees(t, hierarchy.closure(t), t.where(F.col("id").startswith("r")))
+
+
+@query("""WITH p AS (SELECT 'web/pages/' || regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '/$', '') AS path FROM pages), c AS (SELECT path AS id, count(*) AS n FROM p GROUP BY 1), s AS (SELECT id, string_split(id, '/') AS parts FROM c),
+e AS (SELECT DISTINCT unnest(list_transform(range(0, len(parts) + 1), lambda i: array_to_string(parts[1:i], '/'))) AS id FROM s),
+t AS (SELECT id, CASE WHEN id <> '' THEN regexp_extract(id, '^(.*)/[^/]*$', 1) END AS parent, CAST(CASE WHEN id = '' THEN 0 ELSE len(string_split(id, '/')) END AS BIGINT) AS depth, n IS NULL AS imputed, coalesce(n, 0) AS n FROM e LEFT JOIN c USING (id)),
+k AS (SELECT parent AS id, count(*) AS k FROM t GROUP BY 1), d AS (SELECT min(depth) AS top FROM t LEFT JOIN k USING (id) WHERE NOT (imputed AND coalesce(k, 0) = 1))
+SELECT id, CASE WHEN depth > top THEN parent END AS parent, depth - top AS depth, imputed, n FROM t, d WHERE depth >= top""")
+def stratify_path_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages below two folders that hold nothing else: the first folder that branches is the root."""
+    paths = table(spark, sf_dir, "pages").select(F.concat(F.lit("web/pages/"), F.regexp_replace("url", "^[a-z]+://", "")).alias("path"))
+    return hierarchy.without_imputed_top(hierarchy.from_paths(paths))
+
+
+@query("SELECT 'n' || c_nationkey AS parent, CASE WHEN count(*) > 1 AND count(*) FILTER (c_acctbal < 4500) * 2 < count(*) THEN 'left' ELSE 'right' END AS side FROM customer GROUP BY 1")
+def next_child_side(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations whose poorer customers stand on the left."""
+    c = table(spark, sf_dir, "customer")
+    return hierarchy.next_side(c.select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("parent"), F.when(F.col("c_acctbal") < 4500, "left").alias("side")))
+
+
 def _polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("label", "vec_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
 

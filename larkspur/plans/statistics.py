@@ -151,7 +151,7 @@ def bin_small_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT s_suppkey, s_nationkey, rank() OVER (PARTITION BY s_nationkey ORDER BY round(s_acctbal / 1000)) - 1 AS rank FROM supplier")
 def rank_0(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
-    return s.select("s_suppkey", "s_nationkey", windows.rank(F.round(F.col("s_acctbal") / 1000), Window.partitionBy("s_nationkey")).alias("rank"))
+    return stats.ranked(s.select("s_suppkey", "s_nationkey", F.round(F.col("s_acctbal") / 1000).alias("x")), ["s_nationkey"], "x").drop("x")
 
 
 @query("SELECT event_id, user_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS total FROM events")
@@ -229,8 +229,8 @@ def topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment, c_acctbal DESC, c_custkey) AS position FROM customer")
 def sort_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by = Window.partitionBy("c_nationkey").orderBy("c_mktsegment", F.desc("c_acctbal"), "c_custkey")
-    return table(spark, sf_dir, "customer").select("c_custkey", F.row_number().over(by).cast("long").alias("position"))
+    rows = table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment", "c_acctbal", "c_custkey")
+    return stats.numbered_within(rows, ["c_nationkey"], "c_mktsegment", F.desc("c_acctbal"), "c_custkey").select("c_custkey", "position")
 
 
 @query("SELECT r_name, n_name FROM region, nation")
