@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 from math import pi
 
@@ -211,3 +212,16 @@ def next_side(children: DataFrame) -> DataFrame:
     left = F.sum(F.when(F.col("side") == "left", 1).otherwise(0))
     n = F.count(F.lit(1))
     return children.groupBy("parent").agg(F.when((n > 1) & (left < n - left), "left").otherwise("right").alias("side"))
+
+
+def shown(nodes: DataFrame) -> DataFrame:
+    """The rows of `nodes` (id, parent, expanded) that a tree view shows: the roots, and the children of those shown and expanded (null: not).
+
+    One join a level with the rows shown on the one above, so what lies below a closed node is never followed.
+    """
+    level, out = nodes.where("parent is null"), []
+    while not out or not level.isEmpty():
+        out.append(level)
+        open_ = level.where("expanded").select(F.col("id").alias("above"))
+        level = checkpointed(nodes.join(open_, F.col("parent") == F.col("above"), "left_semi"))
+    return reduce(DataFrame.unionByName, out)

@@ -40,6 +40,12 @@ def disk_totals(disks: DataFrame, order: str) -> DataFrame:
     return out.withColumn("percent", percent(F.col("used"), F.col("total")))
 
 
+def uptime(now: Column, started: Column) -> Column:
+    """Whole seconds since the start, cut off towards zero."""
+    micros = F.unix_micros(now.cast("timestamp")) - F.unix_micros(started.cast("timestamp"))
+    return (micros / 1000000).cast("long")
+
+
 def counter_rate(samples: DataFrame, host: str, at: str, total: str, tie: str) -> DataFrame:
     """`samples` with rate: growth of a counter per second since the host's sample before; 0 for the first and where no time has passed."""
     w = Window.partitionBy(host).orderBy(at, tie)

@@ -149,6 +149,20 @@ def disk_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.busiest_partition(_disks(spark, sf_dir), "s_suppkey").select("physical_id", "device", "s_suppkey", "used", "total", "percent")
 
 
+@query("""WITH d AS (SELECT *, CASE WHEN s_nationkey % 3 = 0 THEN 'nvme' || s_nationkey || 'n1p' || s_suppkey % 2 WHEN s_nationkey % 3 = 1 THEN 'disk' || s_nationkey || 's1' ELSE 'sda' || s_nationkey END AS device,
+abs(s_acctbal) AS used, CAST(10000 + s_suppkey % 3 AS DOUBLE) AS total FROM supplier), r AS (SELECT *, row_number() OVER (PARTITION BY device ORDER BY round_even(100 * used / total, 1) DESC, s_suppkey) AS r FROM d)
+SELECT sum(total) AS total, round(sum(used), 2) AS used, round_even(100 * sum(used) / sum(total), 1) AS percent FROM r WHERE r = 1""")
+def disk_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telemetry.disk_totals(_disks(spark, sf_dir), "s_suppkey").withColumn("used", F.round("used", 2))
+
+
+@query("SELECT user_id, event_type, CAST(trunc((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6) AS BIGINT) AS uptime FROM events GROUP BY ALL")
+def uptime_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the first to the last event of each kind of every user."""
+    ends = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    return ends.select("user_id", "event_type", telemetry.uptime(F.col("b"), F.col("a")).alias("uptime"))
+
+
 def _disks(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("s_nationkey")
     device = F.when(n % 3 == 0, F.concat(F.lit("nvme"), n, F.lit("n1p"), F.col("s_suppkey") % 2)).when(n % 3 == 1, F.concat(F.lit("disk"), n, F.lit("s1"))).otherwise(F.concat(F.lit("sda"), n))

@@ -119,3 +119,12 @@ def word_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five most frequent words for every beginning of a word."""
     found = word_places.places(table(spark, sf_dir, "documents"), "doc_id", "text")
     return word_places.completions(found.groupBy("word").agg(F.sum(F.size("numbers")).cast("long").alias("n")), 5)
+
+
+@query(r"""WITH t AS (SELECT doc_id, string_split_regex(coalesce(text, ''), '\r\n|\n|\r') AS l, source FROM documents), n AS (SELECT doc_id, len(l) AS n, coalesce(source, '') AS source FROM t)
+SELECT doc_id, CAST(n + 1 AS BIGINT) AS line, 'part ' || source AS title FROM n UNION ALL SELECT doc_id, CAST(n + 3 AS BIGINT), 'tail' FROM n""")
+def section_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with two marks and a line between them after its text."""
+    docs = table(spark, sf_dir, "documents")
+    marked = F.concat(F.coalesce("text", F.lit("")), F.lit("\n// MARK: - part "), F.coalesce("source", F.lit("")), F.lit("\nno mark\n  #region tail"))
+    return text.section_marks(docs.select("doc_id", marked.alias("text")), "doc_id", "text")

@@ -95,6 +95,15 @@ def tree_expand_to_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_trees(spark, sf_dir).groupBy("tree").agg(F.count_if(F.col("depth") <= 1).alias("shown"), F.max("depth").alias("deepest"))
 
 
+@query(f"""WITH {_TREES}, b AS (SELECT tree, position, CASE WHEN position % 5 = 2 THEN depth + 2 WHEN position % 7 = 6 THEN 0 ELSE depth END AS depth FROM nodes), w AS (SELECT *, lag(depth) OVER (PARTITION BY tree ORDER BY position) AS was FROM b)
+SELECT tree, CASE WHEN depth = 0 THEN 'root' ELSE 'gap' END AS problem, position FROM w WHERE (depth = 0 AND was IS NOT NULL) OR depth > coalesce(was, -1) + 1""")
+def tree_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trees of orders with some lines moved too deep and some to the top."""
+    k = F.col("position")
+    depth = F.when(k % 5 == 2, F.col("depth") + 2).when(k % 7 == 6, 0).otherwise(F.col("depth"))
+    return trees.tree_problems(order_trees(spark, sf_dir).withColumn("depth", depth), "tree")
+
+
 _JSON = """j AS (SELECT event_id, '{"id":' || event_id || ',"type":"' || event_type || '","tags":["x",null,' || (event_id % 2 = 0) || '],"inner":{"props":' || props || ',"none":{},"v":' || user_id || '}}' AS js FROM events)"""
 
 

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from larkspur.functions import formatting, numbers, scales, timeops
-from larkspur.operators import geometry, hierarchy, quadtree, siblings, stats
+from larkspur.operators import geometry, hierarchy, quadtree, siblings, stats, trees
 from larkspur.plans.registry import query
 from larkspur.plans.statistics import step_sql
-from larkspur.session import table
+from larkspur.session import checkpointed, table
 
 
 def _part(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -313,6 +313,29 @@ def stratify_path_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.without_imputed_top(hierarchy.from_paths(paths))
 
 
+@query(f"""WITH RECURSIVE {_NODES}, e AS (SELECT *, id = 'all' OR id LIKE 'r%' OR id IN (SELECT 'n' || n_nationkey FROM nation WHERE n_nationkey % 2 = 1) AS expanded FROM nodes),
+t AS (SELECT * FROM e WHERE parent IS NULL UNION ALL SELECT e.* FROM e JOIN t ON e.parent = t.id WHERE t.expanded) SELECT id, parent, expanded FROM t""")
+def hier_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customer tree with every other nation closed."""
+    id = F.col("id")
+    odd = F.substring(id, F.lit(2), F.length(id)).cast("long") % 2 == 1
+    expanded = (id == "all") | id.startswith("r") | F.when(id.startswith("n"), odd).otherwise(False)
+    return hierarchy.shown(tree_nodes(spark, sf_dir).select("id", "parent", expanded.alias("expanded")))
+
+
+@query(f"""WITH {_NODES}, moved AS (SELECT id, CASE WHEN id IN (SELECT 'c' || c_custkey FROM customer WHERE c_custkey % 4 = 0) THEN 'n' || (CAST(substr(parent, 2) AS INT) + 1) % 25 ELSE parent END AS parent FROM nodes)
+SELECT id, parent FROM moved WHERE id NOT IN ('n3', 'n7') AND coalesce(parent, '') NOT IN ('n3', 'n7')""")
+def tree_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth customer goes to the next nation; nations, asked to go below one of their own, stay; two nations are removed with all they then have."""
+    c, nodes = table(spark, sf_dir, "customer"), tree_nodes(spark, sf_dir).select("id", "parent")
+    name = lambda letter, k: F.concat(F.lit(letter), k.cast("string"))
+    moves = c.where("c_custkey % 4 = 0").select(name("c", F.col("c_custkey")).alias("id"), name("n", (F.col("c_nationkey") + 1) % 25).alias("to"))
+    within = c.groupBy(name("n", F.col("c_nationkey")).alias("id")).agg(F.min(name("c", F.col("c_custkey"))).alias("to"))
+    moved = checkpointed(trees.move(nodes, hierarchy.closure(nodes), moves.unionByName(within)))
+    gone = table(spark, sf_dir, "nation").where("n_nationkey in (3, 7)").select(name("n", F.col("n_nationkey")).alias("id"))
+    return trees.remove(moved, hierarchy.closure(moved), gone)
+
+
 @query("SELECT 'n' || c_nationkey AS parent, CASE WHEN count(*) > 1 AND count(*) FILTER (c_acctbal < 4500) * 2 < count(*) THEN 'left' ELSE 'right' END AS side FROM customer GROUP BY 1")
 def next_child_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations whose poorer customers stand on the left."""

@@ -69,6 +69,12 @@ def test_links_subtrees_and_tops(spark):
     assert got == [("a", "a", None, 0, 2), ("a", "b", "a", 1, 3), ("a", "c", "b", 2, 4), ("b", "b", None, 0, 3), ("b", "c", "b", 1, 4)]
 
 
+def test_shown(spark):
+    t = spark.createDataFrame([("r", None, True), ("a", "r", False), ("b", "r", True), ("c", "a", True), ("d", "b", None), ("e", "d", True)], "id string, parent string, expanded boolean")
+    assert sorted(r.id for r in hierarchy.shown(t).collect()) == ["a", "b", "d", "r"]
+    assert hierarchy.shown(t.where("false")).collect() == []
+
+
 @pytest.mark.parametrize(
     ("paths", "want"),
     [
