@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
-from larkspur.functions.formatting import valid
+from larkspur.operators.hierarchy import by_level, totals
 from larkspur.session import checkpointed
 
 GOLDEN = (1 + sqrt(5)) / 2
@@ -20,34 +20,6 @@ TILES = ("squarify", "dice", "slice", "slicedice")
 _CORNERS = ("x0", "y0", "x1", "y1")
 
 
-def by_level(nodes: DataFrame) -> list[DataFrame]:
-    """The roots, their children, and so on: one join a level, however many. Nodes that no root reaches (problems() names them) are in none."""
-    nodes, out = checkpointed(nodes), []
-    level = nodes.where("parent is null")
-    while not level.isEmpty():
-        out.append(level)
-        level = checkpointed(nodes.join(level.select(F.col("id").alias("above")), nodes.parent == F.col("above"), "left_semi"))
-    return out
-
-
-def totals(levels: list[DataFrame], value: str) -> list[DataFrame]:
-    """Each level as id, parent, depth, total, n_leaves: a node's own value (null and NaN count 0) with those of all below it, and its leaves.
-
-    Summed from the deepest level up, so that every node is summed once, and by parents before the shuffle.
-    """
-    out: list[DataFrame] = []
-    for depth in reversed(range(len(levels))):
-        own = F.coalesce(valid(F.col(value).cast("double")), F.lit(0.0))
-        level = levels[depth].select("id", "parent", F.lit(depth).cast("long").alias("depth"), own.alias("total"))
-        if out:
-            below = out[0].groupBy(F.col("parent").alias("its")).agg(F.sum("total").alias("under"), F.sum("n_leaves").alias("leaves"))
-            level = level.join(below, level.id == below.its, "left").select("id", "parent", "depth", (F.col("total") + F.coalesce("under", F.lit(0.0))).alias("total"), F.coalesce("leaves", F.lit(1)).alias("n_leaves"))
-        else:
-            level = level.withColumn("n_leaves", F.lit(1).cast("long"))
-        out.insert(0, checkpointed(level))
-    return out
-
-
 def rectangles(nodes: DataFrame, value: str, width: float, height: float, tile: str = "squarify", ratio: float = GOLDEN) -> DataFrame:
     """id, parent, depth, total, x0, y0, x1, y1: a treemap. Each node's area is its share of the whole, and it lies within its parent's.
 

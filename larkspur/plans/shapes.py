@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -188,8 +190,8 @@ def hier_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {_NODES}, {_UP} SELECT ancestor AS id, round(sum(v), 2) AS total, count(*) FILTER (up.id NOT IN (SELECT parent FROM nodes WHERE parent IS NOT NULL)) AS n_leaves FROM up JOIN nodes ON nodes.id = up.id GROUP BY 1")
 def hier_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tree_nodes(spark, sf_dir)
-    return hierarchy.subtree_sum(t, hierarchy.closure(t), "v").select("id", F.round("total", 2).alias("total"), "n_leaves")
+    levels = hierarchy.totals(hierarchy.by_level(tree_nodes(spark, sf_dir)), "v")
+    return reduce(DataFrame.unionByName, levels).select("id", F.round("total", 2).alias("total"), "n_leaves")
 
 
 @query(f"""WITH RECURSIVE {_NODES}, {_UP}, p AS (SELECT 'c' || c_custkey AS a, 'c' || (c_custkey + 1) AS b FROM customer),
