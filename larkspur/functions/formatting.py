@@ -17,9 +17,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def even(x: Column, digits: int) -> Column:
+    """Rounded to `digits` places by the double moved by as many, its ties to even: 1.015, which lies below the tie, is 1.01."""
+    return F.rint(x * 10.0**digits) / 10.0**digits
+
+
 def fixed(x: Column, digits: int) -> Column:
     """Decimal text with `digits` places, exact ties to even."""
-    return F.format_string(f"%.{digits}f", F.bround(x, digits))
+    return F.format_string(f"%.{digits}f", even(x, digits))
 
 
 def format_size(size: Column) -> Column:
@@ -51,7 +56,7 @@ def si_number(x: Column, digits: int = 3) -> Column:
     _, scaled, places = shape(power)
     carried = F.lit(False)
     for p in range(digits):
-        carried = F.when(places == p, F.bround(F.abs(scaled), p) >= 10 ** (digits - p)).otherwise(carried)
+        carried = F.when(places == p, even(F.abs(scaled), p) >= 10 ** (digits - p)).otherwise(carried)
     group, scaled, places = shape(power + carried.cast("int"))
     text = F.lit(None).cast("string")
     for p in range(digits - 1, -1, -1):
@@ -62,7 +67,7 @@ def si_number(x: Column, digits: int = 3) -> Column:
 
 def grouped_number(x: Column, digits: int = 2) -> Column:
     """Fixed-point text with commas between thousands."""
-    return F.format_number(F.bround(x, digits), digits)
+    return F.format_number(x, digits)
 
 
 def is_date(t: Column) -> Column:
