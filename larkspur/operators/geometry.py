@@ -173,21 +173,21 @@ def sphere_between(x1: Column, y1: Column, x2: Column, y2: Column, t: Column) ->
 
 
 def sphere_contains(points: DataFrame, key: str, order: str, x: float, y: float) -> DataFrame:
-    """key, inside: whether a place (degrees) lies in each ring (key, order, x and y in degrees) of great arcs that don't cross one another.
+    """key, inside: whether a place (degrees) lies in each ring (key, order, x and y in degrees) of great arcs; of a ring that crosses itself, what it winds round is inside.
 
-    The inside is that of sphere_area(): a ring run through the other way round has the rest of the sphere. Whether the south
-    pole is inside follows from the ring's turns and signed area; from there each edge met on the meridian to the place
-    changes sides. Every edge is looked at once, and sums before the shuffle.
+    The inside is that of sphere_area(): a ring run through the other way round has the rest of the sphere. The sphere is
+    turned until the place is the south pole; whether that is inside follows from the ring's turns about it and its signed
+    area. Every edge is looked at once, and sums before the shuffle.
     """
-    turn = lambda a: F.pmod(a + pi, F.lit(2 * pi)) - pi
-    half = lambda d: F.tan(F.radians(d) / 2 + pi / 4)
-    step, both = turn(F.radians(F.col("to.x") - F.col("x"))), half(F.col("y")) * half(F.col("to.y"))
-    excess = 2 * F.atan2(both * F.sin(step), 1 + both * F.cos(step))
-    # The place's meridian lies between the ends of an edge, which meets it below the place.
-    here, there = turn(F.radians(F.col("x") - x)), turn(F.radians(F.col("to.x") - x))
-    spans = ((here < 0) != (there < 0)) & (F.abs(here - there) < pi)
-    level = (F.tan(F.radians(F.col("y"))) * F.sin(there) - F.tan(F.radians(F.col("to.y"))) * F.sin(here)) / F.sin(there - here)
-    met = F.coalesce(spans & (F.atan(level) < F.radians(F.lit(float(y)))), F.lit(False))
-    sums = _edges(points, key, order).groupBy(key).agg(F.sum(step).alias("turns"), F.sum(excess).alias("area"), F.sum(met.cast("long")).alias("crossed"))
-    pole = (F.abs("turns") > pi) != (F.col("area") < 0)
-    return sums.select(key, (pole != (F.col("crossed") % 2 == 1)).alias("inside"))
+    lon, lat = F.radians(F.lit(float(x))), F.radians(F.lit(float(y)))
+    u, v, w = (F.cos(F.radians("y")) * F.cos(F.radians("x")), F.cos(F.radians("y")) * F.sin(F.radians("x")), F.sin(F.radians("y")))
+    away = F.cos(lat) * F.cos(lon) * u + F.cos(lat) * F.sin(lon) * v + F.sin(lat) * w
+    round_it = F.atan2(F.sin(lat) * F.cos(lon) * u + F.sin(lat) * F.sin(lon) * v - F.cos(lat) * w, F.cos(lon) * v - F.sin(lon) * u)
+    # x: the longitude seen from the place; y: the sine of the latitude, kept within its bounds.
+    turned = points.select(key, order, round_it.alias("x"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -away)).alias("y"))
+    step, both = F.col("to.x") - F.col("x"), (1 + F.col("y")) * (1 + F.col("to.y"))
+    level = F.sqrt(1 - F.col("y") * F.col("y")) * F.sqrt(1 - F.col("to.y") * F.col("to.y"))
+    sums = _edges(turned, key, order).groupBy(key).agg(
+        F.sum(F.atan2(F.sin(step), F.cos(step))).alias("turns"), F.sum(2 * F.atan2(both * F.sin(step), level + both * F.cos(step))).alias("area")
+    )
+    return sums.select(key, ((F.abs("turns") > pi) != (F.col("area") < 0)).alias("inside"))
