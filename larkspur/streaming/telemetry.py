@@ -6,6 +6,7 @@ import logging
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,19 +17,27 @@ from larkspur.session import ensure_checkpoint_dir
 RATES = "key string, at timestamp, rate double"
 
 
+#: Samples of one frame that _rates gives out.
+_FRAME = 100_000
+
+
 def _rates(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Rates of one counter; the state is its last sample."""
-    before = state.get if state.exists else None
-    for frame in frames:
-        frame = frame.sort_values(["at", "total"], kind="stable")
-        at, total = frame["at"], frame["total"].astype(float)
-        last_at, last = at.shift(), total.shift()
-        if before is not None:
-            last_at.iloc[0], last.iloc[0] = pd.Timestamp(before[0], unit="us"), before[1]
-        passed = (at - last_at).dt.total_seconds()
-        yield pd.DataFrame({"key": key[0], "at": at, "rate": ((total - last) / passed).where(passed > 0, 0.0).fillna(0.0)})
-        before = int(at.iloc[-1].value // 1000), float(total.iloc[-1])
-    state.update(before)
+    """Rates of one counter; the state is its last sample. Its samples of a batch come in any order and in several frames: they are held as two numbers each until all are there."""
+    parts = [(frame["at"].to_numpy("datetime64[us]"), frame["total"].to_numpy(float)) for frame in frames]
+    at, total = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.lexsort((total, at))
+    at, total = at[order], total[order]
+    if state.exists:
+        last_at, last = state.get
+        before, old = np.concatenate(([np.datetime64(last_at, "us")], at[:-1])), np.concatenate(([last], total[:-1]))
+    else:
+        before, old = np.concatenate((at[:1], at[:-1])), np.concatenate((total[:1], total[:-1]))
+    passed = (at - before).astype(np.int64)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rate = np.nan_to_num(np.where(passed > 0, (total - old) / passed * 1e6, 0.0), nan=0.0, posinf=np.inf, neginf=-np.inf)
+    for k in range(0, len(at), _FRAME):
+        yield pd.DataFrame({"key": key[0], "at": at[k : k + _FRAME], "rate": rate[k : k + _FRAME]})
+    state.update((int(at[-1].astype(np.int64)), float(total[-1])))
 
 
 def counter_rates(samples: DataFrame, key: str, at: str, total: str) -> DataFrame:
