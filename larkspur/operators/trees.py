@@ -21,13 +21,12 @@ def with_parents(nodes: DataFrame, key: str) -> DataFrame:
     """Preorder rows with `parent`, the position of the last row before that is one level up (null at the top).
 
     Each row stands as a child on its own level and as a possible parent on the next; a running last over the
-    levels of a key finds the parents, so nothing is compared in pairs.
+    levels of a key finds the parents, so nothing is compared in pairs. Rows that are dealt by key stay where they are.
     """
-    child = nodes.withColumns({"__level": F.col("depth"), "__parent": F.lit(None).cast("long")})
-    above = nodes.withColumns({"__level": F.col("depth") + 1, "__parent": F.col("position")})
-    by = Window.partitionBy(key, "__level").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    both = child.unionByName(above).withColumn("parent", F.last("__parent", True).over(by))
-    return both.where("__parent is null").drop("__level", "__parent")
+    both = nodes.withColumn("__below", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("__level", F.col("depth") + F.col("__below"))
+    by = Window.partitionBy(key, "__level").orderBy("position", "__below").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("parent", F.last(F.when(F.col("__below") == 1, F.col("position")), True).over(by))
+    return both.where("__below = 0").drop("__level", "__below")
 
 
 def tree_problems(nodes: DataFrame, key: str) -> DataFrame:

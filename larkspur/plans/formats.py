@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from larkspur.functions import formatting
 from larkspur.operators import delimited, map_table, text, trees
 from larkspur.plans.registry import query
-from larkspur.session import table
+from larkspur.session import dealt, table
 
 _QUOTED = "CASE WHEN regexp_matches({0}, '[\",\r\n]') THEN '\"' || replace({0}, '\"', '\"\"') || '\"' ELSE {0} END"
 
@@ -47,14 +47,20 @@ up AS (SELECT a.tree, a.position, a.depth, a.topic, max(b.position) AS parent FR
 
 
 def order_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """tree, position, depth, topic in preorder: each order, its return flags, and its lines."""
-    l = table(spark, sf_dir, "lineitem")
-    line = F.concat(F.lit("line "), F.col("l_linenumber").cast("string"), F.lit(" <"), "l_linestatus", F.lit(">"))
-    leaf = l.select(F.col("l_orderkey").alias("tree"), F.col("l_returnflag").alias("flag"), F.col("l_linenumber").alias("k"), F.lit(2).alias("depth"), line.alias("topic"))
-    flags = leaf.select("tree", "flag").distinct().select("tree", "flag", F.lit(0).alias("k"), F.lit(1).alias("depth"), F.col("flag").alias("topic"))
-    roots = leaf.select("tree").distinct().select("tree", F.lit("").alias("flag"), F.lit(0).alias("k"), F.lit(0).alias("depth"), F.concat(F.lit("o"), F.col("tree").cast("string")).alias("topic"))
-    place = F.row_number().over(Window.partitionBy("tree").orderBy("flag", "k", "topic")) - 1
-    return roots.unionByName(flags).unionByName(leaf).select("tree", place.cast("long").alias("position"), F.col("depth").cast("long").alias("depth"), "topic")
+    """tree, position, depth, topic in preorder: each order, its return flags, and its lines.
+
+    The lines are dealt by order once; the first line of an order or flag brings its node with it.
+    """
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("tree"), F.col("l_returnflag").alias("flag"), F.col("l_linenumber").alias("k"), F.col("l_linestatus").alias("status"))
+    by = Window.partitionBy("tree").orderBy("flag", "k", "status")
+    first = F.row_number().over(by) == 1
+    rows = dealt(l, "tree").select("*", F.row_number().over(by).alias("n"), (first | ~F.lag("flag").over(by).eqNullSafe(F.col("flag"))).alias("fresh"))
+    rows = rows.withColumn("at", F.col("n") + F.sum(F.col("fresh").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    node = lambda at, depth, topic: F.struct(at.cast("long").alias("position"), F.lit(depth).cast("long").alias("depth"), topic.alias("topic"))
+    line = F.concat(F.lit("line "), F.col("k").cast("string"), F.lit(" <"), "status", F.lit(">"))
+    root, flag, leaf = node(F.lit(0), 0, F.concat(F.lit("o"), F.col("tree").cast("string"))), node(F.col("at") - 1, 1, F.col("flag")), node(F.col("at"), 2, line)
+    nodes = F.when(F.col("n") == 1, F.array(root, flag, leaf)).when(F.col("fresh"), F.array(flag, leaf)).otherwise(F.array(leaf))
+    return rows.select("tree", F.inline(nodes))
 
 
 @query(f"WITH {_TREES} SELECT tree, string_agg(repeat('  ', depth) || topic, chr(10) ORDER BY position) AS text FROM nodes GROUP BY tree")
@@ -86,8 +92,11 @@ def tree_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     form = F.element_at(F.array(*map(F.lit, trees.FORMATS)), (F.col("tree") % 3 + 1).cast("int"))
     texts = trees.write_trees(trees.with_parents(order_trees(spark, sf_dir).withColumn("form", form), "tree"), "tree", "form")
     back = trees.read_trees(texts, "tree", "text", "form")
-    above = back.select("tree", F.col("id").alias("parent"), F.col("topic").alias("under"))
-    return back.join(above, ["tree", "parent"], "left").groupBy("tree", form.alias("form"), "topic", "under").agg(F.count("*").alias("n"))
+    # Each row stands as a child at its parent and before its own children, whose topic it gives them.
+    both = back.withColumn("above", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("node", F.when(F.col("above") == 1, F.col("id")).otherwise(F.col("parent")))
+    by = Window.partitionBy("tree", "node").orderBy(F.desc("above")).rowsBetween(Window.unboundedPreceding, 0)
+    under = both.withColumn("under", F.first(F.when(F.col("above") == 1, F.col("topic")), True).over(by)).where("above = 0")
+    return under.groupBy("tree", form.alias("form"), "topic", "under").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_TREES} SELECT tree, count(*) FILTER (depth <= 1) AS shown, max(depth) AS deepest FROM nodes GROUP BY 1")

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from math import pi
 
+import pyarrow.parquet as pq
+import pytest
 from oracle import assert_same
 from pyspark.sql import functions as F
 
 from larkspur.operators import geometry
 from larkspur.plans import ORACLES, QUERIES
+from larkspur.session import dealt
 
 
 def _holds(spark, tmp_path, name: str, **tables) -> None:
     """A query on tables of a test's own is what its SQL gives on them."""
     for table, df in tables.items():
-        df.toPandas().to_parquet(tmp_path / f"{table}.parquet")
+        pq.write_table(df.toArrow(), tmp_path / f"{table}.parquet")
     assert_same(QUERIES[name](spark, str(tmp_path)), ORACLES[name], str(tmp_path))
 
 
@@ -36,3 +39,20 @@ def test_prices_near_ties_are_rounded_as_in_sql(spark, tmp_path):
 def test_balances_near_zero_are_written_as_in_sql(spark, tmp_path):
     balances = [-0.04, -0.01, 0.0, 0.29, 0.79, -0.5, -5.0, 0.05, -999.85, 9999.8]
     _holds(spark, tmp_path, "number_specs", customer=spark.createDataFrame(list(enumerate(balances)), "c_custkey long, c_acctbal double"))
+
+
+def test_samples_of_a_counter_in_several_frames_keep_their_order(spark, tmp_path):
+    ids = spark.range(0, 25_000, 1, 1).select(F.col("id").alias("event_id"), (F.col("id") * 7919 % 25_000).alias("k"))
+    at = F.timestamp_micros(F.col("k") * 1_300_000).cast("timestamp_ntz")
+    _holds(spark, tmp_path, "stream_rate", events=ids.select("event_id", at.alias("ts"), F.lit(1).cast("long").alias("user_id"), (F.col("k") * 37 % 101 / 4).alias("value")))
+
+
+@pytest.mark.parametrize(("name", "shuffles"), [("tree_faults", 1), ("freemind_xml", 1), ("tree_node_array", 1), ("tree_indented_text", 1), ("tree_formats", 3)])
+def test_trees_are_shuffled_once_for_each_format(spark, name, shuffles):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == shuffles and plan.count("Exchange") == shuffles
+
+
+def test_shares_of_a_task_are_bounded(spark):
+    dealt_rows = dealt(spark.range(10_000), "id", rows=500)
+    assert dealt_rows.rdd.getNumPartitions() == 20 and dealt_rows.count() == 10_000
