@@ -47,9 +47,11 @@ def postings(found: DataFrame, key: str) -> DataFrame:
     """word, block, n_texts, texts: the texts (key, gaps) of each word in order of key; gaps are the word numbers, each less the one before.
 
     A word's texts are dealt to a block for each BLOCK of them, by the hash of the key, so no row holds those of a frequent word.
+    Only the words of more than one block are looked up, which are broadcast: one at most for each BLOCK words of texts.
     """
-    sizes = found.groupBy("word").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    rows = found.join(sizes, "word").select("word", F.pmod(F.xxhash64(key), F.col("blocks")).alias("block"), F.struct(F.col(key).alias("key"), _gaps(F.col("numbers")).alias("gaps")).alias("t"))
+    often = found.groupBy("word").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where("blocks > 1")
+    block = F.pmod(F.xxhash64(key), F.coalesce("blocks", F.lit(1).cast("long")))
+    rows = found.join(F.broadcast(often), "word", "left").select("word", block.alias("block"), F.struct(F.col(key).alias("key"), _gaps(F.col("numbers")).alias("gaps")).alias("t"))
     return rows.groupBy("word", "block").agg(F.count("*").alias("n_texts"), F.array_sort(F.collect_list("t")).alias("texts"))
 
 

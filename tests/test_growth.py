@@ -9,7 +9,7 @@ import pytest
 from oracle import assert_same
 from pyspark.sql import functions as F
 
-from larkspur.operators import geometry
+from larkspur.operators import geometry, word_places
 from larkspur.plans import ORACLES, QUERIES
 from larkspur.session import dealt
 
@@ -56,3 +56,11 @@ def test_trees_are_shuffled_once_for_each_format(spark, name, shuffles):
 def test_shares_of_a_task_are_bounded(spark):
     dealt_rows = dealt(spark.range(10_000), "id", rows=500)
     assert dealt_rows.rdd.getNumPartitions() == 20 and dealt_rows.count() == 10_000
+
+
+def test_frequent_words_do_not_meet_in_one_task(spark):
+    docs = spark.range(2500).select(F.col("id").alias("k"), F.concat(F.lit("the w"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("t"))
+    index = word_places.postings(word_places.places(docs, "k", "t"), "k")
+    assert "LeftOuter, BuildRight" in index._jdf.queryExecution().executedPlan().toString()
+    blocks = {(r.word, r.block): r.n_texts for r in index.collect()}
+    assert len([w for w, _ in blocks if w == "the"]) == 3 and sum(n for (w, _), n in blocks.items() if w == "the") == 2500 and len(blocks) == 2503
