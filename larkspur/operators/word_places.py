@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from pyspark.sql.window import Window
 
 #: Texts of one posting block, about.
 BLOCK = 1000
+#: Places after which those of the texts so far are handed on together.
+AT_ONCE = 50_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -22,17 +25,30 @@ def places(docs: DataFrame, key: str, text: str, pattern: str = "[a-z]+") -> Dat
     """
     kind = docs.schema[key].dataType.simpleString()
 
+    def made(keys: pa.Array, rows: list[int], words: list[str], numbers: list[int], starts: list[int]) -> pa.RecordBatch:
+        """The places of some texts' words, sorted by text and word; the sort keeps their order."""
+        codes = pa.array(words, pa.string()).dictionary_encode()
+        row = np.array(rows, np.int64)
+        group = row * (len(codes.dictionary) + 1) + codes.indices.to_numpy()
+        order = np.argsort(group, kind="stable")
+        first = np.flatnonzero(np.diff(group[order], prepend=-1))
+        ends = pa.array(np.append(first, len(order)), pa.int32())
+        lists = (pa.ListArray.from_arrays(ends, pa.array(np.array(v, np.int64)[order])) for v in (numbers, starts))
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(row[order[first]])), codes.dictionary.take(codes.indices.take(pa.array(order[first]))), *lists], [key, "word", "numbers", "starts"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = re.compile(pattern).finditer
         for batch in batches:
+            rows, words, numbers, starts = [], [], [], []
             for row in range(batch.num_rows):
-                at: dict[str, tuple[list[int], list[int]]] = {}
-                for n, m in enumerate(find(batch.column(1)[row].as_py() or "")):
-                    numbers, starts = at.setdefault(m[0], ([], []))
-                    numbers.append(n)
-                    starts.append(m.start())
-                own = batch.column(0).slice(row, 1).take(pa.array([0] * len(at), pa.int64()))
-                yield pa.RecordBatch.from_arrays([own, pa.array(list(at), pa.string()), *(pa.array([v[i] for v in at.values()], pa.list_(pa.int64())) for i in (0, 1))], [key, "word", "numbers", "starts"])
+                found = [(m[0], m.start()) for m in find(batch.column(1)[row].as_py() or "")]
+                rows += [row] * len(found)
+                words += [w for w, _ in found]
+                numbers += range(len(found))
+                starts += [at for _, at in found]
+                if len(rows) >= AT_ONCE or rows and row == batch.num_rows - 1:
+                    yield made(batch.column(0), rows, words, numbers, starts)
+                    rows, words, numbers, starts = [], [], [], []
 
     low = docs.select(key, F.translate(text, UPPER, UPPER.lower()).alias("low"))
     return low.mapInArrow(run, f"{key} {kind}, word string, numbers array<bigint>, starts array<bigint>")

@@ -64,3 +64,25 @@ def test_frequent_words_do_not_meet_in_one_task(spark):
     assert "LeftOuter, BuildRight" in index._jdf.queryExecution().executedPlan().toString()
     blocks = {(r.word, r.block): r.n_texts for r in index.collect()}
     assert len([w for w, _ in blocks if w == "the"]) == 3 and sum(n for (w, _), n in blocks.items() if w == "the") == 2500 and len(blocks) == 2503
+
+
+def test_words_of_many_texts_are_handed_on_together(spark):
+    class Docs:
+        """Stands for a table: keeps what each batch is turned into."""
+
+        def __init__(self, df):
+            self.df, self.schema = df, df.schema
+
+        def select(self, *columns):
+            return Docs(self.df.select(*columns))
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return list(run(iter(self.df.toArrow().combine_chunks().to_batches())))
+
+    docs = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, F.concat(F.lit("The a the "), F.repeat(F.lit("b "), (F.col("id") % 50).cast("int")))).alias("t"))
+    made = word_places.places(Docs(docs.coalesce(1)), "id", "t")
+    assert len(made) < 10 and sum(b.num_rows for b in made) == 3 * 2000 - 40
+    assert all(b.num_rows for b in made)
+    got = {(r["id"], r["word"]): (r["numbers"], r["starts"]) for b in made for r in b.to_pylist()}
+    assert got[4, "the"] == ([0, 2], [0, 6]) and got[4, "b"] == ([3, 4, 5, 6], [10, 12, 14, 16]) and (3, "the") not in got
+    assert {k for k, _ in got} == {k for k in range(3000) if k % 3}
