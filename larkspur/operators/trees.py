@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from larkspur.functions.formatting import xml_escape, xml_unescape
+from larkspur.operators import json_text
 from larkspur.session import checkpointed
 
 
@@ -119,27 +120,20 @@ def json_kind(value: Column) -> Column:
     return F.when(value.isNull(), "null").otherwise(out)
 
 
+def _canonical(text: str) -> Column:
+    """A JSON text as Spark writes it, null for what is no JSON."""
+    return F.to_json(F.try_parse_json(text))
+
+
 def flatten_json(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, path, depth, kind, value for every value within each JSON document, itself at "$".
 
     Members are addressed as .name, or ["name"] where the name is no plain word, and entries as [i]. value: text of what
-    is neither object nor array. A text that is no JSON has no rows. One step a level, all documents at once.
+    is neither object nor array. A text that is no JSON has no rows. Documents are opened where they are, nothing is shuffled.
+    A number beyond the doubles is the string "Infinity" or "-Infinity", as in Spark's to_json.
     """
-    spark = docs.sparkSession
-    level = docs.select(F.col(key).alias("__id"), F.lit("$").alias("path"), F.try_parse_json(text).alias("v")).where("v is not null")
-    out = []
-    for depth in count():
-        level = checkpointed(level.withColumn("kind", json_kind(F.col("v"))))
-        scalar = ~F.col("kind").isin("object", "array", "null")
-        out.append(level.select(F.col("__id").alias(key), "path", F.lit(depth).cast("long").alias("depth"), "kind", F.when(scalar, F.try_variant_get("v", "$", "string")).alias("value")))
-        inner = level.where(F.col("kind").isin("object", "array"))
-        if inner.isEmpty():
-            return reduce(DataFrame.unionByName, out)
-        parts = inner.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("__id", "path", "pos", F.col("key").alias("name"), "value")
-        plain = F.col("name").rlike("^[A-Za-z_$][A-Za-z0-9_$]*$")
-        step = F.when(F.col("name").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).when(plain, F.concat(F.lit("."), "name"))
-        step = step.otherwise(F.concat(F.lit('["'), F.replace(F.replace("name", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"]')))
-        level = parts.select("__id", F.concat("path", step).alias("path"), F.col("value").alias("v"))
+    whole = docs.select(key, _canonical(text).alias("__json"))
+    return whole.select(key, F.inline(F.arrow_udf(json_text.opened, "array<struct<path: string, depth: bigint, kind: string, value: string>>")("__json")))
 
 
 def json_root(text: Column) -> Column:
@@ -147,9 +141,6 @@ def json_root(text: Column) -> Column:
     return F.coalesce(json_kind(F.try_parse_json(text)).isin("object", "array") & F.try_parse_json(text).isNotNull(), F.lit(False))
 
 
-_QUOTED = r'\["(?:[^"\\]|\\.)*"\]'
-
-
 def _quote(text: Column) -> Column:
     """A text as a JSON string."""
     return F.regexp_replace(F.to_json(F.array(text)), r"(?s)^\[(.*)\]$", "$1")
@@ -164,32 +155,13 @@ def _gather(children: DataFrame, by: list[str], name: Column, order: Column) ->
 
 
 def unflatten_json(rows: DataFrame, key: str) -> DataFrame:
-    """key, text: the JSON documents whose values are rows as those of flatten_json (key, path, depth, kind, value); one step a level, deepest first.
+    """key, text: the JSON documents whose values are rows as those of flatten_json (key, path, depth, kind, value).
 
-    Members stand in order of their names. A document without a row of path "$" has no text.
+    Members stand in order of their names. A document without a row of path "$" has no text. The rows of a document are
+    gathered, as the document is one text, in one shuffle for all levels.
     """
-    quoted = F.regexp_extract("path", f"({_QUOTED})$", 1)
-    step = F.when(quoted != "", quoted).otherwise(F.regexp_extract("path", r"(\.[A-Za-z_$][A-Za-z0-9_$]*|\[[0-9]+\])$", 1))
-    inside = F.regexp_replace(F.regexp_replace(step, r'^\["|"\]$', ""), r"\\(.)", "$1")
-    name = F.when(step.startswith("."), F.substring(step, F.lit(2), F.length(step))).when(step.startswith('["'), inside)
-    index = F.when(step.rlike(r"^\[[0-9]+\]$"), F.regexp_extract(step, "([0-9]+)", 1).cast("long"))
-    plain = F.when(F.col("kind") == "null", "null").when(F.col("kind") == "string", _quote(F.col("value"))).otherwise(F.col("value"))
-    parent = F.when(F.col("depth") > 0, F.substring(F.col("path"), F.lit(1), F.length("path") - F.length(step)))
-    rows = checkpointed(rows.select(F.col(key).alias("__id"), "path", "depth", "kind", parent.alias("parent"), name.alias("name"), index.alias("index"), plain.alias("plain")))
-    below = None
-    for depth in range(rows.agg(F.max("depth")).first()[0] or 0, -1, -1):
-        level = rows.where(F.col("depth") == depth)
-        empty = F.when(F.col("kind") == "object", "{}").when(F.col("kind") == "array", "[]")
-        if below is None:
-            level = level.withColumn("json", F.coalesce(empty, "plain"))
-        else:
-            there = below.select(F.col("__id").alias("__its"), F.col("parent").alias("__up"), "object", "array")
-            level = level.join(there, level["__id"].eqNullSafe(there["__its"]) & (level.path == there["__up"]), "left")
-            level = level.withColumn("json", F.coalesce(F.when(F.col("kind") == "object", F.col("object")).when(F.col("kind") == "array", F.col("array")), empty, F.col("plain")))
-        if depth == 0:
-            return level.select(F.col("__id").alias(key), F.col("json").alias("text"))
-        below = checkpointed(_gather(level.select("__id", "parent", "name", "index", "json"), ["__id", "parent"], F.col("name"), F.struct("index", "name")))
-    return rows.select(F.col("__id").alias(key), F.col("plain").alias("text")).limit(0)
+    gathered = rows.groupBy(key).agg(F.collect_list(F.struct("path", "depth", "kind", "value")).alias("__rows"))
+    return gathered.select(key, F.explode(F.arrow_udf(json_text.built, "array<string>")("__rows")).alias("text"))
 
 
 def find_json(flat: DataFrame, matches: Callable[[DataFrame], Column], handle: Callable[[DataFrame], dict[str, Column]] | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from math import pi
 
 import pyarrow.parquet as pq
@@ -9,7 +10,7 @@ import pytest
 from oracle import assert_same
 from pyspark.sql import functions as F
 
-from larkspur.operators import geometry, word_places
+from larkspur.operators import geometry, trees, word_places
 from larkspur.plans import ORACLES, QUERIES
 from larkspur.session import dealt
 
@@ -86,3 +87,23 @@ def test_words_of_many_texts_are_handed_on_together(spark):
     got = {(r["id"], r["word"]): (r["numbers"], r["starts"]) for b in made for r in b.to_pylist()}
     assert got[4, "the"] == ([0, 2], [0, 6]) and got[4, "b"] == ([3, 4, 5, 6], [10, 12, 14, 16]) and (3, "the") not in got
     assert {k for k, _ in got} == {k for k in range(3000) if k % 3}
+
+
+def _steps(spark, name: str) -> tuple[int, bool]:
+    """Shuffles of a query's plan, and whether it reads what was written in between."""
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning"), "ExistingRDD" in plan
+
+
+def test_documents_are_rebuilt_in_one_shuffle(spark):
+    assert _steps(spark, "json_flatten") == (0, False)
+    assert _steps(spark, "json_rebuild") == (1, False)
+
+
+def test_names_that_end_in_line_ends_and_many_values_of_a_document(spark):
+    texts = ['{"k\\n":1,"k":{"\\n":[]}}', "[" + ",".join(map(str, range(120_000))) + "]", None, "{}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "k int, t string").coalesce(1)
+    flat = trees.flatten_json(docs, "k", "t")
+    assert dict(flat.groupBy("k").count().collect()) == {0: 4, 1: 120_001, 3: 1}
+    got = {r.k: json.loads(r.text) for r in trees.unflatten_json(flat, "k").collect()}
+    assert got == {k: json.loads(t) for k, t in enumerate(texts) if t}
