@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
-from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +14,6 @@ from pyspark.sql.window import Window
 
 from larkspur.functions.formatting import xml_escape, xml_unescape
 from larkspur.operators import json_text
-from larkspur.session import checkpointed
 
 
 def with_parents(nodes: DataFrame, key: str) -> DataFrame:
@@ -141,19 +139,6 @@ def json_root(text: Column) -> Column:
     return F.coalesce(json_kind(F.try_parse_json(text)).isin("object", "array") & F.try_parse_json(text).isNotNull(), F.lit(False))
 
 
-def _quote(text: Column) -> Column:
-    """A text as a JSON string."""
-    return F.regexp_replace(F.to_json(F.array(text)), r"(?s)^\[(.*)\]$", "$1")
-
-
-def _gather(children: DataFrame, by: list[str], name: Column, order: Column) -> DataFrame:
-    """`by`, n, object, array: the JSON of an object and of an array of the rows of each parent; the text of one document's part is gathered, as the document is one text."""
-    parts = F.array_sort(F.collect_list(F.struct(order.alias("at"), name.alias("name"), F.col("json"))))
-    both = children.groupBy(*by).agg(parts.alias("p"))
-    member = lambda c: F.concat(_quote(c["name"]), F.lit(":"), c["json"])
-    return both.select(*by, F.concat(F.lit("{"), F.array_join(F.transform("p", member), ","), F.lit("}")).alias("object"), F.concat(F.lit("["), F.array_join("p.json", ","), F.lit("]")).alias("array"))
-
-
 def unflatten_json(rows: DataFrame, key: str) -> DataFrame:
     """key, text: the JSON documents whose values are rows as those of flatten_json (key, path, depth, kind, value).
 
@@ -174,35 +159,15 @@ def merge_json(target: DataFrame, source: DataFrame, key: str, text: str) -> Dat
     """key, text: each document of `target` with that of `source` merged into it: members of both that are objects are merged in turn, of others the source's counts, arrays too, and null is a value.
 
     A document of one side only stays as it is, as does one whose other side is no JSON; with none on either side the text
-    is null. Members stand in order of their names. Only where both have objects is anything taken apart, one full outer
-    join a level, so what one side has alone goes along whole. Keys must not repeat on a side.
+    is null. Members stand in order of their names. Documents meet in one full outer join; only where both are objects is
+    anything taken apart. Keys must not repeat on a side.
     """
-    spark = target.sparkSession
-    a, b = (rows.select(F.col(key).alias("__id"), F.try_parse_json(text).alias(v)) for rows, v in ((target, "a"), (source, "b")))
-    b = b.withColumnRenamed("__id", "__its")
-    both = a.join(b, F.col("__id").eqNullSafe(F.col("__its")), "full_outer")
+    a, b = (rows.select(F.col(key).alias(k), _canonical(text).alias(v)) for rows, k, v in ((target, "__id", "a"), (source, "__its", "b")))
     # A key that is null on both sides is told from one that the other side lacks by what it holds.
-    level = both.select(F.coalesce("__id", "__its").alias("__id"), F.array().cast("array<string>").alias("at"), "a", "b")
-    is_object = lambda v: F.coalesce(json_kind(F.col(v)) == "object", F.lit(False)) & F.col(v).isNotNull()
-    done, opened = [], []
-    for depth in count():
-        level = checkpointed(level.withColumn("open", is_object("a") & is_object("b")))
-        done.append(level.where("NOT open").select("__id", "at", F.to_json(F.coalesce("b", "a")).alias("json")))
-        inner = level.where("open")
-        opened.append(inner.select("__id", "at"))
-        if inner.isEmpty():
-            break
-        sides = [inner.select("__id", "at", v).lateralJoin(spark.tvf.variant_explode(F.col(v).outer())).select("__id", "at", F.col("key").alias("name"), F.col("value").alias(v)) for v in "ab"]
-        mine, its = sides[0], sides[1].select(F.col("__id").alias("__its"), F.col("at").alias("its_at"), F.col("name").alias("its_name"), "b")
-        met = mine.join(its, mine["__id"].eqNullSafe(its["__its"]) & (mine["at"] == its.its_at) & (mine.name == its.its_name), "full_outer")
-        level = met.select(F.coalesce("__id", "__its").alias("__id"), F.array_append(F.coalesce("at", "its_at"), F.coalesce("name", "its_name")).alias("at"), "a", "b")
-    for k in range(depth - 1, -1, -1):
-        up = F.slice("at", F.lit(1), F.size("at") - 1)
-        parts = done[k + 1].select("__id", up.alias("up"), F.element_at("at", -1).alias("name"), "json")
-        made = _gather(parts, ["__id", "up"], F.col("name"), F.col("name")).select(F.col("__id").alias("__its"), "up", "object")
-        own = opened[k].join(made, opened[k]["__id"].eqNullSafe(made["__its"]) & (opened[k]["at"] == made.up), "left")
-        done[k] = checkpointed(done[k].unionByName(own.select("__id", "at", F.coalesce("object", F.lit("{}")).alias("json"))))
-    return done[0].select(F.col("__id").alias(key), F.col("json").alias("text"))
+    both = a.join(b, F.col("__id").eqNullSafe(F.col("__its")), "full_outer").select(F.coalesce("__id", "__its").alias(key), "a", "b")
+    objects = F.col("a").startswith("{") & F.col("b").startswith("{")
+    met = F.arrow_udf(json_text.merged, "string")(F.when(objects, F.col("a")), F.when(objects, F.col("b")))
+    return both.select(key, F.coalesce(met, "b", "a").alias("text"))
 
 
 #: Names of the tree formats that read_trees and write_trees know.

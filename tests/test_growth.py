@@ -107,3 +107,7 @@ def test_names_that_end_in_line_ends_and_many_values_of_a_document(spark):
     assert dict(flat.groupBy("k").count().collect()) == {0: 4, 1: 120_001, 3: 1}
     got = {r.k: json.loads(r.text) for r in trees.unflatten_json(flat, "k").collect()}
     assert got == {k: json.loads(t) for k, t in enumerate(texts) if t}
+
+
+def test_documents_are_merged_in_one_join(spark):
+    assert _steps(spark, "json_merge") == (2, False)
